@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm import mixing
+from onsetlab.llm import exact, mixing, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": lambda spark, sf: mixing.query(documents(spark, sf)),
+        "op3_simhash": lambda spark, sf: simhash.query(documents(spark, sf)),
+        "op5_exact_dedup": lambda spark, sf: exact.query(documents(spark, sf)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_dedup": exact.ORACLE,
+    }
