@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from onsetlab.llm.text import SPACES, attach, text_key, whole
 from onsetlab.staging import new_path, staged
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore."
+STATE_STORE = {STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 #: Parts of a digest's rows in the byte check, so that a hot digest spreads over tasks.
 SALTS = 16
 FILES_PER_BATCH = 4096
@@ -64,16 +65,17 @@ def keyed_state(keys: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> Data
     def write(batch: DataFrame, number: int) -> None:
         batch.select("digest", "seen", best).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    name, old = "spark.sql.streaming.stateStore.providerClass", None
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    old = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         stream = (
             state.writeStream.outputMode("update").option("checkpointLocation", log).foreachBatch(write)
         ).trigger(availableNow=True).start()
         stream.awaitTermination()
     finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     updates = spark.read.schema(schema).parquet(out)
     if stream.lastProgress is None or stream.lastProgress["batchId"] == 0:
         return updates.drop("batch")

@@ -6,18 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm import exact, mixing, simhash
+from onsetlab.llm import exact, lengths, mixing, pieces, simhash, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix": lambda spark, sf: mixing.query(documents(spark, sf)),
         "op3_simhash": lambda spark, sf: simhash.query(documents(spark, sf)),
         "op5_exact_dedup": lambda spark, sf: exact.query(documents(spark, sf)),
+        "op6_token_lengths": lambda spark, sf: lengths.query(documents(spark, sf)),
+        "op9_sentencepiece": lambda spark, sf: pieces.query(documents(spark, sf)),
+        "op10_toxicity": lambda spark, sf: toxicity.query(documents(spark, sf), labels(spark, sf)),
     }
 
 
