@@ -25,7 +25,11 @@ from onsetlab.llm.text import SPACES, attach, text_key, whole
 from onsetlab.staging import new_path, staged
 
 STATE = "spark.sql.streaming.stateStore."
-STATE_STORE = {STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+STATE_STORE = {
+    STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Many small stores: else each sets aside megabytes of disk before it holds anything.
+    STATE + "rocksdb.allowFAllocate": "false",
+}
 #: Parts of a digest's rows in the byte check, so that a hot digest spreads over tasks.
 SALTS = 16
 FILES_PER_BATCH = 4096
