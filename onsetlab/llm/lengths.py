@@ -12,12 +12,11 @@ count each; an empty table gives an empty histogram. Only ``text`` is read.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from onsetlab.llm.text import per_text
 from onsetlab.staging import broadcast_if_small, staged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -52,12 +51,11 @@ def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens of every document."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encode = encoding(vocabulary, data.value).encode_ordinary
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": [len(encode(t)) if t else 0 for t in frame["text"]]})
+        return lambda texts: [[len(encode(t)) if t else 0 for t in texts]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
+    return per_text(docs, ["doc_id"], make, "n_tokens long")
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:

@@ -1,51 +1,52 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton drives a single-pass Viterbi.
 
 The automaton reads the text once; at each position its output links name every piece that ends
-there, and each relaxes the best score at that position. A character that no piece covers falls back
-to its UTF-8 bytes at a penalty below every piece. The best-scored segmentation under the model's own
-scores is what comes out; for a model built by merges these ids may differ from the merge order's,
-and decode to the same text. Decoding undoes encoding for every text.
+there, and each relaxes that position. For a unigram model the best sum of scores wins. For a model
+built by merges the best path is the merge order's: a piece may follow another only if merging the two
+side by side gives these two again, and just one piece at each position can follow the best path to
+its start, so the same single pass finds exactly the merge order's ids (no merge can cross the border
+of two neighbours that stand on their own). A character in no piece falls back to its UTF-8 bytes.
+Decoding undoes encoding for every text.
 
 No piece holds a space mark after another character, so a path passes through the start of each run
 of marks (and both sides of a character in no piece): chunks between such places are solved apart and
 remembered in the worker, up to a fixed number.
 
 Nulls, ties, odd rows: a null or empty text has no pieces and decodes to the empty text; equal scores
-go to the longest piece; a literal space mark in a text becomes bytes, so it survives; repeated rows
-and null ids are ordinary rows. Only ``doc_id`` and ``text`` are read.
+go to the longest piece (unigram) or the leftmost merge; a literal space mark in a text becomes bytes,
+so it survives; repeated rows and null ids are ordinary rows. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onsetlab.llm.lengths import read_vocabulary
-from onsetlab.llm.text import attach, text_key
+from onsetlab.llm.text import per_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks whose pieces a worker remembers, and the longest such chunk.
 REMEMBERED, LONGEST = 1 << 19, 64
 UNKNOWN_PENALTY = 10.0
+_NONE = float("-inf")
 
 
 class Pieces:
-    """A SentencePiece model's pieces as an automaton."""
+    """A SentencePiece model's pieces as an automaton. ``merges``: built by merges, else by unigram scores."""
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, merges: bool = True) -> None:
         import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.byte, self.text, self.automaton, scores = [0] * 256, {}, ahocorasick.Automaton(), []
-        self.value = [0] * len(sp)
+        self.byte, self.text, self.automaton = [0] * 256, {}, ahocorasick.Automaton()
+        self.value, self.score, self.merges = [0] * len(sp), {}, merges
         used = set()
         for i in range(len(sp)):
             piece = sp.id_to_piece(i)
@@ -56,30 +57,86 @@ class Pieces:
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"piece {i} holds a space mark inside")
                 self.automaton.add_word(piece, (len(piece), sp.get_score(i), i))
-                self.text[i] = piece.replace(SPACE, " ").encode()
-                scores.append(sp.get_score(i))
+                self.text[i], self.score[piece] = piece.replace(SPACE, " ").encode(), sp.get_score(i)
                 used.update(piece)
         self.automaton.make_automaton()
-        self.unknown = min(scores) - UNKNOWN_PENALTY
+        self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         cut = "" if "\n" in used else "\n"
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + f"|{cut}" * bool(cut)).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.names = [sp.id_to_piece(i) for i in range(len(sp))] + [""]
+        self.single = frozenset(c for c in used if c in self.score)
+
+    def _follows(self, left: str, right: str) -> bool:
+        """Whether merging ``left + right`` from single characters ends in just these two."""
+        parts, score = list(left + right), self.score.get
+        while len(parts) > 1:
+            tried = [score(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+            best = max(tried)
+            if best == _NONE:
+                break
+            at = tried.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts == ([left, right] if left else [right])
+
+    def merged(self, chunk: str) -> tuple[int, ...]:
+        """The pass over a chunk all of whose characters are pieces, for a model built by merges."""
+        names, pairs = self.names, self.pairs
+        size = len(names)
+        n = len(chunk)
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = size - 1  # nothing before the chunk
+        for end, (length, _, piece) in self.automaton.iter(chunk):
+            end += 1
+            if last[end] < 0:
+                before = last[end - length]
+                key = before * size + piece
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = self._follows(names[before], names[piece])
+                    if len(pairs) >= REMEMBERED:
+                        pairs.clear()
+                    pairs[key] = fits
+                if fits:
+                    last[end], back[end] = piece, end - length
+        out = []
+        while n:
+            out.append(last[n])
+            n = back[n]
+        return tuple(reversed(out))
 
     def viterbi(self, chunk: str) -> tuple[int, ...]:
-        """The best-scored pieces of a chunk, in one pass."""
+        """The best path over a chunk, in one pass."""
+        if self.merges and self.single.issuperset(chunk):
+            return self.merged(chunk)
         n = len(chunk)
-        score, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-        done, unknown = 0, self.unknown
-        for end, (length, value, piece) in self.automaton.iter(chunk):
-            while done <= end:  # each position starts from its character's bytes
-                score[done + 1], back[done + 1] = score[done] + unknown, (done, -1)
+        score: list[float | None] = [0.0] + [None] * n
+        back, last = [(0, -1)] * (n + 1), [""] * (n + 1)
+        merges = self.merges
+        done = 0
+
+        def bytes_to(stop: int) -> None:
+            """Positions that no piece has reached are reached by their character's bytes."""
+            nonlocal done
+            while done < stop:
                 done += 1
-            start = end + 1 - length
-            if (new := score[start] + value) > score[end + 1]:
-                score[end + 1], back[end + 1] = new, (start, piece)
-        while done < n:
-            score[done + 1], back[done + 1] = score[done] + unknown, (done, -1)
-            done += 1
+                char = chunk[done - 1]
+                free = not merges and (score[done] is None or score[done] < score[done - 1] + self.unknown)
+                if free or (merges and score[done] is None and score[done - 1] is not None):
+                    score[done], back[done], last[done] = score[done - 1] + self.unknown, (done - 1, -1), char
+
+        for end, (length, value, piece) in self.automaton.iter(chunk):
+            bytes_to(end)
+            start, stop = end + 1 - length, end + 1
+            if merges:
+                if score[stop] is None and score[start] is not None:
+                    text = chunk[start:stop]
+                    if self._follows(last[start], text):
+                        score[stop], back[stop], last[stop] = score[start] + value, (start, piece), text
+            elif score[stop] is None or score[start] + value > score[stop]:
+                score[stop], back[stop] = score[start] + value, (start, piece)
+        bytes_to(n)
         out: list[int] = []
         while n:
             start, piece = back[n]
@@ -125,55 +182,49 @@ def model(path: str, data: bytes) -> Pieces:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, text_key and ids (array of int) of every document."""
+def encode(docs: DataFrame, path: str = MODEL, keep: list | None = None) -> DataFrame:
+    """The ``keep`` columns (doc_id, if none are named) and ids (array of int) of every document."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         pieces = model(path, data.value)
-        for frame in frames:
-            ids = [np.array(pieces.encode(t), np.int32) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_key": frame["text_key"], "ids": ids})
+        return lambda texts: [[np.array(pieces.encode(t), np.int32) for t in texts]]
 
-    rows = docs.select("doc_id", text_key("text").alias("text_key"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_key long, ids array<int>")
+    return per_text(docs, keep or ["doc_id"], make, "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id and text of every row of ``encoded`` (doc_id, ids)."""
     data = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         pieces = model(path, data.value)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": [pieces.decode(i.tolist()) for i in frame["ids"]]})
+        return lambda rows: [[pieces.decode(ids or []) for ids in rows]]
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return per_text(encoded.select("doc_id", F.col("ids").alias("text")), ["doc_id"], make, "text string")
 
 
 def tokenised(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """The documents with all their columns, and ``ids`` and ``n_tokens`` (which replace columns of that name)."""
-    rows = attach(docs, encode(docs, path), ["ids"])
-    return rows.select("row.*", F.col("decided.ids").alias("__ids")).withColumns(
-        {"ids": F.col("__ids"), "n_tokens": F.size("__ids").cast("long")}
-    ).drop("__ids")
+    rows = encode(docs, path, [F.struct("*").alias("row")])
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    return rows.select(*own, "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 def query(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256 and round_trip, encoded and decoded in one pass."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         pieces = model(path, data.value)
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = pieces.encode(text)
-                back = pieces.decode(ids)
-                digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-                rows.append((doc_id, len(ids), digest, hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    )
+
+        def one(text: str | None) -> tuple:
+            ids = pieces.encode(text)
+            back = pieces.decode(ids)
+            return len(ids), sha(",".join(map(str, ids))), sha(back), back == (text or "")
+
+        return lambda texts: list(zip(*map(one, texts), strict=True)) or [[], [], [], []]
+
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    return per_text(docs, ["doc_id"], make, fields)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from onsetlab.llm import exact, lengths, mixing, pieces, simhash, toxicity
 
 
@@ -19,6 +20,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mix": lambda spark, sf: mixing.query(documents(spark, sf)),
         "op3_simhash": lambda spark, sf: simhash.query(documents(spark, sf)),
         "op5_exact_dedup": lambda spark, sf: exact.query(documents(spark, sf)),

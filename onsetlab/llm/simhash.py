@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onsetlab.llm.components import components
-from onsetlab.llm.text import attach, text_key
+from onsetlab.llm.text import attach, per_text, text_key
 from onsetlab.staging import staged
 
 RADIUS = 4
@@ -63,13 +63,10 @@ def simhash(text: str | None, words: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """doc_id, text_key, fp (the fingerprint's 64 bits as a signed long)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            fps = np.array([simhash(t, words) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_key": frame["text_key"], "fp": fps.view(np.int64)})
+    def prints(texts: list) -> list[np.ndarray]:
+        return [np.array([simhash(t, words) for t in texts], np.uint64).view(np.int64)]
 
-    rows = docs.select("doc_id", text_key("text").alias("text_key"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_key long, fp long")
+    return per_text(docs, ["doc_id", text_key("text").alias("text_key")], lambda: prints, "fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:

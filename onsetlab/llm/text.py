@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,3 +45,25 @@ def attach(docs: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFra
     left, right = left.alias("l"), right.alias("r")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     return left.join(right, on).select("l.row", "r.decided")
+
+
+def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str) -> DataFrame:
+    """The ``keep`` columns of every row and what Python makes of its text, batch by batch in Arrow.
+
+    ``make`` is called once in each task and gives a function from a list of texts to one sequence per
+    field of the DDL ``fields``. The kept columns never pass through Python objects, so null ids next
+    to large ones stay exact.
+    """
+    new = StructType.fromDDL(fields)
+    rows = docs.select(*keep, F.col("text").alias("__text"))
+    schema = StructType(rows.schema.fields[:-1] + new.fields)
+    types = [to_arrow_type(f.dataType) for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            made = work(batch.column(batch.num_columns - 1).to_pylist())
+            arrays = batch.columns[:-1] + [pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)

@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onsetlab.llm.text import attach, text_key
+from onsetlab.llm.text import per_text
 
 BITS = 20
-SAMPLE_ROWS = 1 << 14
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.1
+SAMPLE_ROWS = 1 << 15
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 FOLDS = 5
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1 << 19
@@ -124,30 +124,28 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_rows: int
     return model["bucket"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
-    """doc_id, text_key and score, for every document."""
-    at, values = model
-    weights = docs.sparkSession.sparkContext.broadcast((at, values))
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list | None = None, bits: int = BITS) -> DataFrame:
+    """The ``keep`` columns (doc_id, if none are named) and the score of every document."""
+    weights = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         dense = np.zeros((1 << bits) + 1)
         dense[weights.value[0]] = weights.value[1]
-        for frame in frames:
-            scores = []
-            for text in frame["text"]:
-                buckets = features(text, bits)
-                used = np.unique(buckets[dense[buckets] != 0])
-                scores.append(_sigmoid(dense[-1] + dense[used].sum()))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_key": frame["text_key"], "score": np.array(scores, float)})
 
-    rows = docs.select("doc_id", text_key("text").alias("text_key"), "text")
-    return rows.mapInPandas(run, "doc_id long, text_key long, score double")
+        def one(text: str | None) -> float:
+            buckets = features(text, bits)
+            used = np.unique(buckets[dense[buckets] != 0])
+            return float(_sigmoid(dense[-1] + dense[used].sum()))
+
+        return lambda texts: [[one(t) for t in texts]]
+
+    return per_text(docs, keep or ["doc_id"], make, "score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, with all their columns, that score below ``threshold``."""
-    model = train(docs, labels)
-    return attach(docs, score(docs, model), ["score"]).filter(F.col("decided.score") < threshold).select("row.*")
+    scored = score(docs, train(docs, labels), [F.struct("*").alias("row")])
+    return scored.filter(F.col("score") < threshold).select("row.*")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
