@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from onsetlab.llm import exact, lengths, mixing, pieces, pii, sharding, simhash, toxicity
+from onsetlab.llm import exact, lengths, mixing, pieces, pii, sharding, simhash, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": lambda spark, sf: exact.query(documents(spark, sf)),
         "op6_token_lengths": lambda spark, sf: lengths.query(documents(spark, sf)),
         "op7_personal_data": lambda spark, sf: pii.query(documents(spark, sf)),
+        "op8_repeated_substrings": lambda spark, sf: substrings.query(documents(spark, sf)),
         "op9_sentencepiece": lambda spark, sf: pieces.query(documents(spark, sf)),
         "op10_toxicity": lambda spark, sf: toxicity.query(documents(spark, sf), labels(spark, sf)),
     }
