@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from onsetlab.llm import exact, lengths, mixing, pieces, pii, sharding, simhash, substrings, toxicity
+from onsetlab.llm import exact, iblt, lengths, mixing, pieces, pii, sharding, simhash, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix": lambda spark, sf: mixing.query(documents(spark, sf)),
         "op2_shards": lambda spark, sf: sharding.query(documents(spark, sf)),
         "op3_simhash": lambda spark, sf: simhash.query(documents(spark, sf)),
+        "op4_fingerprints": lambda spark, sf: iblt.query(documents(spark, sf)),
         "op5_exact_dedup": lambda spark, sf: exact.query(documents(spark, sf)),
         "op6_token_lengths": lambda spark, sf: lengths.query(documents(spark, sf)),
         "op7_personal_data": lambda spark, sf: pii.query(documents(spark, sf)),
