@@ -14,10 +14,11 @@ equal quotients go to the smaller party key. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,25 +193,25 @@ def taken_text(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, **options) ->
             at = stop
         return "\n".join(text[a:b] for a, b in runs)
 
-    def copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for frame in frames:
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             source, texts = [], []
-            for i, (text, draw) in enumerate(zip(frame["text"], frame["__draw"], strict=True)):
+            draws = batch.column(batch.num_columns - 1).to_pylist()
+            for i, (text, draw) in enumerate(zip(batch.column("text").to_pylist(), draws, strict=True)):
                 d = json.loads(draw)
                 made = [text] * d["copies"]
                 if d["taken"] > d["copies"] * d["size"]:
                     made.append(cut(text, d))
                 source += [i] * len(made)
                 texts += made
-            out = frame.iloc[source].drop(columns="__draw")
-            out["text"] = texts
-            if "n_chars" in out:
-                out["n_chars"] = [len(t) for t in texts]
-            yield out[fields]
-
-    return flat.mapInPandas(copies, docs.select(*fields).schema)
+            out = batch.select(range(batch.num_columns - 1)).take(pa.array(source, pa.int64()))
+            out = out.set_column(fields.index("text"), "text", pa.array(texts, out.schema.field("text").type))
+            if "n_chars" in fields:
+                kind = out.schema.field("n_chars").type
+                out = out.set_column(fields.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], kind))
+            yield out
+
+    return flat.mapInArrow(copies, docs.schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

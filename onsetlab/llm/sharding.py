@@ -41,7 +41,10 @@ def _propose(members: DataFrame, state: DataFrame, n_shards: int) -> DataFrame:
         *[(F.col(f"c{j}") * UNIT + F.pmod(F.xxhash64("hub", F.lit(j)), F.lit(UNIT))).alias(f"c{j}") for j in range(n_shards)],
     )
     sums = [F.sum(f"c{j}").alias(f"c{j}") for j in range(n_shards)]
-    scored = placed.join(votes, "hub").groupBy("row_id", "shard").agg(*sums)
+    scored = placed.join(votes, "hub").groupBy("row_id", "shard").agg(*sums, F.count("*").alias("hubs"))
+    # A document counts itself once, not in each of its hubs.
+    own_more = (F.col("hubs") - 1) * UNIT
+    scored = scored.withColumns({f"c{j}": F.col(f"c{j}") - F.when(F.col("shard") == j, own_more).otherwise(0) for j in range(n_shards)})
     best = F.greatest(*[F.struct(F.col(f"c{j}").alias("score"), F.lit(j).alias("target")) for j in range(n_shards)])
     own = F.element_at(F.array(*[F.col(f"c{j}") for j in range(n_shards)]), F.col("shard") + 1)
     scored = scored.withColumn("best", best)
