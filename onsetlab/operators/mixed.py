@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from onsetlab.functions.columns import two_sided_p
 from onsetlab.staging import staged
 
 
@@ -212,3 +213,103 @@ def change_feature(
     for c in ("fixed", "blup", "ci_lower", "ci_upper"):
         out = out.withColumn(c, F.col(c) + F.lit(effect))
     return out, fit
+
+
+def fit_table(spark: SparkSession, fit: Fit, names: list[str]) -> DataFrame:
+    """term, estimate, se, z, p of a fit's fixed effects."""
+    se = np.sqrt(np.diag(fit.covariance))
+    rows = [(n, float(b), float(s)) for n, b, s in zip(names, fit.beta, se, strict=True)]
+    out = spark.createDataFrame(rows, "term string, estimate double, se double")
+    return out.withColumn("z", F.try_divide("estimate", "se")).withColumn("p", two_sided_p("z"))
+
+
+def dummies(column: str, levels: list, first: bool = False) -> tuple[list[Column], list[str]]:
+    """0/1 columns of the levels but the first (the reference), and their names."""
+    used = levels if first else levels[1:]
+    return [(F.col(column) == F.lit(v)).cast("double") for v in used], [f"{column}[{v}]" for v in used]
+
+
+def ancova(df: DataFrame, subject: list[str], y: str, covariate: str, condition: str, conditions: list, block: str, blocks: list, rounds: int = 100) -> DataFrame:
+    """y ~ covariate + condition * block with a random intercept by subject: a row per term."""
+    a, an = dummies(condition, conditions)
+    b, bn = dummies(block, blocks)
+    cross = [(p * q, f"{pn}:{qn}") for p, pn in zip(a, an, strict=True) for q, qn in zip(b, bn, strict=True)]
+    x = [F.lit(1.0), F.col(covariate), *a, *b, *[c for c, _ in cross]]
+    model = MixedModel(df, subject, F.col(y), x, [F.lit(1.0)])
+    return fit_table(df.sparkSession, model.fit(rounds=rounds), ["intercept", covariate, *an, *bn, *[n for _, n in cross]])
+
+
+def mixed_by_key(
+    df: DataFrame, key: str, subject: list[str], y: Column, x: list[Column], z: list[Column], names: list[str], rounds: int = 100,
+    tolerance: float = 1e-8,
+) -> DataFrame:
+    """One REML fit for each value of ``key`` (blocks or trials, so few), all in the same passes.
+
+    Returns key, term, estimate, se, z, p, n, converged. Each round is one aggregate over the table of
+    sums by (key, subject); the driver holds p-by-p matrices by key. Keys with dependent terms are left out.
+    """
+    spark, p, q = df.sparkSession, len(x), len(z)
+    model = MixedModel(df.filter(F.col(key).isNotNull()), [key, *subject], y, x, z)
+    parts = _Parts(p, q)
+
+    def reduce(each, size: int, state: dict) -> dict:
+        def run(frames):
+            total: dict = {}
+            for frame in frames:
+                for k, v in zip(frame[key], parts(frame), strict=True):
+                    if not state or k in state:
+                        total[k] = total.get(k, 0.0) + each(state.get(k), *v)
+            rows = [(k, i, float(v)) for k, a in total.items() for i, v in enumerate(a)]
+            yield pd.DataFrame(rows, columns=[key, "i", "v"]).astype({"i": "int64", "v": "float64"})
+
+        kind = model.stats.schema[key].dataType.simpleString()
+        got = model.stats.select(key, "aa", "ay", "yy", "n").mapInPandas(run, f"`{key}` {kind}, i long, v double")
+        out: dict = {}
+        for r in got.groupBy(key, "i").agg(F.sum("v").alias("v")).collect():  # ``size`` numbers a key
+            out.setdefault(r[key], np.zeros(size))[r["i"]] = r["v"]
+        return out
+
+    begin = reduce(lambda _, xx, xz, zz, xy, zy, yy, n: np.r_[xx.ravel(), xy, yy, n, 1.0], p * p + p + 3, {})
+    state, done = {}, {}
+    for k, t in begin.items():
+        xx, xy, (yy, n, groups) = t[: p * p].reshape(p, p), t[p * p : p * p + p], t[-3:]
+        if n > p and np.linalg.matrix_rank(xx) == p:
+            s = max((yy - np.linalg.solve(xx, xy) @ xy) / (n - p), 1e-12) / 2
+            state[k] = {"G": np.eye(q) * s, "s": s, "n": n, "groups": groups}
+    for _ in range(rounds):
+        if not state:
+            break
+
+        def first(t, xx, xz, zz, xy, zy, yy, n):
+            M = np.linalg.inv(np.linalg.inv(t["G"]) + zz / t["s"])
+            return np.r_[(xx / t["s"] - xz @ M @ xz.T / t["s"] ** 2).ravel(), xy / t["s"] - xz @ M @ zy / t["s"] ** 2]
+
+        for k, a in reduce(first, p * p + p, state).items():
+            state[k]["Ai"] = np.linalg.inv(a[: p * p].reshape(p, p))
+            state[k]["b"] = state[k]["Ai"] @ a[p * p :]
+
+        def second(t, xx, xz, zz, xy, zy, yy, n):
+            s, b, Ai = t["s"], t["b"], t["Ai"]
+            M = np.linalg.inv(np.linalg.inv(t["G"]) + zz / s)
+            u, D = M @ (zy - xz.T @ b) / s, M @ xz.T / s
+            V = M + D @ Ai @ D.T
+            rest = yy - 2 * b @ xy - 2 * u @ zy + b @ xx @ b + 2 * b @ xz @ u + u @ zz @ u
+            rest += np.trace(zz @ V) + np.trace(xx @ Ai) - 2 * np.trace(xz.T @ Ai @ D.T)
+            return np.r_[(np.outer(u, u) + V).ravel(), rest]
+
+        for k, a in reduce(second, q * q + 1, state).items():
+            t = state[k]
+            G, s = a[: q * q].reshape(q, q) / t["groups"], max(a[-1] / t["n"], 1e-12)
+            change = max(np.abs(G - t["G"]).max() / max(np.abs(t["G"]).max(), 1e-12), abs(s - t["s"]) / t["s"])
+            t |= {"G": (G + G.T) / 2 + np.eye(q) * 1e-12, "s": s}
+            if change < tolerance:
+                done[k] = t | {"converged": True}
+        state = {k: t for k, t in state.items() if k not in done}
+    done |= {k: t | {"converged": False} for k, t in state.items()}
+    kind = model.stats.schema[key].dataType.simpleString()
+    rows = [
+        (k, n, float(b), float(s), int(t["n"]), t["converged"])
+        for k, t in done.items() for n, b, s in zip(names, t["b"], np.sqrt(np.diag(t["Ai"])), strict=True)
+    ]
+    out = spark.createDataFrame(rows, f"`{key}` {kind}, term string, estimate double, se double, n long, converged boolean")
+    return out.withColumn("z", F.try_divide("estimate", "se")).withColumn("p", two_sided_p("z"))

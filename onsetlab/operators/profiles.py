@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from onsetlab.functions.columns import chi2_quantile, normal_cdf
 from onsetlab.operators.binning import poisson_weight
+from onsetlab.operators.grouptests import mann_whitney
 
 
 @dataclass
@@ -215,3 +216,33 @@ def normalised_to_epoch(features: DataFrame, subject: list[str], value: str, ref
     """The value over the subject's mean in the reference rows."""
     w = Window.partitionBy(*subject)
     return features.withColumn(out, F.try_divide(F.col(value), F.avg(F.when(reference, F.col(value))).over(w)))
+
+
+def class_rates(results: DataFrame, condition: str, learner: str) -> DataFrame:
+    """condition, learners, subjects, rate; the control's rate is the false-positive rate."""
+    return batch_rates(results, F.col(condition), learner).withColumnRenamed("batch", condition)
+
+
+def confounds(subjects: DataFrame, learner: str, measures: list[str]) -> DataFrame:
+    """measure, the medians of non-learners and learners, and their rank test."""
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+    long = subjects.select(F.col(learner), F.inline(cells))
+    tests = mann_whitney(long, ["measure"], F.col(learner), "value")
+    medians = long.groupBy("measure").agg(
+        F.median(F.when(~F.col(learner), F.col("value"))).alias("median_others"), F.median(F.when(F.col(learner), F.col("value"))).alias("median_learners")
+    )
+    return medians.join(tests, "measure")
+
+
+def epoch_points(features: DataFrame, subject: list[str], block: str, epochs: dict[str, list], value: str) -> DataFrame:
+    """subject, epoch, value: the median over the epoch's blocks, where the subject has all of them."""
+    parts = [
+        F.struct(
+            F.lit(name).alias("epoch"),
+            F.when(F.array_size(F.array_distinct(F.collect_list(F.when(F.col(block).isin(blocks), F.col(block))))) == len(blocks),
+                   F.median(F.when(F.col(block).isin(blocks), F.col(value)))).alias("value"),
+        )
+        for name, blocks in epochs.items()
+    ]
+    rows = features.groupBy(*subject).agg(*[p.alias(f"_e{k}") for k, p in enumerate(parts)])
+    return rows.select(*subject, F.inline(F.array(*[f"_e{k}" for k in range(len(parts))]))).filter("value is not null")

@@ -1,6 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-from onsetlab.plans import events, models
+from onsetlab.plans import details, events, models
 
-QUERIES = events.QUERIES | models.QUERIES
-SQL = events.SQL | models.SQL
+QUERIES = events.QUERIES | models.QUERIES | details.QUERIES
+SQL = events.SQL | models.SQL | details.SQL

@@ -334,3 +334,15 @@ def test_global_positions(spark):
     df = spark.createDataFrame([(i * 7919 % 1009,) for i in range(1009)], "x long")
     got = sorted((r.x, r.at) for r in with_position(df, ["x"], "at", "test").collect())
     assert got == [(i, i) for i in range(1009)]
+
+
+def test_keyed_mixed_models_equal_single_ones(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, s, float(e), float(k + e * (k + 1) + b + rng.normal(0, 0.3))) for k in (1, 2) for s, b in enumerate(rng.normal(0, 1, 25)) for e in range(4)]
+    df = spark.createDataFrame(rows, "k int, s int, e double, y double")
+    x, names = [F.lit(1.0), F.col("e")], ["b", "e"]
+    got = {(r.k, r.term): r for r in mixed.mixed_by_key(df, "k", ["s"], F.col("y"), x, [F.lit(1.0)], names, rounds=60, tolerance=1e-9).collect()}
+    for k in (1, 2):
+        fit = mixed.MixedModel(df.filter(F.col("k") == k), ["s"], F.col("y"), x, [F.lit(1.0)]).fit(rounds=60)
+        assert [got[k, n].estimate for n in names] == pytest.approx(fit.beta.tolist(), abs=1e-6)
+        assert [got[k, n].se for n in names] == pytest.approx(np.sqrt(np.diag(fit.covariance)).tolist(), abs=1e-6)
