@@ -91,6 +91,12 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = CYCLE) -> Data
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), place))
 
 
+def seeded(*parts: Column | str) -> Column:
+    """A non-negative 60-bit number from an MD5 digest of the parts, which any SQL engine can make, too."""
+    text = F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def _drawn_before(x: Column, block: int) -> Column:
     """Words of the drawn blocks among a shard's first ``x`` words."""
     drawn = lambda k: F.floor((k * F.col("_extra") + F.col("_start")) / F.col("_blocks"))
@@ -136,7 +142,7 @@ def plan_mix(
         "mix-sources",
     )
     dealt = sizes.join(broadcast_if_small(sources.select("source_key", "_shards")), "source_key").withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_shards")).cast("int")
+        "shard", F.pmod(seeded(F.lit(seed), "doc_id"), F.col("_shards")).cast("int")
     )
     shards = dealt.groupBy("source_key", "shard").agg(F.sum("size").alias("_votes"))
     shards = shards.join(broadcast_if_small(sources), "source_key")
@@ -147,11 +153,11 @@ def plan_mix(
         .withColumn("_got", F.least(F.col("quota"), 2 * F.col("_blocks")))
         .withColumn("copies", F.floor(F.col("_got") / F.col("_blocks")))
         .withColumn("_extra", F.col("_got") - F.col("copies") * F.col("_blocks"))
-        .withColumn("_start", F.pmod(F.xxhash64(F.lit(seed), "source_key", "shard"), F.col("_blocks")))
+        .withColumn("_start", F.pmod(seeded(F.lit(seed), "source_key", "shard"), F.col("_blocks")))
         .select("source_key", "shard", "source_size", "target", "copies", "_blocks", "_extra", "_start")
     )
     line = Window.partitionBy("source_key", "shard").orderBy(
-        F.xxhash64(F.lit(seed + 1), "doc_id", "text_key"), "doc_id", "text_key"
+        seeded(F.lit(seed + 1), "doc_id"), "doc_id", "text_key"
     )
     offset = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     laid = dealt.drop("_shards").withColumn("offset", offset)
@@ -216,3 +222,59 @@ def taken_text(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, **options) ->
 
 def query(docs: DataFrame) -> DataFrame:
     return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def oracle(block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, shard_rows: int = SHARD_ROWS, seed: int = 17) -> str:
+    """The query as DuckDB SQL. Seats are dealt by ranking all quotients that could win one."""
+    seeded = lambda *parts: "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
+    drawn = lambda x: (
+        f"((({x} // {block_tokens}) * extra + start) // blocks) * {block_tokens} + ({x} % {block_tokens}) * "
+        f"(((({x} // {block_tokens}) + 1) * extra + start) // blocks - (({x} // {block_tokens}) * extra + start) // blocks)"
+    )
+    return rf"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS sk, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s0 AS (
+  SELECT sk, any_value(source) AS source, sum(size)::BIGINT AS ss, count(*) AS docs FROM d GROUP BY sk
+), s1 AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s0
+), s2 AS (
+  SELECT *, ss * 2.0::DOUBLE AS cap, ss * 2.0::DOUBLE / w AS ratio, sum(ss) OVER () * 1.5::DOUBLE AS total, sum(w) OVER () AS ws FROM s1
+), s3 AS (
+  SELECT *, (total - coalesce(sum(cap) OVER o, 0)) / nullif(ws - coalesce(sum(w) OVER o, 0), 0) AS lvl FROM s2
+  WINDOW o AS (ORDER BY ratio, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s4 AS (
+  SELECT *, min((ratio <= lvl)::INT) OVER (ORDER BY ratio, sk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS is_full FROM s3
+), s5 AS (
+  SELECT *, CASE WHEN is_full = 1 THEN cap ELSE w * max(CASE WHEN is_full = 0 THEN lvl END) OVER () END AS target FROM s4
+), s6 AS (
+  SELECT *, sum(target) OVER () AS v, count(*) OVER () AS n, floor(sum(target) OVER () / {block_tokens} + 0.5)::BIGINT AS seats,
+         greatest(ceil(ss / {shard_tokens}.0), ceil(docs / {shard_rows}.0), 1)::BIGINT AS shards FROM s5
+), c1 AS (
+  SELECT sk, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sk, k) AS rank
+  FROM (SELECT *, unnest(range(0, ceil(target * (seats + n) / v)::BIGINT + 2)) AS k FROM s6 WHERE target > 0)
+), s7 AS (
+  SELECT s6.*, coalesce(won, 0) AS quota FROM s6 LEFT JOIN (SELECT sk, count(*) AS won FROM c1 WHERE rank <= seats GROUP BY sk) USING (sk)
+), dealt AS (
+  SELECT d.*, {seeded(str(seed), "doc_id")} % shards AS shard FROM d JOIN s7 USING (sk)
+), h0 AS (
+  SELECT sk, shard, sum(size)::BIGINT AS votes FROM dealt GROUP BY sk, shard
+), h1 AS (
+  SELECT h0.*, s7.ss, s7.target, s7.quota, sum(votes) OVER (PARTITION BY sk) AS v, count(*) OVER (PARTITION BY sk) AS n FROM h0 JOIN s7 USING (sk)
+), c2 AS (
+  SELECT sk, shard, quota, row_number() OVER (PARTITION BY sk ORDER BY votes / (2 * k + 1) DESC, shard, k) AS rank
+  FROM (SELECT *, unnest(range(0, ceil(votes * (quota + n) / v)::BIGINT + 2)) AS k FROM h1 WHERE votes > 0)
+), h2 AS (
+  SELECT h1.*, greatest((votes + {block_tokens - 1}) // {block_tokens}, 1) AS blocks, coalesce(won, 0) AS won FROM h1
+  LEFT JOIN (SELECT sk, shard, count(*) AS won FROM c2 WHERE rank <= quota GROUP BY sk, shard) USING (sk, shard)
+), h3 AS (
+  SELECT sk, shard, ss, target, blocks, least(won, 2 * blocks) // blocks AS copies, least(won, 2 * blocks) % blocks AS extra,
+         {seeded(str(seed), "sk", "shard")} % blocks AS start FROM h2
+), laid AS (
+  SELECT *, (sum(size) OVER (PARTITION BY sk, shard ORDER BY {seeded(str(seed + 1), "doc_id")}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS a FROM dealt
+), b AS (
+  SELECT *, a + size AS z FROM laid JOIN h3 USING (sk, shard)
+)
+SELECT doc_id, size, ss AS source_size, target, (copies * size + {drawn("z")} - ({drawn("a")}))::BIGINT AS taken FROM b
+"""

@@ -36,5 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mix": mixing.oracle(),
         "op5_exact_dedup": exact.ORACLE,
     }

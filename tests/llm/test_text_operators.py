@@ -107,6 +107,15 @@ def test_mix(docs, texts):
     assert all(abs(taken[s] - target[s]) <= 3 * mixing.BLOCK_TOKENS for s in names)
 
 
+@pytest.mark.parametrize("tokens", [1 << 20, 700])
+def test_mix_equals_sql(docs, tokens):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(con.sql(mixing.oracle(shard_tokens=tokens)).fetchall())
+    got = mixing.plan_mix(docs, shard_tokens=tokens).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_sainte_lague_equals_dealing_seats_one_by_one(spark):
     votes = {"a": 530, "b": 240, "c": 135, "d": 60, "e": 35, "f": 0}
     for seats in (0, 1, 2, 7, 50, 999):
