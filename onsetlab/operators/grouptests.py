@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onsetlab.functions.columns import stars, two_sided_p
+from onsetlab.staging import sums_before
 
 
 def _z(u: Column, mean: Column, variance: Column) -> Column:
@@ -25,9 +26,8 @@ def mann_whitney(df: DataFrame, keys: list[str], group: Column, value: str) -> D
     counts = rows.groupBy(*keys, value).agg(
         F.count_if(~F.col("_g")).alias("_a"), F.count_if(F.col("_g")).alias("_b")
     )
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_b").over(before), F.lit(0))
-    counts = counts.withColumn("_u", F.col("_a") * (below + F.col("_b") / 2)).withColumn("_t", F.col("_a") + F.col("_b"))
+    counts = sums_before(counts, keys, [value], {"_b": "_below"}, "rank-test")
+    counts = counts.withColumn("_u", F.col("_a") * (F.col("_below") + F.col("_b") / 2)).withColumn("_t", F.col("_a") + F.col("_b"))
     out = counts.groupBy(*keys).agg(
         F.sum("_a").alias("n0"), F.sum("_b").alias("n1"), F.sum("_u").alias("u0"),
         F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("_ties"),
@@ -44,8 +44,8 @@ def wilcoxon(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     counts = d.groupBy(*keys, F.abs("_d").alias("_v")).agg(
         F.count("*").alias("_t"), F.count_if(F.col("_d") > 0).alias("_plus")
     )
-    before = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("_t").over(before), F.lit(0)) + (F.col("_t") + 1) / 2
+    counts = sums_before(counts, keys, ["_v"], {"_t": "_below"}, "rank-test")
+    rank = F.col("_below") + (F.col("_t") + 1) / 2
     out = counts.withColumn("_w", F.col("_plus") * rank).groupBy(*keys).agg(
         F.sum("_t").alias("n"), F.sum("_w").alias("w_plus"), F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("_ties")
     )

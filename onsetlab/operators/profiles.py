@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from onsetlab.functions.columns import chi2_quantile, normal_cdf
 from onsetlab.operators.binning import poisson_weight
 from onsetlab.operators.grouptests import mann_whitney
+from onsetlab.staging import sums_before
 
 
 @dataclass
@@ -132,9 +133,9 @@ def calibrated_scores(
     limit = controls.agg(F.percentile("t_joint", F.lit(1 - alpha)).alias("_limit"))
     votes = sum(((F.col(x) > 0).cast("int") for x in z), F.lit(0))
     # How many controls have at least this t, by distinct values.
-    counts = rows.groupBy("t_joint").agg(F.count_if(c).alias("_k"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("t_joint")).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.select("t_joint", F.sum("_k").over(above).alias("_above"))
+    counts = rows.groupBy(F.lit(0).alias("_all"), "t_joint").agg(F.count_if(c).alias("_k"))
+    counts = sums_before(counts, ["_all"], [F.desc("t_joint")], {"_k": "_more"}, "calibrated")
+    counts = counts.select("t_joint", (F.col("_more") + F.col("_k")).alias("_above"))
     out = rows.join(counts, "t_joint").join(F.broadcast(limit))
     return out.select(
         *subject, control, *z, "t_joint", ((1 + F.col("_above")) / (1 + F.col("_n"))).alias("p_empirical"), votes.alias("votes"),

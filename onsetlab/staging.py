@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that ``broadcast_if_small`` will hint at most; beyond it Spark plans a shuffled join.
@@ -71,3 +71,33 @@ def with_position(df: DataFrame, order: list, name: str, label: str) -> DataFram
         .withColumn(name, F.col("_offset") + place)
         .drop("_part", "_at", "_offset")
     )
+
+
+#: Rows up to which ``sums_before`` uses one window per key.
+WINDOW_ROWS = 1_000_000
+
+
+def sums_before(df: DataFrame, keys: list[str], order: list, values: dict[str, str], label: str, limit: int = WINDOW_ROWS) -> DataFrame:
+    """Add, for each of ``values`` (column to name), its sum over the earlier rows of the key. Values are not negative.
+
+    A table of few rows takes a window per key. Beyond ``limit`` rows a key may be too large for one
+    task: rows are range-partitioned by key and order, summed inside each partition, and shifted by the
+    totals of the partitions before and of the keys before. Both ways give the same sums.
+    """
+    table = staged(df, label)
+    if table.limit(limit + 1).count() <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return table.withColumns({n: F.coalesce(F.sum(v).over(w), F.lit(0)) for v, n in values.items()})
+    split = table.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    split = staged(split.withColumn("_at", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_at", 33))
+    totals = split.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
+    pairs = totals.alias("a").join(totals.alias("b"), F.col("b._part") < F.col("a._part"), "left")  # one row per partition
+    offsets = pairs.groupBy(F.col("a._part").alias("_part")).agg(
+        *[F.coalesce(F.sum(f"b.{v}"), F.lit(0)).alias(f"_o_{n}") for v, n in values.items()]
+    )
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = split.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, n in values.items()})
+    out = out.join(broadcast_if_small(offsets), "_part").withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in values.values()})
+    base = out.groupBy(*keys).agg(*[F.min(n).alias(f"_b_{n}") for n in values.values()])
+    out = out.join(base, keys).withColumns({n: F.col(n) - F.col(f"_b_{n}") for n in values.values()})
+    return out.select(*table.columns, *values.values())

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from onsetlab.functions import columns as C
 from onsetlab.operators import binning, clock, grouptests, intervals, mixed, profiles, quality, signal, trials
 from onsetlab.sources import tables
-from onsetlab.staging import with_position
+from onsetlab.staging import sums_before, with_position
 
 
 def frame(spark, values, key="a"):
@@ -346,3 +346,12 @@ def test_keyed_mixed_models_equal_single_ones(spark):
         fit = mixed.MixedModel(df.filter(F.col("k") == k), ["s"], F.col("y"), x, [F.lit(1.0)]).fit(rounds=60)
         assert [got[k, n].estimate for n in names] == pytest.approx(fit.beta.tolist(), abs=1e-6)
         assert [got[k, n].se for n in names] == pytest.approx(np.sqrt(np.diag(fit.covariance)).tolist(), abs=1e-6)
+
+
+def test_sums_before_is_the_same_in_windows_and_partitions(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(k), int(x), int(v)) for k, x, v in zip(rng.integers(0, 3, 900), rng.permutation(900), rng.integers(0, 9, 900), strict=True)]
+    df = spark.createDataFrame(rows, "k int, x int, v int")
+    for order in (["x"], [F.desc("x")]):
+        got = [sorted(map(tuple, sums_before(df, ["k"], order, {"v": "s"}, "test", limit).collect())) for limit in (10**6, 10)]
+        assert got[0] == got[1] and len(got[0]) == 900
