@@ -38,12 +38,14 @@ def range_join(
 
 def as_of(
     left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, values: list[str],
-    direction: str = "backward", strict: bool = False, prefix: str = "",
+    direction: str = "backward", strict: bool = False, prefix: str = "", bucket: float | None = None,
 ) -> DataFrame:
     """The nearest row of ``right`` at or before (``backward``) or after (``forward``) each row of ``left``.
 
     ``strict`` leaves out equal times. Adds ``prefix + value`` for each of ``values``, null where there is
     none. Of right rows at one time the last (backward) or first (forward) in the order of the values counts.
+    With ``bucket`` (a length of time) a key's rows are sorted bucket by bucket in tasks of their own, and
+    what a bucket hands on is one row, so a key with very many rows is no single task.
     """
     back = direction == "backward"
     tag = F.struct(*[F.col(v) for v in values])
@@ -53,11 +55,26 @@ def as_of(
     both = a.drop("_hit").unionByName(b.drop("_row"), allowMissingColumns=True)
     # At equal times a right row comes first going backward (or forward, seen from the end), unless strict.
     side = F.col("_left") if back != strict else -F.col("_left")
-    w = _order(by, F.col("_t"), side, F.col("_hit"))
+    keys = by
+    if bucket is not None:
+        both = both.withColumn("_cell", F.floor(F.col("_t") / F.lit(bucket)))
+        keys = [*by, "_cell"]
+    w = _order(keys, F.col("_t"), side, F.col("_hit"))
     if back:
         hit = F.last("_hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         hit = F.first("_hit", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    if bucket is not None:
+        place = F.struct(F.col("_t"), F.col("_hit"))
+        ends = both.groupBy(*keys).agg((F.max if back else F.min)(F.when(F.col("_hit").isNotNull(), place)).alias("_end"))
+        cells = _order(by, "_cell")
+        if back:
+            handed = F.last("_end", ignorenulls=True).over(cells.rowsBetween(Window.unboundedPreceding, -1))
+        else:
+            handed = F.first("_end", ignorenulls=True).over(cells.rowsBetween(1, Window.unboundedFollowing))
+        ends = ends.select(*keys, handed["_hit"].alias("_handed"))
+        both = both.withColumn("_hit", hit).filter("_left = 1").join(ends, keys)
+        hit = F.coalesce("_hit", "_handed")
     out = both.withColumn("_hit", hit).filter("_left = 1")
     return out.select("_row.*", *[F.col("_hit")[v].alias(prefix + v) for v in values])
 

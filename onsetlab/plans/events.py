@@ -104,7 +104,7 @@ def asof_markers(spark, sf):
     w = Window.partitionBy("subject").orderBy("us", "event_id")
     spans = ev.filter("event_type = 'signup'").select("subject", F.col("us").alias("beg"), F.lead("us").over(w).alias("fin")).filter("fin is not null")
     samples = ev.select("subject", "us")
-    a = intervals.as_of(spans, samples, ["subject"], "beg", "us", ["us"], "forward", strict=True, prefix="first_")
+    a = intervals.as_of(spans, samples, ["subject"], "beg", "us", ["us"], "forward", strict=True, prefix="first_", bucket=7 * DAY)
     return intervals.as_of(a, samples, ["subject"], "fin", "us", ["us"], "backward", prefix="last_")
 
 

@@ -71,10 +71,11 @@ def test_overlapping_trials_repeat_samples(spark):
 @pytest.mark.parametrize("direction,strict,want", [
     ("backward", False, [None, 10, 10, 20]), ("backward", True, [None, None, 10, 10]), ("forward", False, [10, 10, 20, 20]), ("forward", True, [10, 20, 20, None]),
 ])
-def test_as_of(spark, direction, strict, want):
+@pytest.mark.parametrize("bucket", [None, 7, 100])
+def test_as_of(spark, direction, strict, want, bucket):
     left = spark.createDataFrame([("a", t) for t in (5, 10, 15, 20)], "k string, t long")
     right = spark.createDataFrame([("a", t, t) for t in (10, 20)], "k string, u long, x long")
-    assert column(intervals.as_of(left, right, ["k"], "t", "u", ["x"], direction, strict), "x", "t") == want
+    assert column(intervals.as_of(left, right, ["k"], "t", "u", ["x"], direction, strict, bucket=bucket), "x", "t") == want
 
 
 # --- signal
