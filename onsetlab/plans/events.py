@@ -313,7 +313,7 @@ def bootstrap_median(spark, sf):
 MW = EV + """, v AS (SELECT block, nv, count_if(condition = 0) AS a, count_if(condition = 1) AS b FROM nvt WHERE nv IS NOT NULL GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY block ORDER BY nv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, (a + b)::DOUBLE AS t FROM v),
 s AS (SELECT block, sum(a)::BIGINT AS n0, sum(b)::BIGINT AS n1, sum(a * (below + b / 2)) AS u0, sum(t * t * t - t) AS ties FROM c GROUP BY block),
-z0 AS (SELECT *, n0 * n1 / 12.0 * ((n0 + n1 + 1) - ties / ((n0 + n1) * (n0 + n1 - 1))) AS var, n0 * n1 / 2.0 AS mu FROM s),
+z0 AS (SELECT *, n0 * n1 / 12.0 * ((n0 + n1 + 1) - coalesce(ties / nullif((n0 + n1) * (n0 + n1 - 1), 0), 0)) AS var, n0 * n1 / 2.0 AS mu FROM s),
 z1 AS (SELECT *, coalesce(greatest(abs(u0 - mu) - 0.5, 0) * sign(u0 - mu) / nullif(sqrt(var), 0), 0) AS z FROM z0),
 z2 AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS k FROM z1),
 mw AS (SELECT block, n0, n1, u0, z, least(1, 2 * (0.3989422804014327 * exp(-z * z / 2) * (k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))))) AS p FROM z2)
