@@ -225,7 +225,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """Per document what is left without the bytes of repeated strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = docs.select("doc_id", text_key("text").alias("key"), whole("text").cast("binary").alias("content"))
     anchors = staged(texts.select("key", "content").mapInArrow(_anchors, ANCHOR), "substrings-64")
-    again = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Written first: a join whose two sides are plain shuffles can be split where one name is very common.
+    again = staged(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "substrings-again")
     open64 = staged(anchors.join(again, "h"), "substrings-open")
 
     classes = open64.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one"))
