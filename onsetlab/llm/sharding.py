@@ -41,6 +41,8 @@ def _propose(members: DataFrame, state: DataFrame, n_shards: int) -> DataFrame:
         *[(F.col(f"c{j}") * UNIT + F.pmod(F.xxhash64("hub", F.lit(j)), F.lit(UNIT))).alias(f"c{j}") for j in range(n_shards)],
     )
     sums = [F.sum(f"c{j}").alias(f"c{j}") for j in range(n_shards)]
+    # Written first: a join of two plain shuffles can be split where a hub holds very many documents.
+    votes = staged(votes, "shard-votes")
     scored = placed.join(votes, "hub").groupBy("row_id", "shard").agg(*sums, F.count("*").alias("hubs"))
     # A document counts itself once, not in each of its hubs.
     own_more = (F.col("hubs") - 1) * UNIT
@@ -133,6 +135,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     )
     total = rows.count()
     hubs = rows.groupBy(F.col("text_key").alias("hub")).agg(F.count("*").alias("n")).filter("n > 1").select("hub")
+    hubs = staged(hubs, "shard-hubs")
     members = staged(rows.select("row_id", F.col("text_key").alias("hub")).join(hubs, "hub"), "shard-members")
     return place(rows, propagate(members, total, n_shards, rounds), total, n_shards).drop("row_id")
 
