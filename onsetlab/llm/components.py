@@ -13,6 +13,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.filter("v < u")
     least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # Written first: a join of two plain shuffles can be split where a node has very many neighbours.
+    least = staged(least, "components-least")
     if large:
         out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
