@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from onsetlab.llm import exact, mixing, pieces, simhash, toxicity
+from onsetlab.llm import exact, nearcopies, mixing, pieces, toxicity
 from onsetlab.staging import staged
 
 
@@ -23,8 +23,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked SimHash fingerprints one document stays."""
-    return simhash.one_of_each(docs)
+    """Of each group linked by similarity 0.8 on five words one document stays."""
+    return nearcopies.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

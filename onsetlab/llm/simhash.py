@@ -39,20 +39,28 @@ LANES = 1 << 15
 HELD_LINKS = 1 << 20
 
 
-def simhash(text: str | None, words: int = SHINGLE) -> int:
-    """The fingerprint of one text: bit b is 1 if it is set in over half the shingles' XXH64."""
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of every shingle of a text, in order; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both touch ASCII only
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
-    hashes = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def simhash(text: str | None, words: int = SHINGLE) -> int:
+    """The fingerprint of one text: bit b is 1 if it is set in over half the shingles' XXH64."""
+    hashes = shingle_hashes(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -245,7 +253,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """The documents with all their columns, one of each component: the smallest doc_id, first copy."""
-    found = near_duplicates(docs, radius, words)
+    return first_of_each(docs, near_duplicates(docs, radius, words))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component of ``found`` (doc_id, text_key, component) the document with the smallest doc_id."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     best = found.groupBy("component").agg(first.alias("b"))
     best = best.select(F.col("b.doc_id").alias("doc_id"), F.col("b.text_key").alias("text_key"), F.lit(True).alias("stays"))

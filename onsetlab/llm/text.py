@@ -47,12 +47,12 @@ def attach(docs: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFra
     return left.join(right, on).select("l.row", "r.decided")
 
 
-def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str) -> DataFrame:
+def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str, at_once: int | None = None) -> DataFrame:
     """The ``keep`` columns of every row and what Python makes of its text, batch by batch in Arrow.
 
     ``make`` is called once in each task and gives a function from a list of texts to one sequence per
     field of the DDL ``fields``. The kept columns never pass through Python objects, so null ids next
-    to large ones stay exact.
+    to large ones stay exact. ``at_once`` bounds the texts of a call where what is made of them is large.
     """
     new = StructType.fromDDL(fields)
     rows = docs.select(*keep, F.col("text").alias("__text"))
@@ -61,7 +61,9 @@ def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        step = at_once or 1 << 31
+        parts = (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step))
+        for batch in parts:
             made = work(batch.column(batch.num_columns - 1).to_pylist())
             arrays = batch.columns[:-1] + [pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())

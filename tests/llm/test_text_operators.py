@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from onsetlab.llm import exact, iblt, lengths, mixing, pieces, pii, queries, sharding, simhash, substrings, toxicity
+from onsetlab.llm import exact, iblt, lengths, mixing, nearcopies, pieces, pii, queries, sharding, simhash, substrings, toxicity
 from onsetlab.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -402,6 +402,53 @@ def test_near_stage_keeps_one_of_each_component(docs):
     assert sorted(kept) == sorted({r.component_id for r in found})
 
 
+def brute_likeness(texts):
+    """The least number of each component of the pairs of similarity 0.8 on five words."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def edited_copies():
+    """Forty texts of 200 words with seven copies each, of one to nine edited words, and a common line in all."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(40):
+        words = rng.integers(0, 5000, 200).tolist()
+        for copy in range(8):
+            w = list(words)
+            for at in rng.choice(200, copy + (copy > 4), replace=False):
+                w[at] = int(rng.integers(5000, 10000))
+            texts.append(" ".join(map(str, w)) + " and a common line that stands below each and every text here")
+    return texts
+
+
+@pytest.mark.parametrize("pairs_a_row", [0, 4])
+def test_near_stage_finds_all_of_similarity(spark, odd, monkeypatch, pairs_a_row):
+    monkeypatch.setattr(nearcopies, "PAIRS_A_ROW", pairs_a_row)
+    texts = [t for _, t in ODD] + edited_copies()
+    rows = [(i, t, "en", "s", 0, *["clash"] * 9) for i, t in enumerate(texts)]
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), SF)
+    want = sorted(set(brute_likeness(texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert len(want) < 0.7 * len(texts)
+
+
+def test_near_stage_on_documents(spark, docs, texts):
+    ids = sorted(texts)
+    want = {ids[k] for k in brute_likeness([texts[i] for i in ids])}
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == want
+    assert len(want) < len(ids)
+
+
 def test_registered_sql_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert {n.split("_")[0] for n in queries.queries()} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
