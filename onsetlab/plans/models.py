@@ -73,6 +73,15 @@ def mixed_balanced(spark, sf):
     return model.blups(model.fit()).select("subject", F.round("fixed", 3).alias("fixed"), F.round("blup", 3).alias("blup"))
 
 
+@query("mixed_events")
+def mixed_events(spark, sf):
+    """All events of all subjects; groups of unequal size have no closed form, so there is no SQL."""
+    rows = ev.events(spark, sf)
+    y = F.col("value") + 20 * (F.col("subject") % 7)
+    model = mixed.MixedModel(rows, ["subject"], y, [F.lit(1.0)], [F.lit(1.0)])
+    return model.blups(model.fit()).select("subject", F.round("fixed", 3).alias("fixed"), F.round("blup", 3).alias("blup"))
+
+
 @query("change_feature")
 def change_feature(spark, sf):
     rows = ev.trial_features(spark, sf).filter("block in (1, 2)").withColumns({

@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 from oracle import connect, rows_of, rows_of_sql
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from onsetlab.plans import registry
@@ -20,6 +22,34 @@ def test_query_equals_sql(spark, con, name):
     assert rows_of(df) == expected
 
 
+def test_mixed_events_fits_all_events_of_all_subjects(spark, tmp_path):
+    sizes = [1, 2, 7, 39, 40, 41, 90, 200]
+    rng = np.random.default_rng(4)
+    rows = [(u, float(rng.normal(30, 8))) for u, n in enumerate(sizes) for _ in range(n)]
+    rows = [(k, u, "2024-01-01 00:00:00", "view", v) for k, (u, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double")
+    df.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.subject: r for r in registry.QUERIES["mixed_events"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(sizes)))
+
+    y = {u: np.array([v + 20 * (u % 7) for _, w, _, _, v in rows if w == u]) for u in range(len(sizes))}
+    n, m = np.array(sizes), np.array([y[u].mean() for u in y])
+    within = sum(((v - v.mean()) ** 2).sum() for v in y.values())
+
+    def reml(ratio):  # of the variances between and within; the residual variance is profiled out
+        w = n / (1 + n * ratio)
+        mu = (w * m).sum() / w.sum()
+        df = n.sum() - 1
+        s2 = (within + (w * (m - mu) ** 2).sum()) / df
+        return df * np.log(s2) + np.log(1 + n * ratio).sum() + np.log(w.sum()), mu
+
+    best = min(np.exp(np.linspace(-3, 6, 200_001)), key=lambda r: reml(r)[0])
+    mu = reml(best)[1]
+    for u, r in got.items():
+        shrink = n[u] * best / (1 + n[u] * best)
+        assert abs(r.fixed - mu) < 0.01 and abs(r.blup - (mu + shrink * (m[u] - mu))) < 0.01
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
