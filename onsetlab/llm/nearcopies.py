@@ -1,14 +1,21 @@
-"""Near copies by the exact Jaccard similarity of word shingles: every pair of at least 0.8 is found.
+"""SimHash near-dedup at a stated similarity: every pair of at least 0.8 on word shingles is linked.
 
-Candidates come from prefixes: with the shingles of all texts in one order, two sets of similarity 0.8
-share a shingle among the first ``n - ceil(0.8 n) + 1`` of each. Any order is exact; here shingles that
-are frequent in a sample come last, so that a common line is in few prefixes. Candidates that can no
-longer reach the similarity by their sizes and places are left out, which loses none.
+This is the bit-sliced comparison of ``simhash`` at a wide radius, with candidates that lose no such
+pair and a check in full behind it:
 
-Only the components matter. Texts of equal shingles are one node. In each round the nodes of a key are
-compared with one of them, which joins a large group of near copies with a row for each copy; rounds go on
-while they join something, and then all pairs of a key that are still in different components are compared.
-Sets are compared in full (64-bit shingles), never by a sketch.
+* Fingerprints are taken over the set of a text's shingles. Sets of similarity 0.8 differ in about ten
+  bits; at ``RADIUS`` fewer than one such pair in a million is missed, and most unrelated pairs go.
+* Fingerprints meet under shingles. In one order of all shingles two sets of similarity 0.8 share one
+  among the first ``n - ceil(0.8 n) + 1`` of each. Any order is exact; here shingles in buckets that
+  many documents hit come last, so that a common line is in few prefixes. The hits are counted over all
+  documents, in a table of fixed size.
+* The rows of a key are compared as bit planes, pairs that their sizes and places rule out are left
+  out, and what remains is compared by the whole sets (64-bit shingles).
+
+Only components matter. Texts of equal shingles are one node. In each round every node of a key is
+compared with one of the key's nodes, which joins a large group of near copies with a row for each copy;
+rounds go on while they join something, and then all pairs of a key that are still in different
+components are compared.
 
 Nulls, ties, odd rows: null and wordless texts have no shingle and are one node; a text of fewer words
 than a shingle is one shingle; rows that repeat, or have null ids, are rows of their own.
@@ -16,23 +23,64 @@ than a shingle is one shingle; rows that repeat, or have null ids, are rows of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onsetlab.llm.components import components
-from onsetlab.llm.simhash import first_of_each, shingle_hashes
-from onsetlab.llm.text import per_text, text_key
+from onsetlab.llm.simhash import close_pairs, first_of_each, majority, tasks, whole_tasks
+from onsetlab.llm.text import maybe_in, per_text, text_key
 from onsetlab.staging import staged
 
 WORDS = 5
-#: Documents (about) whose shingles are counted for the order, and shingles that go last at most.
-SAMPLE_DOCS = 5_000
-LAST = 50_000
+#: Differing bits at which pairs are still checked in full.
+RADIUS = 28
+#: Buckets in which hits of shingles are counted, and how many of them go last.
+BUCKETS, LAST = 20, 1 << 16
 #: Texts that Python holds the shingles of.
 AT_ONCE = 512
 #: Cross pairs, as a multiple of the rows, that are compared without another round first.
 PAIRS_A_ROW = 4
+#: Bytes of texts that are hashed at once, more where a text is longer.
+PIECE = 1 << 18
+
+_ODD = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, np.int8)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = 1
+_VALUE = np.cumsum(np.full(256, 0xC2B2AE3D27D4EB4F, np.uint64)) ** np.uint64(3)  # odd and even, all different
+_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = 1 << n.bit_length()
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of every word (run without ASCII white space, A-Z as a-z) a 64-bit hash, a sum of weighted bytes, and its place."""
+    part = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[part], prepend=np.int8(1), append=np.int8(1)))
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _powers_to(len(part))
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_VALUE[part] * power[: len(part)], out=total[1:])
+    return _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
 
 
 def prefix_length(n: int) -> int:
@@ -45,62 +93,94 @@ def _similar(both, a, b):
     return 9 * both >= 4 * (a + b)
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct shingles of a text, ascending."""
-    return np.unique(shingle_hashes(text, words)).view(np.int64)
+def _shingled(h: np.ndarray, words: int) -> np.ndarray:
+    n = len(h) - words + 1
+    x = np.full(max(0, n), words, np.uint64)
+    for j in range(words if n > 0 else 0):
+        x = _mixed((x + h[j : j + n]) * np.uint64(_ODD))
+    return x
+
+
+def shingles(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Of each text the distinct shingles as mixed hashes of their words, ascending."""
+    held: list[bytes] = []
+    size = 0
+    for k, text in enumerate(texts):
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size < PIECE and k < len(texts) - 1:
+            continue
+        h, place = word_hashes(b"\n".join(held))
+        ends = np.searchsorted(place, np.cumsum([len(t) + 1 for t in held])).tolist()
+        x, begin = _shingled(h, words), 0
+        for end in ends:
+            n = end - begin
+            yield np.unique(x[begin : end - words + 1] if n >= words else _shingled(h[begin:end], n)) if n else h[:0]
+            begin = end
+        held, size = [], 0
 
 
 def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """At most ``LAST`` shingles that several sampled texts have, by rising frequency."""
+    """At most ``LAST`` buckets of shingles that many documents hit, by rising hits.
 
-    def sets(texts: list) -> list:
-        return [[shingles(t, words) for t in texts]]
+    Every task counts all its documents in one array; a bucket that a share of all documents hits is hit
+    by that share in some task, so only such buckets leave it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, n = np.zeros(1 << BUCKETS, np.int32), 0
+        for batch in batches:
+            for s in shingles(batch.column(0).to_pylist(), words):
+                hits[s >> np.uint64(64 - BUCKETS)] += 1
+            n += batch.num_rows
+        often = np.flatnonzero((hits > 1) & (hits.astype(np.int64) * 512 >= n))
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(hits[often], pa.int64())], names=["bucket", "n"])
 
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(text_key("text"), F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))
-    counts = per_text(docs.filter(drawn), [], lambda: sets, "s array<long>", AT_ONCE).select(F.explode("s").alias("s"))
-    counts = counts.groupBy("s").agg(F.count("*").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "s").limit(LAST)
-    return np.array([r.s for r in counts.collect()][::-1], np.int64)  # bounded by LAST
+    counts = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "bucket").limit(LAST).collect()  # bounded by LAST
+    return np.array([r.bucket for r in reversed(top)], np.int64)
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, text_key, node (the hash of the set), size and the prefix of every document."""
-    by_hash = np.argsort(last)
-    known = last[by_hash]
+    """doc_id, text_key, node (the hash of the set), fp, size and the prefix of every document."""
+    ranks = docs.sparkSession.sparkContext.broadcast(last)
 
-    def work(texts: list) -> list:
+    def make():
         from xxhash import xxh64_intdigest
 
-        node, size, prefix = [], [], []
-        for t in texts:
-            s = shingles(t, words)
-            node.append(xxh64_intdigest(s.tobytes(), 7))
-            size.append(len(s))
-            rank = np.zeros(len(s), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                rank = np.where(known[at] == s, by_hash[at] + 1, 0)
-            prefix.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]])
-        return [np.array(node, np.uint64).view(np.int64), size, prefix]
+        rank_of = np.zeros(1 << BUCKETS, np.int32)
+        rank_of[ranks.value] = np.arange(1, len(ranks.value) + 1)
 
-    return per_text(docs, ["doc_id", text_key("text").alias("text_key")], lambda: work, "node long, size int, prefix array<long>", AT_ONCE)
+        def work(texts: list) -> list:
+            node, fp, size, prefix = [], [], [], []
+            for s in shingles(texts, words):
+                node.append(xxh64_intdigest(s.tobytes(), 7))
+                fp.append(majority(s))
+                size.append(len(s))
+                rank = rank_of[s >> np.uint64(64 - BUCKETS)]
+                prefix.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]].view(np.int64))
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            return [signed(node), signed(fp), size, prefix]
 
+        return work
 
-def _sets(docs: DataFrame, members: DataFrame, shared: DataFrame, words: int) -> DataFrame:
-    """node and shingles of the nodes that share a key with another."""
-    wanted = staged(shared.select("node").distinct(), "near-wanted")
-    one = members.join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    texts = docs.select(text_key("text").alias("text_key"), "text").join(one, "text_key").dropDuplicates(["node"])
+    fields = "node long, fp long, size int, prefix array<long>"
+    return per_text(docs, ["doc_id", text_key("text").alias("text_key")], make, fields, AT_ONCE)
 
-    def sets(texts: list) -> list:
-        return [[shingles(t, words) for t in texts]]
 
-    return staged(per_text(texts, ["node"], lambda: sets, "shingles array<long>", AT_ONCE), "near-sets")
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Of the pairs (u, v) of nodes those of similarity 0.8 or more, by their whole sets."""
+    pairs = staged(pairs.distinct(), "near-pairs")
+    wanted = staged(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near-wanted")
+    one = members.select("node", "text_key").join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    one = staged(one, "near-one")
+    texts = maybe_in(docs.select(text_key("text").alias("text_key"), "text"), F.col("text_key"), one.select("text_key"))
+    texts = texts.join(one, "text_key").dropDuplicates(["node"])
 
+    def sets(texts: list) -> list:
+        return [[s.view(np.int64) for s in shingles(texts, words)]]
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) those of similarity 0.8 or more."""
-    pairs = staged(pairs.distinct(), "near-pairs")
+    sets = staged(per_text(texts, ["node"], lambda: sets, "shingles array<long>", AT_ONCE), "near-sets")
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     # Written between, so that each join is one of two plain shuffles and can be split at a frequent node.
@@ -113,16 +193,27 @@ def _possible(a: str, b: str):
     """Whether two rows of a key can be similar when the key is the first shingle that they share."""
     size, other = F.col(f"{a}.size"), F.col(f"{b}.size")
     rest = F.least(size - F.col(f"{a}.pos"), other - F.col(f"{b}.pos"))
-    return _similar(rest, size, other)
+    return _similar(rest, size, other) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
+
+
+def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of the rows of each task (neighbours in the partition) that are worth a check, by bit planes."""
+    for part in whole_tasks(frames):
+        size, rest = part["size"].to_numpy(np.int64), (part["size"] - part["pos"]).to_numpy(np.int64)
+        node, c, fp = (part[k].to_numpy() for k in ("node", "c", "fp"))
+        for i, j in close_pairs(part["task"].to_numpy(), fp.view(np.uint64), RADIUS):
+            fits = (c[i] != c[j]) & _similar(np.minimum(rest[i], rest[j]), size[i], size[j])
+            u, v = node[i[fits]], node[j[fits]]
+            yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
 
 
 def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, component) of all nodes that are joined with another."""
-    rows = members.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    keys = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    shared = staged(rows.join(staged(keys, "near-keys"), "key"), "near-rows")
-    shared = staged(shared.distinct(), "near-shared")
-    sets = _sets(docs, members, shared, words)
+    nodes = members.select("node", "fp", "size", "prefix").dropDuplicates(["node"])
+    rows = nodes.select("node", "fp", "size", F.posexplode("prefix").alias("pos", "key"))
+    same = Window.partitionBy("key")
+    rows = rows.withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)})
+    shared = staged(rows.filter("low < high").drop("low", "high"), "near-shared")
     n_rows = shared.count()
     edges, found, k = None, 0, 0
     state = shared.withColumn("c", F.col("node"))
@@ -133,17 +224,20 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
         open_pairs = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("q")).cast("double")) / 2).first()[0] or 0
         if open_pairs <= PAIRS_A_ROW * n_rows or (k and not found):
             break
-        one = F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", F.lit(k)))
+        one = F.min_by(F.struct("node", "fp", "size", "pos", "c"), F.xxhash64("node", F.lit(k)))
         one = staged(state.groupBy("key").agg(one.alias("o")).select("key", "o.*"), "near-one")
         tried = state.alias("a").join(one.alias("o"), "key").filter(F.col("a.c") != F.col("o.c")).filter(_possible("a", "o"))
-        low, high = F.least("a.node", "o.node"), F.greatest("a.node", "o.node")
-        new = staged(_verified(staged(tried.select(low.alias("u"), high.alias("v")), "near-tried"), sets), "near-edges")
+        # Each node tries the nearest of the keys' nodes only; the others wait for the next round or the end.
+        nearest = F.struct(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("o.fp"))), F.xxhash64("o.node", F.lit(k)))
+        tried = tried.groupBy(F.col("a.node").alias("a")).agg(F.min_by("o.node", nearest).alias("o"))
+        new = staged(_verified(docs, members, tried.select(F.least("a", "o").alias("u"), F.greatest("a", "o").alias("v")), words), "near-edges")
         found, k = new.count(), k + 1
         edges = new if edges is None else edges.unionByName(new)
         member = staged(components(edges, "near-components"), "near-member")
         state = staged(_named(shared, member), "near-state")
-    pair = state.alias("a").join(state.alias("o"), "key").filter("a.node < o.node and a.c <> o.c").filter(_possible("a", "o"))
-    new = _verified(staged(pair.select(F.col("a.node").alias("u"), F.col("o.node").alias("v")), "near-tried"), sets)
+    compared = tasks(state.select("key", "node", "fp", "size", "pos", "c"), "node")
+    pairs = compared.mapInPandas(_candidates, "u long, v long")
+    new = staged(_verified(docs, members, pairs, words), "near-edges")
     return components(new if edges is None else edges.unionByName(new), "near-components")
 
 

@@ -22,11 +22,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onsetlab.llm.components import components
-from onsetlab.llm.text import attach, per_text, text_key
+from onsetlab.llm.text import kept_rows, per_text, text_key
 from onsetlab.staging import staged
 
 RADIUS = 4
@@ -57,10 +57,12 @@ def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
 
 def simhash(text: str | None, words: int = SHINGLE) -> int:
     """The fingerprint of one text: bit b is 1 if it is set in over half the shingles' XXH64."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero for none."""
     n = len(hashes)
-    if not n:
-        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -150,15 +152,14 @@ def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def connect(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each row the least row it reaches over links (equal key, fingerprints within the radius).
+def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows (i, j) of an equal key whose fingerprints are within the radius, in parts.
 
     Rows of one key must be neighbours.
     """
     n = len(fps)
-    root = np.arange(n)
     if n < 2:
-        return root
+        return
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[begins, n])
     order = np.argsort(-lengths, kind="stable")  # longest runs first: the lanes still in use are then a prefix
@@ -178,10 +179,17 @@ def connect(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarr
             held.append((lane[at], lane[at + d]))
             held_n += len(at)
         if held_n > HELD_LINKS:
-            _merge(root, *map(np.concatenate, zip(*held, strict=True)))
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
             held, held_n = [], 0
     if held:
-        _merge(root, *map(np.concatenate, zip(*held, strict=True)))
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def connect(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each row the least row it reaches over close pairs. Rows of one key must be neighbours."""
+    root = np.arange(len(fps))
+    for i, j in close_pairs(keys, fps, radius):
+        _merge(root, i, j)
     return root
 
 
@@ -194,24 +202,26 @@ def _compare(radius: int):
         return pd.DataFrame({"u": fp[own], "v": fp[root][own]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, fp = np.empty(0, np.int64), np.empty(0, np.int64)
-        for frame in frames:
-            task = np.concatenate([task, frame["task"].to_numpy()])
-            fp = np.concatenate([fp, frame["fp"].to_numpy()])
-            if len(task) >= LANES:
-                whole = len(task) - _tail(task)
-                yield stars(task[:whole], fp[:whole])
-                task, fp = task[whole:], fp[whole:]
-        if len(task):
-            yield stars(task, fp)
+        for part in whole_tasks(frames):
+            yield stars(part["task"].to_numpy(), part["fp"].to_numpy())
 
     return run
 
 
-def _tail(task: np.ndarray) -> int:
-    """Rows of the last task, which may go on in the next batch."""
-    other = np.flatnonzero(task != task[-1])
-    return len(task) - (int(other[-1]) + 1 if len(other) else 0)
+def whole_tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition again, in parts of about ``LANES`` that end with a task."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= LANES:
+            rows = pd.concat(held, ignore_index=True)
+            other = np.flatnonzero(rows["task"].to_numpy() != rows["task"].iat[-1])
+            done = int(other[-1]) + 1 if len(other) else 0
+            if done:
+                yield rows.iloc[:done]
+            held = [rows.iloc[done:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
 
 
 def choices(radius: int = RADIUS, pieces: int = PIECES) -> list[int]:
@@ -226,15 +236,24 @@ def links(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, chunk: int
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(choices(radius, pieces))]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    return tasks(rows, "fp", chunk).mapInPandas(_compare(radius), "u long, v long").distinct()
+
+
+def tasks(rows: DataFrame, own: str, chunk: int = CHUNK) -> DataFrame:
+    """Deal ``rows`` with a ``key`` into tasks (a column) that compare all pairs of a key's rows.
+
+    The rows of a task are neighbours; a key of more than ``chunk`` rows is cut by the hash of the column
+    ``own``, and its pairs of chunks are tasks. Keys of one row go. Keys are counted by an aggregate.
+    """
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(staged(counts, "simhash-keys"), "key")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64(own), parts).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     task = F.when(parts == 1, F.col("key")).otherwise(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
     )
-    tasks = rows.select(task.alias("task"), "fp").repartition("task").sortWithinPartitions("task")
-    return tasks.mapInPandas(_compare(radius), "u long, v long").distinct()
+    return rows.withColumn("task", task).drop("key", "n", "_own", "_other").repartition("task").sortWithinPartitions("task")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
@@ -259,9 +278,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) ->
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Of each component of ``found`` (doc_id, text_key, component) the document with the smallest doc_id."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
-    best = found.groupBy("component").agg(first.alias("b"))
-    best = best.select(F.col("b.doc_id").alias("doc_id"), F.col("b.text_key").alias("text_key"), F.lit(True).alias("stays"))
-    return attach(docs, best, ["stays"]).select("row.*")
+    best = staged(found.groupBy("component").agg(first.alias("b"), F.count("*").alias("n")), "simhash-first")
+    best = best.select(F.col("b.doc_id").alias("doc_id"), F.col("b.text_key").alias("text_key"), "component", "n")
+    mixed = found.join(best.filter("n > 1").select("component"), "component").select("doc_id", "text_key")
+    return kept_rows(docs, mixed, best.filter("n > 1").select("doc_id", "text_key"))
 
 
 def query(docs: DataFrame) -> DataFrame:

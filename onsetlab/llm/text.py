@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from onsetlab.staging import staged
+
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,12 +49,54 @@ def attach(docs: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFra
     return left.join(right, on).select("l.row", "r.decided")
 
 
-def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str, at_once: int | None = None) -> DataFrame:
+#: Bits of the table that ``maybe_in`` broadcasts; 64 of them are a row, so it has 524,288 rows at most.
+HIT_BITS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, outside: bool = False) -> DataFrame:
+    """The rows whose ``key`` (a long) may be in the one column of ``keys``, without a shuffle of ``rows``.
+
+    All keys set bits of one table of fixed size, which is broadcast. No row with a key is lost; some
+    without one stay, more of them the fuller the table is, and a join behind it decides. ``outside``
+    gives the other rows, which have none of the keys.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k, F.lit(91)), F.lit(HIT_BITS))
+    name = "__slot"
+    bit = F.expr(f"shiftleft(1L, cast({name} & 63 as int))")
+    bits = keys.select(slot(F.col(keys.columns[0])).alias(name)).groupBy(F.shiftright(name, 6).alias("__word"))
+    bits = F.broadcast(bits.agg(F.bit_or(bit).alias("__bits")))
+    marked = rows.withColumn(name, slot(key))
+    marked = marked.join(bits, F.shiftright(name, 6) == F.col("__word"), "left" if outside else "inner")
+    hit = F.coalesce(F.col("__bits"), F.lit(0)).bitwiseAND(bit) != 0
+    return marked.filter(~hit if outside else hit).drop(name, "__word", "__bits")
+
+
+def kept_rows(docs: DataFrame, mixed: DataFrame, stay: DataFrame) -> DataFrame:
+    """``docs`` without those rows of ``mixed`` that are not in ``stay`` (both doc_id and text_key).
+
+    Of rows that repeat in doc_id and text, ``stay`` keeps as many as it names. Only rows that may be in
+    ``mixed`` are shuffled.
+    """
+    row_key = lambda: F.xxhash64("doc_id", "text_key")
+    hits = staged(mixed.select(row_key().alias("k")).distinct(), "kept-hits")
+    inner = docs.select(F.struct("*").alias("row"), F.col("doc_id"), text_key("text").alias("text_key"))
+    sure = maybe_in(inner, row_key(), hits, outside=True).select("row.*")
+    maybe = numbered(maybe_in(inner, row_key(), hits)).alias("d")
+    keys = ("doc_id", "text_key")
+    in_mixed = mixed.distinct().select("doc_id", "text_key", F.lit(True).alias("was")).alias("m")
+    on = lambda a, b, k: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in k]
+    tagged = maybe.join(in_mixed, on("d", "m", keys), "left").select("d.*", "m.was").alias("d")
+    named = numbered(stay).select(*keys, "copy_no", F.lit(True).alias("stays")).alias("s")
+    tagged = tagged.join(named, on("d", "s", (*keys, "copy_no")), "left")
+    return sure.unionByName(tagged.filter("d.was is null or s.stays").select("d.row.*"))
+
+
+def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str, at_once: int = 1024) -> DataFrame:
     """The ``keep`` columns of every row and what Python makes of its text, batch by batch in Arrow.
 
     ``make`` is called once in each task and gives a function from a list of texts to one sequence per
     field of the DDL ``fields``. The kept columns never pass through Python objects, so null ids next
-    to large ones stay exact. ``at_once`` bounds the texts of a call where what is made of them is large.
+    to large ones stay exact. ``at_once`` bounds the texts of a call, and with them what Python holds.
     """
     new = StructType.fromDDL(fields)
     rows = docs.select(*keep, F.col("text").alias("__text"))
@@ -61,8 +105,7 @@ def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        step = at_once or 1 << 31
-        parts = (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step))
+        parts = (b.slice(k, at_once) for b in batches for k in range(0, b.num_rows, at_once))
         for batch in parts:
             made = work(batch.column(batch.num_columns - 1).to_pylist())
             arrays = batch.columns[:-1] + [pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
