@@ -31,8 +31,10 @@ from onsetlab.llm.text import per_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks whose pieces a worker remembers, and the longest such chunk.
-REMEMBERED, LONGEST = 1 << 19, 64
+#: Chunks whose pieces a worker remembers for good and for a while (as many each), and the longest such chunk.
+REMEMBERED, LONGEST = 1 << 17, 64
+#: Pairs of pieces that it remembers.
+PAIRS = 1 << 18
 UNKNOWN_PENALTY = 10.0
 _NONE = float("-inf")
 
@@ -64,6 +66,7 @@ class Pieces:
         cut = "" if "\n" in used else "\n"
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + f"|{cut}" * bool(cut)).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.names = [sp.id_to_piece(i) for i in range(len(sp))] + [""]
         self.single = frozenset(c for c in used if c in self.score)
@@ -95,7 +98,7 @@ class Pieces:
                 fits = pairs.get(key)
                 if fits is None:
                     fits = self._follows(names[before], names[piece])
-                    if len(pairs) >= REMEMBERED:
+                    if len(pairs) >= PAIRS:
                         pairs.clear()
                     pairs[key] = fits
                 if fits:
@@ -151,18 +154,18 @@ class Pieces:
         ids: list[int] = []
         if not text:
             return ids
-        known = self.known
+        known, recent = self.known, self.recent
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 ids.extend(self.byte[b] for b in SPACE.encode())
             for chunk in self.chunks(("" if k else SPACE) + part.replace(" ", SPACE)):
-                got = known.get(chunk)
+                got = known.get(chunk) or recent.get(chunk)
                 if got is None:
                     got = self.viterbi(chunk)
                     if len(chunk) <= LONGEST:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[chunk] = got
+                        if len(recent) >= REMEMBERED:
+                            recent.clear()
+                        (known if len(known) < REMEMBERED else recent)[chunk] = got
                 ids += got
         return ids
 

@@ -33,7 +33,7 @@ EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 FOLDS = 5
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 15
 
 
 class _Hashes(dict):

@@ -252,6 +252,28 @@ def test_exact(docs):
     assert got == {i: (k, n, s) for i, k, n, s, _ in want}
 
 
+@pytest.mark.parametrize("files", [1, 2])
+def test_exact_state_goes_on_between_micro_batches(spark, docs, files):
+    want = sorted(map(tuple, exact.query(docs).collect()))
+    spread = docs.repartition(5)
+    got = exact.dedup(spread, files_per_batch=files).select("doc_id", "keep_id", "group_size", "kept", "digest")
+    assert sorted(map(tuple, got.collect())) == want
+    assert max(r[2] for r in want) > 1
+
+
+def test_exact_orders_extreme_ids(spark):
+    ids = [(1 << 63) - 1, -(1 << 63), None, 0]
+    df = spark.createDataFrame([(i, "same text") for i in ids], "doc_id long, text string")
+    rows = exact.query(df).collect()
+    assert {r.keep_id for r in rows} == {-(1 << 63)} and [r.doc_id for r in rows if r.kept] == [-(1 << 63)]
+
+
+def test_exact_locators_name_the_rows(spark, docs):
+    rows = {(r.file, r.place): r for r in exact.dedup(docs).collect()}
+    located = exact.located(docs).select("file", "place", "doc_id").collect()
+    assert {k: r.doc_id for k, r in rows.items()} == {(r.file, r.place): r.doc_id for r in located}
+
+
 def test_exact_keeps_one_of_repeated_rows(odd):
     rows = exact.kept_documents(odd).collect()
     assert len(rows) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in ODD})
