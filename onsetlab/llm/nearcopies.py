@@ -9,12 +9,13 @@ pair and a check in full behind it:
   among the first ``n - ceil(0.8 n) + 1`` of each. Any order is exact; here shingles in buckets that
   many documents hit come last, so that a common line is in few prefixes. The hits are counted over all
   documents, in a table of fixed size.
-* The rows of a key are compared as bit planes, pairs that their sizes and places rule out are left
-  out, and what remains is compared by the whole sets (64-bit shingles).
+* The rows of a key are compared as bit planes. The keys on which a pair meets are counted: what its
+  prefixes share and the rest of the longer bound its similarity, and pairs that cannot reach it go.
+  What remains is compared by the whole sets (64-bit shingles).
 
 Only components matter. Texts of equal shingles are one node. In each round every node of a key is
-compared with one of the key's nodes, which joins a large group of near copies with a row for each copy;
-rounds go on while they join something, and then all pairs of a key that are still in different
+compared with one near node of the key, which joins a large group of near copies with a row for each
+copy; rounds go on while they join something, and then all pairs of a key that are still in different
 components are compared.
 
 Nulls, ties, odd rows: null and wordless texts have no shingle and are one node; a text of fewer words
@@ -34,17 +35,17 @@ from pyspark.sql import functions as F
 from onsetlab.llm.components import components
 from onsetlab.llm.simhash import close_pairs, first_of_each, majority, tasks, whole_tasks
 from onsetlab.llm.text import maybe_in, per_text, text_key
-from onsetlab.staging import staged
+from onsetlab.staging import drop_staged, staged
 
 WORDS = 5
-#: Differing bits at which pairs are still checked in full.
-RADIUS = 28
+#: Differing bits at which pairs are still checked in full, and those of pairs that the rounds try.
+RADIUS, NEAR = 28, 12
 #: Buckets in which hits of shingles are counted, and how many of them go last.
 BUCKETS, LAST = 20, 1 << 16
 #: Texts that Python holds the shingles of.
 AT_ONCE = 512
 #: Cross pairs, as a multiple of the rows, that are compared without another round first.
-PAIRS_A_ROW = 4
+PAIRS_A_ROW = 16
 #: Bytes of texts that are hashed at once, more where a text is longer.
 PIECE = 1 << 18
 
@@ -169,54 +170,63 @@ def prefixes(docs: DataFrame, last: np.ndarray, words: int = WORDS) -> DataFrame
 
 
 def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Of the pairs (u, v) of nodes those of similarity 0.8 or more, by their whole sets."""
-    pairs = staged(pairs.distinct(), "near-pairs")
-    wanted = staged(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near-wanted")
+    """Of the pairs (u, v) of nodes those of similarity 0.8 or more, by their whole sets, as a written table."""
+    pairs = staged(pairs, "near-pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     one = members.select("node", "text_key").join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    one = staged(one, "near-one")
+    one = staged(one, "near-wanted")
     texts = maybe_in(docs.select(text_key("text").alias("text_key"), "text"), F.col("text_key"), one.select("text_key"))
-    texts = texts.join(one, "text_key").dropDuplicates(["node"])
+    texts = texts.join(one, "text_key").select("node", "text")  # a text that repeats gives its set again
 
     def sets(texts: list) -> list:
         return [[s.view(np.int64) for s in shingles(texts, words)]]
 
-    sets = staged(per_text(texts, ["node"], lambda: sets, "shingles array<long>", AT_ONCE), "near-sets")
+    sets = per_text(texts, ["node"], lambda: sets, "shingles array<long>", AT_ONCE).dropDuplicates(["node"])
+    sets = staged(sets, "near-sets")
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     # Written between, so that each join is one of two plain shuffles and can be split at a frequent node.
     half = staged(pairs.join(left, "u"), "near-halves")
     both = F.size(F.array_intersect("a", "b"))
-    return half.join(right, "v").filter(_similar(both, F.size("a"), F.size("b"))).select("u", "v")
-
-
-def _possible(a: str, b: str):
-    """Whether two rows of a key can be similar when the key is the first shingle that they share."""
-    size, other = F.col(f"{a}.size"), F.col(f"{b}.size")
-    rest = F.least(size - F.col(f"{a}.pos"), other - F.col(f"{b}.pos"))
-    return _similar(rest, size, other) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
+    found = staged(half.join(right, "v").filter(_similar(both, F.size("a"), F.size("b"))).select("u", "v"), "near-edges")
+    for table in (pairs, one, sets, half):
+        drop_staged(table)
+    return found
 
 
 def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of the rows of each task (neighbours in the partition) that are worth a check, by bit planes."""
+    """Pairs (u, v) of the rows of each task that are close by their bit planes, with the number of keys they meet on."""
     for part in whole_tasks(frames):
-        size, rest = part["size"].to_numpy(np.int64), (part["size"] - part["pos"]).to_numpy(np.int64)
+        size = part["size"].to_numpy(np.int64)
         node, c, fp = (part[k].to_numpy() for k in ("node", "c", "fp"))
         for i, j in close_pairs(part["task"].to_numpy(), fp.view(np.uint64), RADIUS):
-            fits = (c[i] != c[j]) & _similar(np.minimum(rest[i], rest[j]), size[i], size[j])
-            u, v = node[i[fits]], node[j[fits]]
-            yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+            fits = (c[i] != c[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j])
+            i, j = i[fits], j[fits]
+            u, v = np.where(node[i] < node[j], (i, j), (j, i))
+            pairs = pd.DataFrame({"u": node[u], "v": node[v], "size_u": size[u], "size_v": size[v], "key": part["key"].to_numpy()[i]})
+            pairs = pairs.drop_duplicates() if len(pairs) else pairs
+            yield pairs.groupby(["u", "v", "size_u", "size_v"], as_index=False).agg(n=("key", "size"))
+
+
+def _worth(pairs: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share enough: what they share beyond is in the rest of one of them."""
+    pairs = pairs.groupBy("u", "v", "size_u", "size_v").agg(F.sum("n").alias("n"))
+    rest = lambda n: F.col(n) - (F.col(n) - F.ceil(0.8 * F.col(n)) + 1)
+    most = F.col("n") + F.greatest(rest("size_u"), rest("size_v"))
+    return pairs.filter(_similar(most, F.col("size_u"), F.col("size_v"))).select("u", "v")
 
 
 def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, component) of all nodes that are joined with another."""
     nodes = members.select("node", "fp", "size", "prefix").dropDuplicates(["node"])
-    rows = nodes.select("node", "fp", "size", F.posexplode("prefix").alias("pos", "key"))
+    rows = nodes.select("node", "fp", "size", F.explode("prefix").alias("key"))
     same = Window.partitionBy("key")
     rows = rows.withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)})
     shared = staged(rows.filter("low < high").drop("low", "high"), "near-shared")
     n_rows = shared.count()
     edges, found, k = None, 0, 0
     state = shared.withColumn("c", F.col("node"))
+    distance = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("o.fp")))
     while True:
         # Pairs of a key in different components, counted from the keys' sums.
         parts = state.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
@@ -224,20 +234,22 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
         open_pairs = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("q")).cast("double")) / 2).first()[0] or 0
         if open_pairs <= PAIRS_A_ROW * n_rows or (k and not found):
             break
-        one = F.min_by(F.struct("node", "fp", "size", "pos", "c"), F.xxhash64("node", F.lit(k)))
+        one = F.min_by(F.struct("node", "fp", "c"), F.xxhash64("node", F.lit(k)))
         one = staged(state.groupBy("key").agg(one.alias("o")).select("key", "o.*"), "near-one")
-        tried = state.alias("a").join(one.alias("o"), "key").filter(F.col("a.c") != F.col("o.c")).filter(_possible("a", "o"))
+        tried = state.alias("a").join(one.alias("o"), "key").filter(F.col("a.c") != F.col("o.c")).filter(distance <= NEAR)
         # Each node tries the nearest of the keys' nodes only; the others wait for the next round or the end.
-        nearest = F.struct(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("o.fp"))), F.xxhash64("o.node", F.lit(k)))
-        tried = tried.groupBy(F.col("a.node").alias("a")).agg(F.min_by("o.node", nearest).alias("o"))
-        new = staged(_verified(docs, members, tried.select(F.least("a", "o").alias("u"), F.greatest("a", "o").alias("v")), words), "near-edges")
+        tried = tried.groupBy(F.col("a.node").alias("a")).agg(F.min_by("o.node", F.struct(distance, F.xxhash64("o.node", F.lit(k)))).alias("o"))
+        new = _verified(docs, members, tried.select(F.least("a", "o").alias("u"), F.greatest("a", "o").alias("v")).distinct(), words)
         found, k = new.count(), k + 1
         edges = new if edges is None else edges.unionByName(new)
         member = staged(components(edges, "near-components"), "near-member")
-        state = staged(_named(shared, member), "near-state")
-    compared = tasks(state.select("key", "node", "fp", "size", "pos", "c"), "node")
-    pairs = compared.mapInPandas(_candidates, "u long, v long")
-    new = staged(_verified(docs, members, pairs, words), "near-edges")
+        now = staged(_named(shared, member), "near-state")
+        for table in (one, *((state,) if k > 1 else ())):
+            drop_staged(table)
+        state = now
+    compared = tasks(state.select("key", "node", "fp", "size", "c"), "node")
+    pairs = compared.mapInPandas(_candidates, "u long, v long, size_u long, size_v long, n long")
+    new = _verified(docs, members, _worth(pairs), words)
     return components(new if edges is None else edges.unionByName(new), "near-components")
 
 

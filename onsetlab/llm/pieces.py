@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onsetlab.llm.lengths import read_vocabulary
-from onsetlab.llm.text import per_text
+from onsetlab.llm.text import per_row, per_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -185,7 +185,7 @@ def model(path: str, data: bytes) -> Pieces:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str = MODEL, keep: list | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, keep: list | None = None, with_text: bool = False) -> DataFrame:
     """The ``keep`` columns (doc_id, if none are named) and ids (array of int) of every document."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep: list | None = None) -> Data
         pieces = model(path, data.value)
         return lambda texts: [[np.array(pieces.encode(t), np.int32) for t in texts]]
 
-    return per_text(docs, keep or ["doc_id"], make, "ids array<int>")
+    return per_text(docs, keep or ["doc_id"], make, "ids array<int>", with_text=with_text)
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -209,8 +209,8 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 def tokenised(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """The documents with all their columns, and ``ids`` and ``n_tokens`` (which replace columns of that name)."""
-    rows = encode(docs, path, [F.struct("*").alias("row")])
-    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    rows, columns = per_row(docs, lambda d, keep, with_text: encode(d, path, keep, with_text))
+    own = [column for name, column in zip(docs.columns, columns, strict=True) if name.lower() not in ("ids", "n_tokens")]
     return rows.select(*own, "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 

@@ -236,7 +236,7 @@ def links(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, chunk: int
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(choices(radius, pieces))]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    return tasks(rows, "fp", chunk).mapInPandas(_compare(radius), "u long, v long").distinct()
+    return tasks(rows, "fp", chunk).select("task", "fp").mapInPandas(_compare(radius), "u long, v long").distinct()
 
 
 def tasks(rows: DataFrame, own: str, chunk: int = CHUNK) -> DataFrame:
@@ -253,7 +253,7 @@ def tasks(rows: DataFrame, own: str, chunk: int = CHUNK) -> DataFrame:
     task = F.when(parts == 1, F.col("key")).otherwise(
         F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
     )
-    return rows.withColumn("task", task).drop("key", "n", "_own", "_other").repartition("task").sortWithinPartitions("task")
+    return rows.withColumn("task", task).drop("n", "_own", "_other").repartition("task").sortWithinPartitions("task")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:

@@ -91,16 +91,18 @@ def kept_rows(docs: DataFrame, mixed: DataFrame, stay: DataFrame) -> DataFrame:
     return sure.unionByName(tagged.filter("d.was is null or s.stays").select("d.row.*"))
 
 
-def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str, at_once: int = 1024) -> DataFrame:
+def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str, at_once: int = 1024, with_text: bool = False) -> DataFrame:
     """The ``keep`` columns of every row and what Python makes of its text, batch by batch in Arrow.
 
     ``make`` is called once in each task and gives a function from a list of texts to one sequence per
     field of the DDL ``fields``. The kept columns never pass through Python objects, so null ids next
     to large ones stay exact. ``at_once`` bounds the texts of a call, and with them what Python holds.
+    ``with_text`` gives the text back as well, as ``__text``.
     """
     new = StructType.fromDDL(fields)
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = StructType(rows.schema.fields[:-1] + new.fields)
+    kept = len(rows.columns) - (not with_text)
+    schema = StructType(rows.schema.fields[:kept] + new.fields)
     types = [to_arrow_type(f.dataType) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,17 @@ def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Calla
         parts = (b.slice(k, at_once) for b in batches for k in range(0, b.num_rows, at_once))
         for batch in parts:
             made = work(batch.column(batch.num_columns - 1).to_pylist())
-            arrays = batch.columns[:-1] + [pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
+            arrays = batch.columns[:kept] + [pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
+
+
+def per_row(docs: DataFrame, run: Callable[..., DataFrame]) -> tuple[DataFrame, list[Column]]:
+    """What ``run(docs, keep, with_text)`` makes of every row, and the columns of ``docs`` in its result.
+
+    The text goes to Python once, the other columns as one struct, so that no name of theirs can clash.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    made = run(docs, [F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")], True)
+    return made, [F.col("__text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onsetlab.llm.text import per_text
+from onsetlab.llm.text import per_row, per_text
 
 BITS = 20
 SAMPLE_ROWS = 1 << 14
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_rows: int
     return model["bucket"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list | None = None, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list | None = None, bits: int = BITS, with_text: bool = False) -> DataFrame:
     """The ``keep`` columns (doc_id, if none are named) and the score of every document."""
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -146,13 +146,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list | No
 
         return lambda texts: [[one(t) for t in texts]]
 
-    return per_text(docs, keep or ["doc_id"], make, "score double")
+    return per_text(docs, keep or ["doc_id"], make, "score double", with_text=with_text)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, with all their columns, that score below ``threshold``."""
-    scored = score(docs, train(docs, labels), [F.struct("*").alias("row")])
-    return scored.filter(F.col("score") < threshold).select("row.*")
+    model = train(docs, labels)
+    scored, columns = per_row(docs, lambda d, keep, with_text: score(d, model, keep, with_text=with_text))
+    return scored.filter(F.col("score") < threshold).select(*columns)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
