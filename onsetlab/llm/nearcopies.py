@@ -13,10 +13,10 @@ pair and a check in full behind it:
   prefixes share and the rest of the longer bound its similarity, and pairs that cannot reach it go.
   What remains is compared by the whole sets (64-bit shingles).
 
-Only components matter. Texts of equal shingles are one node. In each round every node of a key is
-compared with one near node of the key, which joins a large group of near copies with a row for each
-copy; rounds go on while they join something, and then all pairs of a key that are still in different
-components are compared.
+Only components matter. Texts of equal shingles are one node. In a round the rows of a key meet in chunks,
+dealt anew each time, and every node tries its few nearest, which joins a large group of near copies with
+a few rows for each copy; rounds go on while they join many, and then all pairs of a key that are
+still in different components are compared.
 
 Nulls, ties, odd rows: null and wordless texts have no shingle and are one node; a text of fewer words
 than a shingle is one shingle; rows that repeat, or have null ids, are rows of their own.
@@ -40,12 +40,16 @@ from onsetlab.staging import drop_staged, staged
 WORDS = 5
 #: Differing bits at which pairs are still checked in full, and those of pairs that the rounds try.
 RADIUS, NEAR = 28, 12
+#: Nearest nodes that a node tries in a round.
+NEAREST = 8
 #: Buckets in which hits of shingles are counted, and how many of them go last.
 BUCKETS, LAST = 20, 1 << 16
 #: Texts that Python holds the shingles of.
 AT_ONCE = 512
 #: Cross pairs, as a multiple of the rows, that are compared without another round first.
 PAIRS_A_ROW = 16
+#: Another round follows one that links more than a row in so many.
+WORTHWHILE = 500
 #: Bytes of texts that are hashed at once, more where a text is longer.
 PIECE = 1 << 18
 
@@ -194,17 +198,40 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int)
     return found
 
 
+def _several(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of those tasks that have more than one component."""
+    c, task = part["c"].to_numpy(), part["task"].to_numpy()
+    begins = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+    some = np.minimum.reduceat(c, begins) < np.maximum.reduceat(c, begins)
+    return part[np.repeat(some, np.diff(np.r_[begins, len(c)]))]
+
+
+def _nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each row of a task the nearest rows of other components, by bit planes."""
+    for part in map(_several, whole_tasks(frames)):
+        node, c, fp, task = (part[k].to_numpy() for k in ("node", "c", "fp", "task"))
+        for i, j in close_pairs(task, fp.view(np.uint64), NEAR):
+            other = c[i] != c[j]
+            i, j = np.r_[i[other], j[other]], np.r_[j[other], i[other]]
+            far = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32)
+            order = np.lexsort((node[j], far, i))
+            i, j, far = i[order], j[order], far[order]
+            begins = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
+            place = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
+            first = place < NEAREST
+            yield pd.DataFrame({"a": node[i[first]], "o": node[j[first]], "far": far[first]})
+
+
 def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (u, v) of the rows of each task that are close by their bit planes, with the number of keys they meet on."""
-    for part in whole_tasks(frames):
+    for part in map(_several, whole_tasks(frames)):
         size = part["size"].to_numpy(np.int64)
-        node, c, fp = (part[k].to_numpy() for k in ("node", "c", "fp"))
-        for i, j in close_pairs(part["task"].to_numpy(), fp.view(np.uint64), RADIUS):
+        node, c, fp, task, key = (part[k].to_numpy() for k in ("node", "c", "fp", "task", "key"))
+        for i, j in close_pairs(task, fp.view(np.uint64), RADIUS):
             fits = (c[i] != c[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j])
             i, j = i[fits], j[fits]
             u, v = np.where(node[i] < node[j], (i, j), (j, i))
-            pairs = pd.DataFrame({"u": node[u], "v": node[v], "size_u": size[u], "size_v": size[v], "key": part["key"].to_numpy()[i]})
-            pairs = pairs.drop_duplicates() if len(pairs) else pairs
+            pairs = pd.DataFrame({"u": node[u], "v": node[v], "size_u": size[u], "size_v": size[v], "key": key[i]})
             yield pairs.groupby(["u", "v", "size_u", "size_v"], as_index=False).agg(n=("key", "size"))
 
 
@@ -226,26 +253,23 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     n_rows = shared.count()
     edges, found, k = None, 0, 0
     state = shared.withColumn("c", F.col("node"))
-    distance = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("o.fp")))
     while True:
         # Pairs of a key in different components, counted from the keys' sums.
         parts = state.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
         parts = parts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
         open_pairs = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("q")).cast("double")) / 2).first()[0] or 0
-        if open_pairs <= PAIRS_A_ROW * n_rows or (k and not found):
+        if open_pairs <= PAIRS_A_ROW * n_rows or (k and found * WORTHWHILE <= n_rows):
             break
-        one = F.min_by(F.struct("node", "fp", "c"), F.xxhash64("node", F.lit(k)))
-        one = staged(state.groupBy("key").agg(one.alias("o")).select("key", "o.*"), "near-one")
-        tried = state.alias("a").join(one.alias("o"), "key").filter(F.col("a.c") != F.col("o.c")).filter(distance <= NEAR)
-        # Each node tries the nearest of the keys' nodes only; the others wait for the next round or the end.
-        tried = tried.groupBy(F.col("a.node").alias("a")).agg(F.min_by("o.node", F.struct(distance, F.xxhash64("o.node", F.lit(k)))).alias("o"))
-        new = _verified(docs, members, tried.select(F.least("a", "o").alias("u"), F.greatest("a", "o").alias("v")).distinct(), words)
+        met = tasks(state.select("key", "node", "fp", "c"), "node", seed=k + 1).mapInPandas(_nearest, "a long, o long, far int")
+        met = met.distinct().groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "o"))), 1, NEAREST).alias("o"))
+        tried = met.select("a", F.explode("o.o").alias("o")).select(F.least("a", "o").alias("u"), F.greatest("a", "o").alias("v"))
+        new = _verified(docs, members, tried.distinct(), words)
         found, k = new.count(), k + 1
         edges = new if edges is None else edges.unionByName(new)
         member = staged(components(edges, "near-components"), "near-member")
         now = staged(_named(shared, member), "near-state")
-        for table in (one, *((state,) if k > 1 else ())):
-            drop_staged(table)
+        if k > 1:
+            drop_staged(state)
         state = now
     compared = tasks(state.select("key", "node", "fp", "size", "c"), "node")
     pairs = compared.mapInPandas(_candidates, "u long, v long, size_u long, size_v long, n long")

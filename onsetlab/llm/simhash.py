@@ -239,17 +239,21 @@ def links(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, chunk: int
     return tasks(rows, "fp", chunk).select("task", "fp").mapInPandas(_compare(radius), "u long, v long").distinct()
 
 
-def tasks(rows: DataFrame, own: str, chunk: int = CHUNK) -> DataFrame:
+def tasks(rows: DataFrame, own: str, chunk: int = CHUNK, seed: int | None = None) -> DataFrame:
     """Deal ``rows`` with a ``key`` into tasks (a column) that compare all pairs of a key's rows.
 
     The rows of a task are neighbours; a key of more than ``chunk`` rows is cut by the hash of the column
-    ``own``, and its pairs of chunks are tasks. Keys of one row go. Keys are counted by an aggregate.
+    ``own``, and its pairs of chunks are tasks. With a ``seed`` the chunks are cut by it, and only rows of
+    one chunk meet. Keys of one row go. Keys are counted by an aggregate.
     """
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(staged(counts, "simhash-keys"), "key")
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64(own), parts).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64(own, F.lit(seed or 0)), parts).cast("int"))
+    if seed is None:
+        rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    else:
+        rows = rows.withColumn("_other", F.col("_own"))
     task = F.when(parts == 1, F.col("key")).otherwise(
         F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
     )
