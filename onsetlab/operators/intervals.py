@@ -23,7 +23,7 @@ def range_join(
 
     Each event is copied to the two or three buckets (of the window's length, unless given) that it
     touches; the join is an equi-join on ``by`` and bucket with the bounds as residual. ``rel`` is
-    t - onset.
+    t - onset. With ``how="left"`` a sample near no event, or with a null key or time, comes once, with nulls.
     """
     width = bucket or max(hi - lo, 1)
     cell = lambda x: F.floor(x / F.lit(width))
@@ -31,9 +31,13 @@ def range_join(
     rows = samples.withColumn("_cell", cell(F.col(t)))
     clash = [c for c in near.columns if c in samples.columns and c not in by]
     near = near.drop(*[c for c in clash if c not in (onset, "_cell")])
-    joined = rows.join(near, [*by, "_cell"], how)
-    inside = (F.col(t) - F.col(onset)).between(F.lit(lo), F.lit(hi))
-    return joined.filter(inside).withColumn("rel", F.col(t) - F.col(onset)).drop("_cell")
+    names = {k: f"_e{i}" for i, k in enumerate([*by, "_cell", *([onset] if onset in samples.columns else [])])}
+    near = near.withColumnsRenamed(names)
+    start = F.col(names.get(onset, onset))
+    inside = (F.col(t) - start).between(F.lit(lo), F.lit(hi))
+    on = [F.col(k) == F.col(names[k]) for k in [*by, "_cell"]]
+    joined = rows.join(near, [*on, inside], how).withColumn("rel", F.col(t) - start)
+    return joined.drop("_cell", *names.values())
 
 
 def as_of(
@@ -46,12 +50,15 @@ def as_of(
     none. Of right rows at one time the last (backward) or first (forward) in the order of the values counts.
     With ``bucket`` (a length of time) a key's rows are sorted bucket by bucket in tasks of their own, and
     what a bucket hands on is one row, so a key with very many rows is no single task.
+
+    Null keys match each other; a null time, left or right, matches nothing, and its left row stays.
     """
     back = direction == "backward"
     tag = F.struct(*[F.col(v) for v in values])
     row = F.struct("*")
     a = left.select(*by, F.col(left_t).alias("_t"), row.alias("_row"), F.lit(None).alias("_hit"), F.lit(1).alias("_left"))
     b = right.select(*by, F.col(right_t).alias("_t"), F.lit(None).alias("_row"), tag.alias("_hit"), F.lit(0).alias("_left"))
+    b = b.filter("_t is not null")
     both = a.drop("_hit").unionByName(b.drop("_row"), allowMissingColumns=True)
     # At equal times a right row comes first going backward (or forward, seen from the end), unless strict.
     side = F.col("_left") if back != strict else -F.col("_left")
@@ -72,10 +79,11 @@ def as_of(
             handed = F.last("_end", ignorenulls=True).over(cells.rowsBetween(Window.unboundedPreceding, -1))
         else:
             handed = F.first("_end", ignorenulls=True).over(cells.rowsBetween(1, Window.unboundedFollowing))
-        ends = ends.select(*keys, handed["_hit"].alias("_handed"))
-        both = both.withColumn("_hit", hit).filter("_left = 1").join(ends, keys)
+        ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], handed["_hit"].alias("_handed"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        both = both.withColumn("_hit", hit).filter("_left = 1").join(ends, same)
         hit = F.coalesce("_hit", "_handed")
-    out = both.withColumn("_hit", hit).filter("_left = 1")
+    out = both.withColumn("_hit", F.when(F.col("_t").isNotNull(), hit)).filter("_left = 1")
     return out.select("_row.*", *[F.col("_hit")[v].alias(prefix + v) for v in values])
 
 

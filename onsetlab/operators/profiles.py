@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from onsetlab.functions.columns import chi2_quantile, normal_cdf
 from onsetlab.operators.binning import poisson_weight
 from onsetlab.operators.grouptests import mann_whitney
-from onsetlab.staging import sums_before
+from onsetlab.staging import staged, sums_before
 
 
 @dataclass
@@ -113,6 +113,7 @@ def calibrated_scores(
     the subject's se, where given); T is the quadratic form of its positive parts under the controls'
     shrunk covariance of z; the threshold is the controls' 1 - alpha quantile; p counts controls at
     least as large, from a running sum over distinct values. A learner passes it with every feature > 0.
+    A subject with a null feature has no t_joint and no p, and is no learner; its other features vote.
     """
     c = F.col(control)
     sums = wide.filter(c).agg(
@@ -127,19 +128,20 @@ def calibrated_scores(
         rows = rows.withColumn(f"z_{f}", F.lit(float(sign)) * F.try_divide(F.col(f) - mean, scale))
     z = [f"z_{f}" for f in features]
     reference = moments(rows.filter(c), z)
-    positive = [F.greatest(F.col(x), F.lit(0.0)) for x in z]
-    rows = rows.withColumn("t_joint", quadratic_form(positive, np.linalg.inv(reference.shrunk)))
+    positive = [F.when(F.col(x).isNotNull(), F.greatest(F.col(x), F.lit(0.0))) for x in z]
+    # Written, so that the values counted below and those they are joined to are the same to the last bit.
+    rows = staged(rows.withColumn("t_joint", quadratic_form(positive, np.linalg.inv(reference.shrunk))), "calibrated-rows")
     controls = rows.filter(c)
     limit = controls.agg(F.percentile("t_joint", F.lit(1 - alpha)).alias("_limit"))
-    votes = sum(((F.col(x) > 0).cast("int") for x in z), F.lit(0))
+    votes = sum((F.coalesce(F.col(x) > 0, F.lit(False)).cast("int") for x in z), F.lit(0))
     # How many controls have at least this t, by distinct values.
-    counts = rows.groupBy(F.lit(0).alias("_all"), "t_joint").agg(F.count_if(c).alias("_k"))
+    counts = rows.filter("t_joint is not null").groupBy(F.lit(0).alias("_all"), "t_joint").agg(F.count_if(c).alias("_k"))
     counts = sums_before(counts, ["_all"], [F.desc("t_joint")], {"_k": "_more"}, "calibrated")
     counts = counts.select("t_joint", (F.col("_more") + F.col("_k")).alias("_above"))
-    out = rows.join(counts, "t_joint").join(F.broadcast(limit))
+    out = rows.join(counts, "t_joint", "left").join(F.broadcast(limit))
     return out.select(
         *subject, control, *z, "t_joint", ((1 + F.col("_above")) / (1 + F.col("_n"))).alias("p_empirical"), votes.alias("votes"),
-        ((F.col("t_joint") > F.col("_limit")) & (votes == len(z))).alias("is_learner"),
+        F.coalesce((F.col("t_joint") > F.col("_limit")) & (votes == len(z)), F.lit(False)).alias("is_learner"),
     )
 
 

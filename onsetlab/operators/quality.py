@@ -20,6 +20,53 @@ def trial_activity(samples: DataFrame, keys: list[str], t: str, active: str, win
     )
 
 
+def us_metrics(samples: DataFrame, subject: list[str], trial_no: str, t: str, active: str, end_mark: str, block: str, window: tuple[float, float]) -> DataFrame:
+    """Per subject, for the rules on unconditioned stimuli: trials, the last one's end and response, silent trials by block.
+
+    Columns: us_trials, last_end (time of the last trial's first end mark), last_active (any activity in
+    ``window`` of it), and a map ``silent`` from each block with rows in the window to its sorted silent trials.
+    """
+    inside = F.col(t).between(*map(F.lit, window))
+    per = samples.groupBy(*subject, trial_no).agg(
+        F.min(F.when(F.col(end_mark), F.col(t))).alias("_end"), F.count_if(inside).alias("_rows"),
+        F.coalesce(F.bool_or(inside & F.col(active)), F.lit(False)).alias("_active"), F.min(block).alias("_block"),
+    )
+    last = F.max_by(F.struct("_end", "_active"), trial_no)
+    whole = per.groupBy(*subject).agg(F.count("*").alias("us_trials"), last.alias("_last"))
+    silent = F.array_sort(F.collect_list(F.when(~F.col("_active"), F.col(trial_no))))
+    blocks = per.filter("_rows > 0 and _block is not null").groupBy(*subject, "_block").agg(silent.alias("_silent"))
+    blocks = blocks.groupBy(*subject).agg(F.map_from_entries(F.collect_list(F.struct("_block", "_silent"))).alias("silent"))
+    out = whole.join(blocks, subject, "left")
+    return out.select(*subject, "us_trials", F.col("_last._end").alias("last_end"), F.col("_last._active").alias("last_active"), "silent")
+
+
+def us_rules(train: str, retrain: str, least_end: float) -> list[tuple[str, Column]]:
+    """The rules on ``us_metrics``, in order: viability, the training block, the retraining block if there is one."""
+    silent = lambda b: F.coalesce(F.size(F.try_element_at("silent", F.lit(b))) > 0, F.lit(False))
+    return [
+        ("no US trials found", F.coalesce(F.col("us_trials"), F.lit(0)) == 0),
+        ("missing US end in last trial", F.col("last_end").isNull()),
+        ("US end too short in last trial", F.col("last_end") < least_end),
+        ("failed viability test", ~F.col("last_active")),
+        (f"no {train} block found", F.coalesce(F.array_size(F.try_element_at("silent", F.lit(train))), F.lit(-1)) < 0),
+        (f"no bouts in {train}", silent(train)),
+        (f"no bouts in {retrain}", silent(retrain)),
+    ]
+
+
+def covers_protocol(samples: DataFrame, protocol: DataFrame, by: list[str], t: str, onset: str) -> DataFrame:
+    """by, covered: whether the samples reach the last onset of the protocol; a key without samples does not."""
+    ends = samples.groupBy(*by).agg(F.max(t).alias("_reach"))
+    need = protocol.groupBy(*by).agg(F.max(onset).alias("_need"))
+    return need.join(ends, by, "left").select(*by, F.coalesce(F.col("_reach") >= F.col("_need"), F.lit(False)).alias("covered"))
+
+
+def by_age_and_rig(df: DataFrame, age: str, rig: str, ages: list | None = None, colours: list[str] | None = None) -> DataFrame:
+    """Rows of the given ages and rig colours (the part of the rig's name before a hyphen); None takes all."""
+    out = df if ages is None else df.filter(F.col(age).isin(ages))
+    return out if colours is None else out.filter(F.split_part(rig, F.lit("-"), F.lit(1)).isin(colours))
+
+
 def active_trials(trials: DataFrame, subject: list[str], block: str, name: str) -> DataFrame:
     """Trials of each block that are active in the named window."""
     return trials.groupBy(*subject, block).agg(

@@ -18,6 +18,8 @@ def chunked(df: DataFrame, by: list[str], frame: str, rows: int, halo: int, work
 
     Exact for operators that look at most ``halo`` rows away, where frames are consecutive numbers.
     """
+    if halo > rows:
+        raise ValueError(f"a halo of {halo} rows is more than a chunk of {rows}")
     chunk = F.floor(F.col(frame) / rows)
     edge = F.col(frame) - chunk * rows
     copies = F.array_compact(F.array(

@@ -49,11 +49,44 @@ def contiguous_blocks(first: int, size: int, names: list[str]) -> list[tuple[int
     return [(k, name, first + k * size + i) for k, name in enumerate(names) for i in range(size)]
 
 
-#: An example design: blocks of conditioned (CS) and unconditioned (US) trials.
-EXAMPLE_DESIGN = {
-    "CS": contiguous_blocks(5, 10, ["Pre-train", "Train 1", "Train 2", "Train 3", "Train 4", "Train 5", "Test 1", "Test 2", "Test 3"]),
-    "US": contiguous_blocks(18, 10, ["Train 1", "Train 2", "Train 3", "Train 4"]),
-}
+def block_names(count: int, base: list[str] | None = None, own: list[str] | None = None) -> list[str]:
+    """Names of ``count`` blocks: the base names, else the own ones, where their number fits; base names that are
+    cut in two become Early and Late, in more parts are numbered; else the blocks are just numbered."""
+    base, own = base or [], own or []
+    for names in (base, own):
+        if names and len(names) == count:
+            return list(names)
+    if base and count % len(base) == 0:
+        parts = count // len(base)
+        told = (lambda n: [f"Early {n}", f"Late {n}"]) if parts == 2 else (lambda n: [f"{n} part {i + 1}" for i in range(parts)])
+        return [name for n in base for name in told(n)]
+    return [f"Block {i + 1}" for i in range(count)]
+
+
+def chosen_blocks(chosen: list[str], names: list[str], base: list[str] | None = None) -> list[str]:
+    """Those of the chosen blocks that exist; chosen base names stand for all their parts; all blocks, if none fits."""
+    found = [c for c in chosen if c in names]
+    if not found and base and len(names) % len(base) == 0:
+        parts = len(names) // len(base)
+        found = [n for c in chosen if c in base for n in names[base.index(c) * parts : (base.index(c) + 1) * parts]]
+    return list(dict.fromkeys(found)) or list(names)
+
+
+def select_trials(df: DataFrame, trial_set: DataFrame, on: list[str], keep: bool = True) -> DataFrame:
+    """The rows of the trials in ``trial_set`` (catch trials, for example), or with ``keep=False`` of all others."""
+    return df.join(trial_set.select(*on).distinct(), on, "left_semi" if keep else "left_anti")
+
+
+def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in the given order; null keys are one key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def in_order_of(df: DataFrame, column: str, values: list, then: list | None = None) -> DataFrame:
+    """Rows sorted by the place of ``column`` in a list of values, those not in it last, with the place as ``place``."""
+    place = F.array_position(F.array(*map(F.lit, values)), F.col(column))
+    return df.withColumn("place", F.nullif(place, F.lit(0)).cast("int")).orderBy(F.col("place").asc_nulls_last(), *(then or []))
 
 
 def with_blocks(trials: DataFrame, blocks: DataFrame, keys: list[str], keep_outside: bool = False) -> DataFrame:

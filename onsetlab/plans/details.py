@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from onsetlab.functions import columns as C
-from onsetlab.operators import binning, clock, grouptests, mixed, profiles, signal, trials
+from onsetlab.operators import binning, clock, grouptests, mixed, profiles, quality, signal, trials
 from onsetlab.plans import events as ev
 from onsetlab.plans.events import EV
 from onsetlab.plans.models import VOTES, vote_table, wide_features
@@ -168,3 +168,76 @@ def block_models(spark, sf):
 def ancova(spark, sf):
     rows = ev.trial_features(spark, sf).filter("block <= 3").withColumns({"y": F.log1p("mean_response"), "base": F.log1p("mean_baseline")})
     return mixed.ancova(rows, ["subject"], "y", "base", "condition", [0, 1], "block", [1, 2, 3], rounds=25)
+
+
+BASE = ["Pre", "Train", "Re-Train"]
+NAMES = trials.block_names(6, BASE)
+
+
+@query("discard_rules", EV + """, p AS (SELECT subject, trial_no, min(rel) FILTER (event_type = 'error' AND rel > 0) AS e, count_if(rel BETWEEN 0 AND 43200000000) AS n,
+count_if(rel BETWEEN 0 AND 43200000000 AND value >= 60) AS a, ['Pre', 'Train', 'Re-Train'][least(3, CAST(ceil(trial_no / 5.0) AS INTEGER))] AS b FROM trial GROUP BY ALL),
+m AS (SELECT subject, arg_max(coalesce(e, -1), trial_no) AS e, arg_max(a, trial_no) AS a, count_if(b = 'Train' AND n > 0) AS t, count_if(b = 'Train' AND n > 0 AND a = 0) AS ts,
+count_if(b = 'Re-Train' AND n > 0 AND a = 0) AS rs FROM p GROUP BY subject)
+SELECT subject, CASE WHEN e = -1 THEN 'missing US end in last trial' WHEN e < 3600000000 THEN 'US end too short in last trial' WHEN a = 0 THEN 'failed viability test'
+WHEN t = 0 THEN 'no Train block found' WHEN ts > 0 THEN 'no bouts in Train' WHEN rs > 0 THEN 'no bouts in Re-Train' END AS reason FROM m""")
+def discard_rules(spark, sf):
+    rows = ev.trial_rows(spark, sf).withColumns({
+        "active": F.col("value") >= 60, "ended": (F.col("event_type") == "error") & (F.col("rel") > 0),
+        "name": F.element_at(F.array(*map(F.lit, BASE)), F.least(F.lit(3), trials.block_of("trial_no", 5))),
+    })
+    metrics = quality.us_metrics(rows, ["subject"], "trial_no", "rel", "active", "ended", "name", (0, ev.DAY // 2))
+    return quality.rule_table(metrics, ["subject"], quality.us_rules("Train", "Re-Train", ev.HOUR))
+
+
+@query("covers_protocol", "WITH s AS (SELECT user_id AS subject, max(ts) AS r FROM events WHERE event_type <> 'purchase' GROUP BY ALL), p AS (SELECT user_id AS subject, max(ts) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT subject, coalesce(r >= n, false) AS covered FROM p LEFT JOIN s USING (subject)")
+def covers_protocol(spark, sf):
+    rows = ev.events(spark, sf)
+    return quality.covers_protocol(rows.filter("event_type <> 'purchase'"), rows.filter("event_type = 'purchase'"), ["subject"], "us", "us")
+
+
+@query("named_blocks", EV + """, n AS (SELECT subject, trial_no, CAST(ceil(trial_no / 5.0) AS INTEGER) AS k FROM stim WHERE trial_no <= 30)
+SELECT subject, trial_no, CASE WHEN k % 2 = 1 THEN 'Early ' ELSE 'Late ' END || ['Pre', 'Train', 'Re-Train'][(k + 1) // 2] AS block FROM n WHERE (k + 1) // 2 IN (1, 2)""")
+def named_blocks(spark, sf):
+    """Trials of the chosen blocks: two base names stand for their Early and Late parts."""
+    chosen = trials.chosen_blocks(["Pre", "Train"], NAMES, BASE)
+    blocks = [row for row in trials.contiguous_blocks(1, 5, NAMES) if row[1] in chosen]
+    blocks = spark.createDataFrame(blocks, "block_order int, block string, trial_no int")
+    return trials.with_blocks(ev.stimuli(ev.events(spark, sf)), blocks, ["trial_no"]).select("subject", "trial_no", "block")
+
+
+@query("select_trials", EV + ", c AS (SELECT DISTINCT trial_no FROM stim WHERE trial_no % 7 = 0) SELECT subject, trial_no, onset FROM stim WHERE trial_no NOT IN (SELECT trial_no FROM c)")
+def select_trials(spark, sf):
+    rows = ev.stimuli(ev.events(spark, sf)).select("subject", "trial_no", "onset")
+    return trials.select_trials(rows, rows.filter("trial_no % 7 = 0"), ["trial_no"], keep=False)
+
+
+@query("first_wins", "SELECT user_id AS subject, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def first_wins(spark, sf):
+    return trials.first_wins(ev.events(spark, sf), ["subject", "event_type"], ["us", "event_id"]).select("subject", "event_type", "event_id")
+
+
+@query("condition_order", "SELECT event_type, n, nullif(list_position(['signup', 'view', 'purchase'], event_type), 0)::INTEGER AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY ALL)")
+def condition_order(spark, sf):
+    counts = ev.events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
+    return trials.in_order_of(counts, "event_type", ["signup", "view", "purchase"], ["event_type"])
+
+
+@query("age_and_rig", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND split_part(o_orderpriority, '-', 1) IN ('1', '3')")
+def age_and_rig(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return quality.by_age_and_rig(rows, "o_orderstatus", "o_orderpriority", ["F", "P"], ["1", "3"])
+
+
+@query("active_trials", EV + """, a AS (SELECT subject, trial_no, CAST(ceil(trial_no / 5.0) AS INTEGER) AS block, coalesce(bool_or(rel BETWEEN 1 AND 86400000000 AND value >= 60), false) AS act FROM trial GROUP BY ALL)
+SELECT subject, block, count(*) AS trials, count_if(act) AS active_trials FROM a GROUP BY ALL""")
+def active_trials(spark, sf):
+    rows = ev.trial_rows(spark, sf).withColumn("active", F.col("value") >= 60)
+    per = quality.trial_activity(rows, ["subject", "trial_no"], "rel", "active", {"response": (1, ev.DAY)})
+    return quality.active_trials(per.withColumn("block", trials.block_of("trial_no", 5)), ["subject"], "block", "response")
+
+
+@query("tracking_errors", EV + ", a AS (SELECT subject, max(greatest(abs(value), abs(value - 50))) AS g, bool_or(event_type = 'error') AS m FROM ev GROUP BY subject) SELECT subject, g AS greatest, m AS missing, g > 99 OR m AS failed FROM a")
+def tracking_errors(spark, sf):
+    rows = ev.events(spark, sf).withColumn("angles", F.array(F.col("value"), F.col("value") - 50))
+    broken = F.when(F.col("event_type") == "error", F.array_append("angles", F.lit(None).cast("double"))).otherwise(F.col("angles"))
+    return quality.tracking_errors(rows.withColumn("angles", broken), ["subject"], "angles", 99.0)

@@ -57,14 +57,18 @@ def angle_columns(columns: list[str], prefix: str = "angle") -> list[str]:
 
 
 def read_samples(spark: SparkSession, path, sep: str = " ", suffix: str = "tail tracking.txt", degrees: bool = True) -> DataFrame:
-    """recording_id, frame, original_frame and angles (one array); the trailing summary row of each recording goes."""
+    """recording_id, frame, original_frame and angles (one array); the trailing summary row of each recording goes.
+
+    A summary row has no number as its frame, or else the highest one; only it is left out.
+    """
     rows = _text(spark, path, sep, suffix)
     names = angle_columns(rows.columns)
     values = F.array(*[decimal_comma(c) for c in names])
     out = rows.withColumnsRenamed({a: b for a, b in ALIASES.items() if a in rows.columns})
-    out = out.select("recording_id", F.expr("try_cast(frame AS bigint)").alias("frame"), values.alias("angles")).filter("frame is not null")
-    last = F.max("frame").over(Window.partitionBy("recording_id"))
-    out = out.withColumn("_last", last).filter("frame < _last").drop("_last")
+    out = out.select("recording_id", F.expr("try_cast(frame AS bigint)").alias("frame"), values.alias("angles"))
+    own = Window.partitionBy("recording_id")
+    out = out.withColumns({"_last": F.max("frame").over(own), "_told": F.bool_or(F.col("frame").isNull()).over(own)})
+    out = out.filter("frame is not null and (_told or frame < _last)").drop("_last", "_told")
     angles = F.transform("angles", F.degrees) if degrees else F.col("angles")
     return out.select("recording_id", "frame", F.col("frame").alias("original_frame"), angles.cast("array<float>").alias("angles"))
 
@@ -93,8 +97,9 @@ def read_ids(spark: SparkSession, path, headers: tuple[str, ...] = ("fish", "id"
 
 
 def resolve_ids(ids: DataFrame, recordings: DataFrame, id_col: str = "id", name: str = "recording_id") -> DataFrame:
-    """id and the first recording (by name) that begins with it."""
-    hits = recordings.join(ids, F.col(name).startswith(F.col(id_col)))
+    """id and the first recording (by name) that begins with it; names meet ids by all their beginnings."""
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda n: F.left(F.col(name), n))
+    hits = recordings.select(name, F.explode(heads).alias(id_col)).join(ids, id_col)
     return hits.groupBy(id_col).agg(F.min(name).alias(name))
 
 

@@ -17,9 +17,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset a local one of our own, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='onsetlab-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -82,7 +84,7 @@ def sums_before(df: DataFrame, keys: list[str], order: list, values: dict[str, s
 
     A table of few rows takes a window per key. Beyond ``limit`` rows a key may be too large for one
     task: rows are range-partitioned by key and order, summed inside each partition, and shifted by the
-    totals of the partitions before and of the keys before. Both ways give the same sums.
+    totals of the partitions before and of the keys before. Both ways give the same sums; nulls are one key.
     """
     table = staged(df, label)
     if table.limit(limit + 1).count() <= limit:
@@ -98,6 +100,8 @@ def sums_before(df: DataFrame, keys: list[str], order: list, values: dict[str, s
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     out = split.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, n in values.items()})
     out = out.join(broadcast_if_small(offsets), "_part").withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in values.values()})
-    base = out.groupBy(*keys).agg(*[F.min(n).alias(f"_b_{n}") for n in values.values()])
-    out = out.join(base, keys).withColumns({n: F.col(n) - F.col(f"_b_{n}") for n in values.values()})
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    base = out.groupBy(*named).agg(*[F.min(n).alias(f"_b_{n}") for n in values.values()])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    out = out.join(base, same).withColumns({n: F.col(n) - F.col(f"_b_{n}") for n in values.values()})
     return out.select(*table.columns, *values.values())

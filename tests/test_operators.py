@@ -143,7 +143,11 @@ def test_blocks_leave_out_other_trials(spark):
     df = spark.createDataFrame([(n,) for n in range(1, 31)], "trial_no int")
     assert trials.with_blocks(df, blocks, ["trial_no"]).count() == 20
     assert trials.with_blocks(df, blocks, ["trial_no"], keep_outside=True).filter("block is null").count() == 10
-    assert len(trials.EXAMPLE_DESIGN["CS"]) == 90
+    assert trials.block_names(4, ["A", "B"]) == ["Early A", "Late A", "Early B", "Late B"]
+    assert trials.block_names(3, ["A"]) == ["A part 1", "A part 2", "A part 3"]
+    assert trials.block_names(2, ["A"] * 3, ["x", "y"]) == ["x", "y"] and trials.block_names(2, ["A"] * 3) == ["Block 1", "Block 2"]
+    assert trials.chosen_blocks(["B"], ["Early A", "Late A", "Early B", "Late B"], ["A", "B"]) == ["Early B", "Late B"]
+    assert trials.chosen_blocks(["no"], ["x", "y"]) == ["x", "y"]
     assert trials.rebased_trials(df.filter("trial_no > 4")).agg(F.min("trial_no")).first()[0] == 1
     assert trials.windows(15, (0, 9), "US") == {"baseline": (-24, -9), "response": (-9, 0)}
 
@@ -356,3 +360,52 @@ def test_sums_before_is_the_same_in_windows_and_partitions(spark):
     for order in (["x"], [F.desc("x")]):
         got = [sorted(map(tuple, sums_before(df, ["k"], order, {"v": "s"}, "test", limit).collect())) for limit in (10**6, 10)]
         assert got[0] == got[1] and len(got[0]) == 900
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_sums_before_keeps_null_keys(spark, limit):
+    rows = [(None, 1, 2), (None, 2, 3), ("a", 1, 5), ("a", 2, 7)]
+    df = spark.createDataFrame(rows, "k string, o int, v long")
+    got = sums_before(df, ["k"], ["o"], {"v": "before"}, "nulls", limit=limit)
+    assert {(r.k, r.o): r.before for r in got.collect()} == {(None, 1): 0, (None, 2): 2, ("a", 1): 0, ("a", 2): 5}
+
+
+@pytest.mark.parametrize("bucket", [None, 2])
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_as_of_keeps_null_keys_and_times(spark, bucket, direction):
+    left = spark.createDataFrame([("a", 3), ("a", None), (None, 3), ("b", 9)], "k string, t long")
+    right = spark.createDataFrame([("a", 1, "x"), ("a", 7, "y"), (None, 1, "z"), (None, 8, "w"), ("a", None, "never")], "k string, rt long, v string")
+    got = {(r.k, r.t): r.v for r in intervals.as_of(left, right, ["k"], "t", "rt", ["v"], direction, bucket=bucket).collect()}
+    hit = ("x", "z") if direction == "backward" else ("y", "w")
+    assert got == {("a", 3): hit[0], ("a", None): None, (None, 3): hit[1], ("b", 9): None}
+
+
+def test_left_range_join_keeps_samples(spark):
+    samples = spark.createDataFrame([("a", 5), ("a", 50), (None, 5), ("a", None)], "k string, t long")
+    events = spark.createDataFrame([("a", 4), ("a", 6)], "k string, onset long")
+    got = intervals.range_join(samples, events, ["k"], "t", "onset", -2, 2, how="left").collect()
+    assert sorted(((r.k or "", r.t or -1, r.onset, r.rel) for r in got), key=str) == sorted(
+        [("a", 5, 4, 1), ("a", 5, 6, -1), ("a", 50, None, None), ("", 5, None, None), ("a", -1, None, None)], key=str
+    )
+
+
+@pytest.mark.parametrize("summary", ["sum 0,5", "4 0,5"])
+def test_only_the_summary_row_goes(spark, tmp_path, summary):
+    (tmp_path / "r1tail tracking.txt").write_text("FrameID angle0\n1 0,1\n2 0,2\n3 0,3\n" + summary + "\n")
+    rows = tables.read_samples(spark, f"{tmp_path}/*tail tracking.txt", degrees=False).collect()
+    assert sorted(r.frame for r in rows) == [1, 2, 3]
+
+
+def test_chunks_refuse_a_halo_longer_than_a_chunk(spark):
+    with pytest.raises(ValueError):
+        signal.chunked(spark.range(3).withColumnRenamed("id", "f"), [], "f", 2, 3, lambda d, k: d)
+
+
+def test_calibrated_scores_keep_subjects_with_null_features(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2 == 0, float(rng.normal()), None if i == 7 else float(rng.normal())) for i in range(60)]
+    df = spark.createDataFrame(rows, "s int, control boolean, f double, g double")
+    got = {r.s: r for r in profiles.calibrated_scores(df, ["s"], "control", {"f": 1, "g": 1}).collect()}
+    assert sorted(got) == list(range(60))
+    assert (got[7].t_joint, got[7].p_empirical, got[7].is_learner) == (None, None, False) and got[7].votes in (0, 1)
+    assert all(r.p_empirical is not None for s, r in got.items() if s != 7)
