@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton drives a single-pass Viterbi.
 
 The automaton reads the text once; at each position its output links name every piece that ends
-there, and each relaxes that position. For a unigram model the best sum of scores wins. For a model
-built by merges the best path is the merge order's: a piece may follow another only if merging the two
+there, and each relaxes that position. For a unigram model the best sum of scores wins; the query finds
+this path for every model. For a model built by merges the path is the merge order's: a piece may follow another only if merging the two
 side by side gives these two again, and just one piece at each position can follow the best path to
 its start, so the same single pass finds exactly the merge order's ids (no merge can cross the border
 of two neighbours that stand on their own). A character in no piece falls back to its UTF-8 bytes.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -67,6 +68,9 @@ class Pieces:
         self.chunks = re.compile(f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + f"|{cut}" * bool(cut)).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.recent: dict[str, tuple[int, ...]] = {}
+        self.known_scores: dict[str, tuple] = {}
+        self.recent_scores: dict[str, tuple] = {}
+        self.mark = [self.byte[b] for b in SPACE.encode()]
         self.pairs: dict[int, bool] = {}
         self.names = [sp.id_to_piece(i) for i in range(len(sp))] + [""]
         self.single = frozenset(c for c in used if c in self.score)
@@ -109,14 +113,76 @@ class Pieces:
             n = back[n]
         return tuple(reversed(out))
 
+    def scored(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...], float]:
+        """In one pass the merge order's ids, and the ids and sum of the best-scoring path."""
+        if not (self.merges and self.single.issuperset(chunk)):
+            best, total = self.relaxed(chunk)
+            return (self.viterbi(chunk) if self.merges else best), best, total
+        names, pairs, size, n = self.names, self.pairs, len(self.names), len(chunk)
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = size - 1
+        total, piece_to, best_back = [0.0] + [_NONE] * n, [-1] * (n + 1), [0] * (n + 1)
+        for end, (length, value, piece) in self.automaton.iter(chunk):
+            end += 1
+            start = end - length
+            through = total[start] + value
+            if through > total[end]:  # output links come longest first, so of equal scores the longest piece stays
+                total[end], piece_to[end], best_back[end] = through, piece, start
+            if last[end] < 0:
+                key = last[start] * size + piece
+                fits = pairs.get(key)
+                if fits is None:
+                    fits = self._follows(names[last[start]], names[piece])
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    pairs[key] = fits
+                if fits:
+                    last[end], back[end] = piece, start
+        out, best, score, at = [], [], total[n], n
+        while at:
+            best.append(piece_to[at])
+            at = best_back[at]
+        while n:
+            out.append(last[n])
+            n = back[n]
+        return tuple(reversed(out)), tuple(reversed(best)), score
+
+    def relaxed(self, chunk: str) -> tuple[tuple[int, ...], float]:
+        """The path of the best sum of scores over a chunk, in one pass: its ids and the sum."""
+        n = len(chunk)
+        score: list[float] = [0.0] + [_NONE] * n
+        back, done = [(0, -1)] * (n + 1), 0
+
+        def bytes_to(stop: int) -> None:
+            """A character that no piece reaches better is its bytes, at the score of an unknown one."""
+            nonlocal done
+            while done < stop:
+                done += 1
+                if score[done] < score[done - 1] + self.unknown:
+                    score[done], back[done] = score[done - 1] + self.unknown, (done - 1, -1)
+
+        for end, (length, value, piece) in self.automaton.iter(chunk):
+            bytes_to(end)
+            start, stop = end + 1 - length, end + 1
+            if score[start] + value > score[stop]:
+                score[stop], back[stop] = score[start] + value, (start, piece)
+        bytes_to(n)
+        out: list[int] = []
+        at = n
+        while at:
+            start, piece = back[at]
+            out.extend([piece] if piece >= 0 else [self.byte[b] for b in reversed(chunk[start:at].encode())])
+            at = start
+        return tuple(reversed(out)), score[n]
+
     def viterbi(self, chunk: str) -> tuple[int, ...]:
         """The best path over a chunk, in one pass."""
-        if self.merges and self.single.issuperset(chunk):
+        if not self.merges:
+            return self.relaxed(chunk)[0]
+        if self.single.issuperset(chunk):
             return self.merged(chunk)
         n = len(chunk)
-        score: list[float | None] = [0.0] + [None] * n
-        back, last = [(0, -1)] * (n + 1), [""] * (n + 1)
-        merges = self.merges
+        back, last, reached = [(0, -1)] * (n + 1), [""] * (n + 1), [True] + [False] * n
         done = 0
 
         def bytes_to(stop: int) -> None:
@@ -124,21 +190,16 @@ class Pieces:
             nonlocal done
             while done < stop:
                 done += 1
-                char = chunk[done - 1]
-                free = not merges and (score[done] is None or score[done] < score[done - 1] + self.unknown)
-                if free or (merges and score[done] is None and score[done - 1] is not None):
-                    score[done], back[done], last[done] = score[done - 1] + self.unknown, (done - 1, -1), char
+                if not reached[done] and reached[done - 1]:
+                    reached[done], back[done], last[done] = True, (done - 1, -1), chunk[done - 1]
 
-        for end, (length, value, piece) in self.automaton.iter(chunk):
+        for end, (length, _, piece) in self.automaton.iter(chunk):
             bytes_to(end)
             start, stop = end + 1 - length, end + 1
-            if merges:
-                if score[stop] is None and score[start] is not None:
-                    text = chunk[start:stop]
-                    if self._follows(last[start], text):
-                        score[stop], back[stop], last[stop] = score[start] + value, (start, piece), text
-            elif score[stop] is None or score[start] + value > score[stop]:
-                score[stop], back[stop] = score[start] + value, (start, piece)
+            if not reached[stop] and reached[start]:
+                text = chunk[start:stop]
+                if self._follows(last[start], text):
+                    reached[stop], back[stop], last[stop] = True, (start, piece), text
         bytes_to(n)
         out: list[int] = []
         while n:
@@ -150,25 +211,39 @@ class Pieces:
             n = start
         return tuple(reversed(out))
 
-    def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        if not text:
-            return ids
-        known, recent = self.known, self.recent
-        for k, part in enumerate(text.split(SPACE)):
+    def _solved(self, text: str | None, solve, known: dict, recent: dict) -> Iterator:
+        """What ``solve`` makes of the text's chunks, in order; None stands for a literal space mark."""
+        for k, part in enumerate(text.split(SPACE) if text else ()):
             if k:
-                ids.extend(self.byte[b] for b in SPACE.encode())
+                yield None
             for chunk in self.chunks(("" if k else SPACE) + part.replace(" ", SPACE)):
                 got = known.get(chunk) or recent.get(chunk)
                 if got is None:
-                    got = self.viterbi(chunk)
+                    got = solve(chunk)
                     if len(chunk) <= LONGEST:
                         if len(recent) >= REMEMBERED:
                             recent.clear()
                         (known if len(known) < REMEMBERED else recent)[chunk] = got
-                ids += got
+                yield got
+
+    def encode(self, text: str | None) -> list[int]:
+        ids: list[int] = []
+        for got in self._solved(text, self.viterbi, self.known, self.recent):
+            ids += got if got is not None else self.mark
         return ids
 
+    def encode_scored(self, text: str | None) -> tuple[list[int], list[int], float]:
+        """``encode``, and the ids and the sum of the best-scoring path; a literal space mark counts as an unknown character."""
+        ids: list[int] = []
+        best: list[int] = []
+        total = 0.0
+        for got in self._solved(text, self.scored, self.known_scores, self.recent_scores):
+            a, b, score = got or (self.mark, self.mark, self.unknown)
+            ids += a
+            best += b
+            total += score
+        return ids, best, total
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; the mark that encoding puts in front goes."""
         text, value = self.text, self.value
@@ -215,7 +290,11 @@ def tokenised(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def query(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256 and round_trip, encoded and decoded in one pass."""
+    """doc_id, n_tokens, ids_sha256 (of the ids, comma-joined), decoded_sha256, round_trip, best_tokens and best_score.
+
+    The ids are those of the model's own kind; the best-scoring path is found in the same pass and decodes
+    to the same text.
+    """
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
@@ -223,11 +302,12 @@ def query(docs: DataFrame, path: str = MODEL) -> DataFrame:
         pieces = model(path, data.value)
 
         def one(text: str | None) -> tuple:
-            ids = pieces.encode(text)
+            ids, best, total = pieces.encode_scored(text)
             back = pieces.decode(ids)
-            return len(ids), sha(",".join(map(str, ids))), sha(back), back == (text or "")
+            same = back == (text or "") and pieces.decode(best) == back
+            return len(ids), sha(",".join(map(str, ids))), sha(back), same, len(best), total
 
-        return lambda texts: list(zip(*map(one, texts), strict=True)) or [[], [], [], []]
+        return lambda texts: list(zip(*map(one, texts), strict=True)) or [[]] * 6
 
-    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, best_tokens long, best_score double"
     return per_text(docs, ["doc_id"], make, fields)

@@ -465,6 +465,25 @@ def test_unigram_scores_are_the_best():
         assert got == pytest.approx(best[-1])
 
 
+def test_best_scores_of_whole_texts(texts):
+    model = pieces.Pieces(lengths.read_vocabulary(pieces.MODEL))
+    longest = max(map(len, model.score))
+    for t in [*list(texts.values())[:40], *(t for _, t in ODD), "日本 ☃ text\n\n  x", "a" * 300]:
+        ids, best, total = model.encode_scored(t)
+        assert ids == model.encode(t) and model.decode(best) == (t or "")
+        want = 0.0
+        for k, part in enumerate((t or "").split(pieces.SPACE) if t else ()):
+            line = ("" if k else pieces.SPACE) + part.replace(" ", pieces.SPACE)
+            least = [0.0] + [None] * len(line)
+            for end in range(1, len(line) + 1):
+                tried = [least[s] + model.score[line[s:end]] for s in range(max(0, end - longest), end) if line[s:end] in model.score]
+                least[end] = max([least[end - 1] + model.unknown, *tried])
+            want += least[-1] + (model.unknown if k else 0)
+        assert total == pytest.approx(want)
+        value = sum(model.score[model.names[i]] for i in best if i in model.text)
+        assert value >= total - 1e-6  # what is missing are unknown characters
+
+
 def test_toxicity_learns_from_the_training_folds_only(spark):
     rng = np.random.default_rng(6)
     words = [f"w{k}" for k in range(200)]
