@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onsetlab.llm.text import per_text
@@ -95,16 +95,20 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
 
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For any context limits: total tokens, tokens left after truncation, documents cut."""
-    spark = hist.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in sorted(set(limits))], "context_limit long")
-    # hist has a row per distinct length and limits are a short list given by the caller
-    pairs = hist.select("n_tokens", "n_docs").join(F.broadcast(wanted))
-    return pairs.groupBy("context_limit").agg(
-        F.sum(F.col("n_tokens") * F.col("n_docs")).alias("total"),
-        F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("truncated_total"),
-        F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("docs_cut"),
-    )
+    """For any context limits: total tokens, tokens left after truncation, documents cut.
+
+    Each limit is answered by the suffix sums at the least length beyond it; an empty histogram gives zeros.
+    """
+    beyond = [F.min_by(F.struct("docs_at_least", "tokens_at_least"), F.when(F.col("n_tokens") > x, F.col("n_tokens"))).alias(f"l{x}") for x in limits]
+    row = hist.agg(F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("total"), *beyond)
+    none = F.lit(0).cast("long")
+
+    def answer(x: int) -> Column:
+        cut, gone = (F.coalesce(F.col(f"l{x}")[c], none) for c in ("docs_at_least", "tokens_at_least"))
+        left = F.col("total") - gone + cut * F.lit(x)
+        return F.struct(F.lit(x).cast("long").alias("context_limit"), F.col("total"), left.alias("truncated_total"), cut.alias("docs_cut"))
+
+    return row.select(F.inline(F.array(*[answer(int(x)) for x in sorted(set(limits))])))
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:

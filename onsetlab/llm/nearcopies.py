@@ -16,7 +16,7 @@ pair and a check in full behind it:
 Only components matter. Texts of equal shingles are one node. In a round the rows of a key meet in chunks,
 dealt anew each time, and every node tries its few nearest, which joins a large group of near copies with
 a few rows for each copy; rounds go on while they join many, and then all pairs of a key that are
-still in different components are compared.
+still under different labels are compared. Labels spread a few hops; components are formed at the end.
 
 Nulls, ties, odd rows: null and wordless texts have no shingle and are one node; a text of fewer words
 than a shingle is one shingle; rows that repeat, or have null ids, are rows of their own.
@@ -48,6 +48,8 @@ BUCKETS, LAST = 20, 1 << 16
 AT_ONCE = 512
 #: Cross pairs, as a multiple of the rows, that are compared without another round first.
 PAIRS_A_ROW = 16
+#: Hops that labels spread over the links of a round.
+HOPS = 3
 #: Another round follows one that links more than a row in so many.
 WORTHWHILE = 500
 #: Bytes of texts that are hashed at once, more where a text is longer.
@@ -253,6 +255,7 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     n_rows = shared.count()
     edges, found, k = None, 0, 0
     state = shared.withColumn("c", F.col("node"))
+    labels = shared.select("node").distinct().withColumn("c", F.col("node"))
     while True:
         # Pairs of a key in different components, counted from the keys' sums.
         parts = state.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
@@ -266,8 +269,8 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
         new = _verified(docs, members, tried.distinct(), words)
         found, k = new.count(), k + 1
         edges = new if edges is None else edges.unionByName(new)
-        member = staged(components(edges, "near-components"), "near-member")
-        now = staged(_named(shared, member), "near-state")
+        labels = _spread(labels, edges)
+        now = staged(shared.join(labels, "node"), "near-state")
         if k > 1:
             drop_staged(state)
         state = now
@@ -277,9 +280,17 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     return components(new if edges is None else edges.unionByName(new), "near-components")
 
 
-def _named(shared: DataFrame, member: DataFrame) -> DataFrame:
-    named = shared.join(member.withColumnRenamed("component", "c"), "node", "left")
-    return named.withColumn("c", F.coalesce("c", "node"))
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (node, c) after some hops of taking the least label among neighbours: equal labels are connected.
+
+    Not all that are connected get one label; pairs of different labels are just compared once more.
+    """
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    for _ in range(HOPS):
+        heard = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("c").alias("m"))
+        labels = labels.join(heard, F.col("node") == F.col("u"), "left").select("node", F.least("c", "m").alias("c"))
+        labels = staged(labels, "near-labels")
+    return labels
 
 
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
