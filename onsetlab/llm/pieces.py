@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks whose pieces a worker remembers for good and for a while (as many each), and the longest such chunk.
 REMEMBERED, LONGEST = 1 << 17, 64
+#: Chunks with scores that it remembers in the same two ways.
+REMEMBERED_SCORES = 1 << 18
 #: Pairs of pieces that it remembers.
 PAIRS = 1 << 18
 UNKNOWN_PENALTY = 10.0
@@ -211,7 +213,7 @@ class Pieces:
             n = start
         return tuple(reversed(out))
 
-    def _solved(self, text: str | None, solve, known: dict, recent: dict) -> Iterator:
+    def _solved(self, text: str | None, solve, known: dict, recent: dict, most: int) -> Iterator:
         """What ``solve`` makes of the text's chunks, in order; None stands for a literal space mark."""
         for k, part in enumerate(text.split(SPACE) if text else ()):
             if k:
@@ -221,14 +223,14 @@ class Pieces:
                 if got is None:
                     got = solve(chunk)
                     if len(chunk) <= LONGEST:
-                        if len(recent) >= REMEMBERED:
+                        if len(recent) >= most:
                             recent.clear()
-                        (known if len(known) < REMEMBERED else recent)[chunk] = got
+                        (known if len(known) < most else recent)[chunk] = got
                 yield got
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
-        for got in self._solved(text, self.viterbi, self.known, self.recent):
+        for got in self._solved(text, self.viterbi, self.known, self.recent, REMEMBERED):
             ids += got if got is not None else self.mark
         return ids
 
@@ -237,7 +239,7 @@ class Pieces:
         ids: list[int] = []
         best: list[int] = []
         total = 0.0
-        for got in self._solved(text, self.scored, self.known_scores, self.recent_scores):
+        for got in self._solved(text, self.scored, self.known_scores, self.recent_scores, REMEMBERED_SCORES):
             a, b, score = got or (self.mark, self.mark, self.unknown)
             ids += a
             best += b
