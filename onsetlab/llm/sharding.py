@@ -5,7 +5,8 @@ so a group of n costs n rows and never n squared links. Each round counts every
 shard, lets each document propose its best shard, and accepts proposals under quotas: between two
 shards as many may move one way as the other, and beyond that only what the target has room for. The
 proposals with the largest gains go first; where a quota cuts through a level of gains, a seeded hash
-draws. The capacity is the even share of all rows, so unlinked documents, placed last, fill every
+draws. A document that a shard refused proposes its next best one in the round after, so a hub larger
+than a shard fills whole shards in turn. Rounds end when few documents move. The capacity is the even share of all rows, so unlinked documents, placed last, fill every
 shard to counts at most one apart (law ``rows``); what a shard cannot hold goes with them.
 
 Only DataFrame operations: per-hub counts with partial aggregates, a table of at most
@@ -13,8 +14,8 @@ Only DataFrame operations: per-hub counts with partial aggregates, a table of at
 ``n_shards`` counts.
 
 Nulls, ties, odd rows: a null text is empty (size 1, checksum 0); rows that repeat, or have null
-ids, are documents of their own; a hub's tie between shards is broken by a hash of the hub, alike for
-all its members; with fewer rows than shards some shards are empty. An empty table gives an empty
+ids, are documents of their own; a hub's tie between shards is broken by a hash of hub and round, alike
+for all its members; with fewer rows than shards some shards are empty. An empty table gives an empty
 result. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -27,36 +28,38 @@ from onsetlab.llm.text import text_key, whole
 from onsetlab.staging import drop_staged, staged, with_position
 
 SHARDS = 8
-ROUNDS = 4
+#: Rounds at most; they end before where no more than a linked document in so many moves.
+ROUNDS, STILL = 12, 500
 #: A hub's vote for a shard is its members there, in units above the tie-breaking hash.
 UNIT = 1 << 16
 
 
-def _propose(members: DataFrame, state: DataFrame, n_shards: int) -> DataFrame:
-    """row_id, shard, target and gain: where each linked document would rather be."""
+def _propose(members: DataFrame, state: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """row_id, shard, refused, target and gain: where each linked document would rather be, of shards that have not refused it."""
     placed = members.join(state, "row_id")
     counts = placed.groupBy("hub").agg(*[F.count_if(F.col("shard") == j).alias(f"c{j}") for j in range(n_shards)])
     votes = counts.select(
         "hub",
-        *[(F.col(f"c{j}") * UNIT + F.pmod(F.xxhash64("hub", F.lit(j)), F.lit(UNIT))).alias(f"c{j}") for j in range(n_shards)],
+        *[(F.col(f"c{j}") * UNIT + F.pmod(F.xxhash64("hub", F.lit(j), F.lit(seed)), F.lit(UNIT))).alias(f"c{j}") for j in range(n_shards)],
     )
     sums = [F.sum(f"c{j}").alias(f"c{j}") for j in range(n_shards)]
     # Written first: a join of two plain shuffles can be split where a hub holds very many documents.
     votes = staged(votes, "shard-votes")
-    scored = placed.join(votes, "hub").groupBy("row_id", "shard").agg(*sums, F.count("*").alias("hubs"))
+    scored = placed.join(votes, "hub").groupBy("row_id", "shard", "refused").agg(*sums, F.count("*").alias("hubs"))
     # A document counts itself once, not in each of its hubs.
     own_more = (F.col("hubs") - 1) * UNIT
     scored = scored.withColumns({f"c{j}": F.col(f"c{j}") - F.when(F.col("shard") == j, own_more).otherwise(0) for j in range(n_shards)})
-    best = F.greatest(*[F.struct(F.col(f"c{j}").alias("score"), F.lit(j).alias("target")) for j in range(n_shards)])
+    free = lambda j: F.when(F.col("refused").bitwiseAND(F.lit(1 << j).cast("long")) == 0, F.col(f"c{j}")).otherwise(-1)
+    best = F.greatest(*[F.struct(free(j).alias("score"), F.lit(j).alias("target")) for j in range(n_shards)])
     own = F.element_at(F.array(*[F.col(f"c{j}") for j in range(n_shards)]), F.col("shard") + 1)
     scored = scored.withColumn("best", best)
     return scored.select(
-        "row_id", "shard", F.col("best.target").alias("target"), (F.col("best.score") - own).alias("gain")
+        "row_id", "shard", "refused", F.col("best.target").alias("target"), (F.col("best.score") - own).alias("gain")
     )
 
 
 def _accept(proposals: DataFrame, capacity: int, seed: int) -> DataFrame:
-    """The state after the proposals that fit the quotas."""
+    """The state after the proposals that fit the quotas, with what moved; a move forgets earlier refusals."""
     level = F.floor(F.log2(F.col("gain"))).cast("int")
     moves = F.col("target") != F.col("shard")
     flow = proposals.filter(moves).groupBy("shard", "target", level.alias("level")).agg(F.count("*").alias("n"))
@@ -83,20 +86,31 @@ def _accept(proposals: DataFrame, capacity: int, seed: int) -> DataFrame:
     # At most n_shards**2 * 64 rows, whatever the data
     tried = proposals.withColumn("level", level).join(F.broadcast(levels), ["shard", "target", "level"], "left")
     goes = moves & (drawn < F.coalesce("share", F.lit(0.0)))
-    return tried.select("row_id", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"))
+    also = F.col("refused").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("target")))
+    refused = F.when(goes, F.lit(0).cast("long")).when(moves, also).otherwise(F.col("refused"))
+    shard = F.when(goes, F.col("target")).otherwise(F.col("shard"))
+    return tried.select("row_id", shard.alias("shard"), refused.alias("refused"), goes.alias("moved"))
 
 
 def propagate(members: DataFrame, total: int, n_shards: int = SHARDS, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
     """row_id and shard of every linked document, from ``members`` (row_id, hub) and the number of all documents."""
     start = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(n_shards)).cast("int")
-    state = staged(members.select("row_id").distinct().withColumn("shard", start), "shard-state")
+    if n_shards > 63:
+        raise ValueError("at most 63 shards")  # refusals are bits of a long
+    none = F.lit(0).cast("long")
+    state = members.select("row_id").distinct().withColumns({"shard": start, "refused": none, "moved": F.lit(True)})
+    state = staged(state, "shard-state")
     for k in range(rounds):
-        proposals = staged(_propose(members, state, n_shards), "shard-proposals")
+        placed = state.select("row_id", "shard", "refused")
+        proposals = staged(_propose(members, placed, n_shards, seed + 1 + k), "shard-proposals")
         moved = staged(_accept(proposals, total // n_shards, seed + 1 + k), "shard-state")
         drop_staged(proposals)
         drop_staged(state)
         state = moved
-    return state
+        linked, moves = state.agg(F.count("*"), F.count_if("moved")).first()
+        if moves * STILL <= linked:
+            break
+    return state.select("row_id", "shard")
 
 
 def place(rows: DataFrame, state: DataFrame, total: int, n_shards: int = SHARDS) -> DataFrame:
