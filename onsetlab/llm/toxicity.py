@@ -101,15 +101,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, seed: int = 5):
-    """The sparse weights (buckets, values), learnt from at most ``sample_rows`` labelled rows outside the held-out fold."""
-    order = F.xxhash64(F.lit(seed), "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
+    """doc_id, label and text of at most ``sample_rows`` labelled documents outside the held-out fold.
+
+    A label that repeats counts once; of documents that share an id the least text is taken.
+    """
     sample = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", F.col("toxic").cast("int").alias("label"))
-        .orderBy(order, "doc_id", "label").limit(sample_rows)
+        .select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
+        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(sample_rows)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows rows
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, seed: int = 5):
+    """The sparse weights (buckets, values), learnt from ``training_rows``."""
+    rows = training_rows(docs, labels, sample_rows, seed)
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

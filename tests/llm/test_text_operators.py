@@ -172,6 +172,21 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_a_hub_larger_than_a_shard_fills_shards_in_turn(spark):
+    texts = ["hot"] * 800 + [f"pair {k // 2}" for k in range(400)] + [f"only {k}" for k in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.query(docs).collect()
+    count = collections.Counter(r.shard for r in rows)
+    assert set(count.values()) == {300}
+    where = collections.defaultdict(collections.Counter)
+    for r in rows:
+        where[texts[r.doc_id]][r.shard] += 1
+    most = [n for _, n in where["hot"].most_common()]
+    assert sum(most[:3]) >= 760  # three shards are the fewest possible
+    pairs = [len(v) for k, v in where.items() if k.startswith("pair")]
+    assert sum(n > 1 for n in pairs) <= 10
+
+
 def test_simhash(docs, texts):
     rows = {r.doc_id: r for r in simhash.query(docs).collect()}
     ids = np.array(sorted(texts))
@@ -503,6 +518,50 @@ def test_toxicity_learns_from_the_training_folds_only(spark):
     assert {r.doc_id: r.score for r in toxicity.query(docs, flipped).collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_toxicity_trains_on_a_bounded_number_of_rows(spark):
+    docs = [(k % 7, f"text {k}") for k in range(700)] + [(100 + k, None if k == 3 else f"text {k}") for k in range(50)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = labels_of(spark, [*range(7), *range(7), *range(100, 150)])
+    every = {r.doc_id: r for r in toxicity.training_rows(docs, labels).collect()}
+    want = [i for i in [*range(7), *range(100, 150)] if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(every) == want
+    least = {i: min(f"text {k}" for k in range(i, 700, 7)) for i in range(7)} | {100 + k: f"text {k}" for k in range(50)} | {103: None}
+    assert all(r.label == i % 2 and r.text == least[i] for i, r in every.items())
+    assert toxicity.training_rows(docs, labels, 9).count() == 9
+
+
+def ftrl_of_every_bucket(rows, labels, bits, epochs, seed):
+    """The published update, one coordinate at a time, with no bucket left out."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(b):
+        if abs(z[b]) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[b] > 0 else -1
+        return -(z[b] - sign * toxicity.L1) / ((toxicity.BETA + n[b] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            w = {b: weight(b) for b in rows[i]}
+            g = 1 / (1 + np.exp(-min(max(sum(w.values()), -35.0), 35.0))) - labels[i]
+            for b, x in w.items():
+                z[b] += g - ((n[b] + g * g) ** 0.5 - n[b] ** 0.5) / toxicity.ALPHA * x
+                n[b] += g * g
+    return {b: weight(b) for b in list(z) if weight(b)}
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(2)
+    words = [rng.choice(40, rng.integers(1, 9), replace=False) for _ in range(600)]
+    rows = [np.append(np.unique(np.r_[w, 40 + i]), 1 << 10) for i, w in enumerate(words)]  # with a bucket of its own
+    labels = [int(3 in w or 5 in w) for w in words]
+    used, w = toxicity.ftrl(rows, labels, 10, epochs=4, seed=9)
+    want = ftrl_of_every_bucket(rows, labels, 10, 4, 9)
+    assert len(want) > 3 and sorted(want) == used.tolist()
+    assert np.allclose([want[b] for b in used], w)
+
+
 def test_pipeline(spark, docs):
     out = corpus_pipeline.run(spark, SF)
     step = docs
