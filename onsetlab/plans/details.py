@@ -241,3 +241,26 @@ def tracking_errors(spark, sf):
     rows = ev.events(spark, sf).withColumn("angles", F.array(F.col("value"), F.col("value") - 50))
     broken = F.when(F.col("event_type") == "error", F.array_append("angles", F.lit(None).cast("double"))).otherwise(F.col("angles"))
     return quality.tracking_errors(rows.withColumn("angles", broken), ["subject"], "angles", 99.0)
+
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("feature_correlations", "WITH r AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS first, '{b}' AS second, corr({a}, {b}) AS r FROM lineitem" for i, a in enumerate(MEASURES) for b in MEASURES[i + 1 :]
+) + ") SELECT first, second, round(r, 6) AS r, abs(r) >= 0.5 AS high FROM r")
+def feature_correlations(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(*[F.col(c).cast("double").alias(c) for c in MEASURES])
+    return profiles.correlations(rows, MEASURES).select("first", "second", F.round("r", 6).alias("r"), (F.abs("r") >= 0.5).alias("high"))
+
+
+@query("principal_components", """WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), h AS (SELECT abs(r) AS r, sign(r) AS s, sqrt(0.5) AS h FROM r)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS share, round(h, 6) AS l_quantity, round(s * h, 6) AS l_extendedprice FROM h
+UNION ALL SELECT 2, round((1 - r) / 2, 6), round(h, 6), round(-s * h, 6) FROM h""")
+def principal_components(spark, sf):
+    names = MEASURES[:2]
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(*[F.col(c).cast("double").alias(c) for c in names])
+    loadings, shares = profiles.principal_components(rows, names)
+    signs = [1 if loadings[0, k] >= 0 else -1 for k in range(2)]
+    cells = [(k + 1, round(float(shares[k]), 6), *[round(float(x) * signs[k], 6) for x in loadings[:, k]]) for k in range(2)]
+    return spark.createDataFrame(cells, f"component int, share double, {names[0]} double, {names[1]} double")
