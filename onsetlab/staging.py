@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that ``broadcast_if_small`` will hint at most; beyond it Spark plans a shuffled join.
@@ -52,6 +52,12 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def before_partition(value: str, name: str) -> Column:
+    """Over one row per partition (``_part``): the sum of ``value`` over the partitions before. The window has one row a partition."""
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0)).alias(name)
+
+
 def with_position(df: DataFrame, order: list, name: str, label: str) -> DataFrame:
     """Add ``name``: the row's place (from 0) in the global order of ``order``, without a one-task window.
 
@@ -64,9 +70,7 @@ def with_position(df: DataFrame, order: list, name: str, label: str) -> DataFram
     )
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = split.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    # One row per shuffle partition, so the self-join below is bounded by that setting squared.
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-    offsets = before.groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_offset"))
+    offsets = counts.select("_part", before_partition("_n", "_offset"))
     return (
         split.withColumn("_part", part)
         .join(broadcast_if_small(offsets), "_part")
@@ -93,10 +97,7 @@ def sums_before(df: DataFrame, keys: list[str], order: list, values: dict[str, s
     split = table.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     split = staged(split.withColumn("_at", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_at", 33))
     totals = split.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
-    pairs = totals.alias("a").join(totals.alias("b"), F.col("b._part") < F.col("a._part"), "left")  # one row per partition
-    offsets = pairs.groupBy(F.col("a._part").alias("_part")).agg(
-        *[F.coalesce(F.sum(f"b.{v}"), F.lit(0)).alias(f"_o_{n}") for v, n in values.items()]
-    )
+    offsets = totals.select("_part", *[before_partition(v, f"_o_{n}") for v, n in values.items()])
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     out = split.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, n in values.items()})
     out = out.join(broadcast_if_small(offsets), "_part").withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in values.values()})
