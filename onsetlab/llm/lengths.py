@@ -6,12 +6,15 @@ each row answers the context limit that equals its length: the tokens left after
 documents cut, and the share of documents at or below it (so every quantile, too).
 
 Nulls, ties, odd rows: a null or empty text has length 0 and counts as a document; repeated rows
-count each; an empty table gives an empty histogram. Only ``text`` is read.
+count each; an empty table gives an empty histogram. Only ``text`` is read. Long runs of white space, which
+the pattern's engine cannot hold on its stack, are encoded beside the pattern, with the same ids.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ from onsetlab.staging import broadcast_if_small, staged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the pattern's class of it, in runs that are encoded apart.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
 #: Lengths whose suffix sums one task makes; the blocks' totals are summed apart.
 BLOCK = 1024
 #: Bytes of a vocabulary file that are sent to the executors at most.
@@ -47,12 +52,47 @@ def encoding(path: str, data: bytes):
     return _encodings[path]
 
 
+def whole_encoder(coder) -> Callable[[str], list[int]]:
+    """The ids of a text of any kind and length.
+
+    The pattern takes a run of white space before another character as one part, all but its last character,
+    and a run at the text's end as one part; long runs are cut out just so and go to the merges directly.
+    """
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += coder.encode_ordinary(text[at : run.start()])
+            ids += coder._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + coder.encode_ordinary(text[at:]) if at else coder.encode_ordinary(text)
+
+    return encode
+
+
+def byte_level(vocabulary: dict[str, int]) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """An encoder for a byte-level vocabulary written in visible characters, and the bytes of every id.
+
+    Its ids rank the merges; the strings of special tokens are plain text.
+    """
+    import tiktoken
+
+    shown = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    of = [b""] * (max(vocabulary.values()) + 1)
+    for entry, k in vocabulary.items():
+        of[k] = bytes(map(byte_of.__getitem__, entry))
+    ranks = {b: k for k, b in enumerate(of) if b}
+    return whole_encoder(tiktoken.Encoding("entries", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})), of
+
+
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and n_tokens of every document."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def make():
-        encode = encoding(vocabulary, data.value).encode_ordinary
+        encode = whole_encoder(encoding(vocabulary, data.value))
         return lambda texts: [[len(encode(t)) if t else 0 for t in texts]]
 
     return per_text(docs, ["doc_id"], make, "n_tokens long")

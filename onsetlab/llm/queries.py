@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from onsetlab.llm import exact, iblt, lengths, mixing, pieces, pii, sharding, simhash, substrings, toxicity
+from onsetlab.llm import align, exact, iblt, lengths, mixing, packing, pieces, pii, sharding, simhash, substrings, toxicity, variants
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeated_substrings": lambda spark, sf: substrings.query(documents(spark, sf)),
         "op9_sentencepiece": lambda spark, sf: pieces.query(documents(spark, sf)),
         "op10_toxicity": lambda spark, sf: toxicity.query(documents(spark, sf), labels(spark, sf)),
+        "op11_alignment": lambda spark, sf: align.query(documents(spark, sf)),
+        "op12_packing": lambda spark, sf: packing.query(documents(spark, sf)),
+        "op13_variants": lambda spark, sf: variants.query(documents(spark, sf)),
     }
 
 

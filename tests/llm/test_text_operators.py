@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from onsetlab.llm import exact, iblt, lengths, mixing, nearcopies, pieces, pii, queries, sharding, simhash, substrings, toxicity
+from onsetlab.llm import align, exact, iblt, lengths, mixing, nearcopies, packing, pieces, pii, queries, sharding, simhash, substrings, toxicity, variants
 from onsetlab.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,7 @@ QUERIES = {
     "mix": mixing.query, "shards": sharding.query, "simhash": simhash.query, "iblt": iblt.query, "exact": exact.query,
     "lengths": lengths.query, "pii": pii.query, "substrings": substrings.query, "pieces": pieces.query,
     "toxicity": lambda d: toxicity.query(d, labels_of(d.sparkSession)),
+    "align": align.query, "packing": packing.query, "variants": variants.query,
 }
 
 
@@ -70,7 +71,9 @@ def test_empty_table(empty, name):
 @pytest.mark.parametrize("name", QUERIES)
 def test_odd_rows_give_a_row_each(odd, name):
     rows = QUERIES[name](odd).collect()
-    if name != "lengths":
+    if name == "variants":
+        assert {r.word for r in rows} == {"quick", "brown", "jumps", "again", "without"}
+    elif name != "lengths":
         ids = lambda x: sorted(x, key=lambda v: (v is None, v or 0))
         assert ids(r.doc_id for r in rows) == ids(i for i, _ in ODD)
     else:
