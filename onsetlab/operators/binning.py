@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onsetlab import staging
 from onsetlab.functions.columns import bin_mid
+from onsetlab.staging import median, sums_before, with_same
 
 
 def pooled_bins(samples: DataFrame, keys: list[str], subject: str, t: str, value: str, width: float) -> DataFrame:
@@ -13,7 +15,8 @@ def pooled_bins(samples: DataFrame, keys: list[str], subject: str, t: str, value
 
     Returns keys, bin_mid, value and count (values in the bin / subjects of the key).
     """
-    at = samples.groupBy(*keys, t).agg(F.median(value).alias("_m"), F.count(value).alias("_n"))
+    at = median(samples, [*keys, t], value, "_m", "pooled-bins")
+    at = with_same(at, samples.groupBy(*keys, t).agg(F.count(value).alias("_n")), [*keys, t])
     subjects = samples.groupBy(*keys).agg(F.count_distinct(subject).alias("_subjects"))
     bins = at.groupBy(*keys, bin_mid(t, width).alias("bin_mid")).agg(F.avg("_m").alias("value"), F.sum("_n").alias("_n"))
     return bins.join(subjects, keys).select(*keys, "bin_mid", "value", (F.col("_n") / F.col("_subjects")).alias("count"))
@@ -28,8 +31,9 @@ def heatmap(bins: DataFrame, rows: list[str], column: str, values: list, value:
 def value_ranges(samples: DataFrame, keys: list[str], value: str, quantiles: list[float], positive: bool = False, exact: bool = True) -> DataFrame:
     """Quantiles of the values (of the positive ones) in each key."""
     x = F.when(F.col(value) > 0, F.col(value)) if positive else F.col(value)
-    q = F.array(*map(F.lit, quantiles))
-    return samples.groupBy(*keys).agg((F.percentile(x, q) if exact else F.percentile_approx(x, q)).alias("quantiles"))
+    if exact:
+        return staging.quantiles(samples, keys, x, quantiles, "quantiles", "value-ranges")
+    return samples.groupBy(*keys).agg(F.percentile_approx(x, F.array(*map(F.lit, quantiles))).alias("quantiles"))
 
 
 def histogram_2d(df: DataFrame, x: Column, y: Column, dx: float, dy: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
@@ -71,13 +75,12 @@ def bootstrap_median(
     rows = df.filter(F.col(value).isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     rows = rows.withColumn("_w", poisson_weight(draw)).filter("_w > 0")
     counts = rows.groupBy(*keys, "replicate", value).agg(F.sum("_w").alias("_w"))
-    ordered = Window.partitionBy(*keys, "replicate").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys, "replicate")
-    half = counts.withColumn("_c", F.sum("_w").over(ordered)).withColumn("_t", F.sum("_w").over(every))
-    medians = half.filter(F.col("_c") * 2 >= F.col("_t")).groupBy(*keys, "replicate").agg(F.min(value).alias("_m"))
+    half = sums_before(counts, [*keys, "replicate"], [value], {"_w": "_c"}, "bootstrap-median")
+    half = with_same(half, half.groupBy(*keys, "replicate").agg(F.sum("_w").alias("_t")), [*keys, "replicate"])
+    medians = half.filter((F.col("_c") + F.col("_w")) * 2 >= F.col("_t")).groupBy(*keys, "replicate").agg(F.min(value).alias("_m"))
     tail = (1 - level) / 2
-    bounds = medians.groupBy(*keys).agg(
+    bounds = medians.groupBy(*keys).agg(  # one value per replicate
         F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high")
     )
-    point = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    return point.join(bounds, keys, "left")
+    point = median(df, keys, value, "median", "bootstrap-median")
+    return with_same(point, bounds, keys, "left")

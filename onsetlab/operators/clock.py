@@ -5,48 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from onsetlab.operators.chunks import CHUNK, neighbours, running_sums
+from onsetlab.staging import median, positions, staged, with_same
 
-def frame_intervals(clock: DataFrame, by: list[str], frame: str, elapsed: str, tolerance: float) -> DataFrame:
+
+def frame_intervals(clock: DataFrame, by: list[str], frame: str, elapsed: str, tolerance: float, rows: int = CHUNK) -> DataFrame:
     """Add ``interval`` to the row before, its median ``typical``, and ``steady`` (within the tolerance)."""
-    w = Window.partitionBy(*by).orderBy(frame)
-    rows = clock.withColumn("interval", (F.col(elapsed) - F.lag(elapsed).over(w)).cast("double"))
-    typical = rows.groupBy(*by).agg(F.median("interval").alias("typical"))
-    rows = rows.join(typical, by)
-    return rows.withColumn("steady", F.coalesce(F.abs(F.col("interval") - F.col("typical")) <= F.lit(tolerance), F.lit(False)))
+    out = neighbours(clock, by, frame, F.col(elapsed), "_before", rows)
+    out = out.withColumn("interval", (F.col(elapsed) - F.col("_before")).cast("double")).drop("_before")
+    out = with_same(out, median(out, by, "interval", "typical", "frame-intervals"), by)
+    return out.withColumn("steady", F.coalesce(F.abs(F.col("interval") - F.col("typical")) <= F.lit(tolerance), F.lit(False)))
 
 
-def clock_report(clock: DataFrame, by: list[str], frame: str, elapsed: str, tolerance: float, buffer: int = 0) -> DataFrame:
-    """Per key: typical and mean interval, first and last steady frame, rate, largest interval, lost frames.
+def lost_frames(clock: DataFrame, by: list[str], frame: str, elapsed: str, tolerance: float, buffer: int = 0, rows: int = CHUNK) -> DataFrame:
+    """Add first_steady, last_steady, mean_interval, drift and ``lost`` (frames lost just before this one) to the intervals.
 
     A frame is an anchor if it and its neighbours have steady intervals; the first anchor lies ``buffer``
-    frames in, at least. The mean interval is taken between the anchors, and a frame counts as lost where
-    the whole part of the drift (in intervals) rises.
+    frames in, at least. The mean interval is taken between the anchors. The drift is the running sum of what
+    intervals there exceed it by, and frames are lost where the whole part of the drift (in intervals) rises.
     """
-    w = Window.partitionBy(*by).orderBy(frame)
-    rows = frame_intervals(clock, by, frame, elapsed, tolerance)
-    three = F.col("steady") & F.coalesce(F.lag("steady").over(w), F.lit(False)) & F.coalesce(F.lead("steady").over(w), F.lit(False))
-    rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_anchor", three)
-    anchors = rows.groupBy(*by).agg(
-        F.min(F.when(F.col("_anchor") & (F.col("_n") > buffer), F.col(frame))).alias("first_steady"),
+    out = staged(frame_intervals(clock, by, frame, elapsed, tolerance, rows), "clock-intervals")
+    near = neighbours(out, by, frame, F.col("steady"), "_s", rows)
+    near = neighbours(near, by, frame, F.col("steady"), "_t", rows, ahead=True)
+    three = F.col("steady") & F.coalesce("_s", F.lit(False)) & F.coalesce("_t", F.lit(False))
+    near = positions(near.withColumn("_anchor", three).drop("_s", "_t"), by, [frame], "_n", "clock-anchors")
+    anchors = near.groupBy(*by).agg(
+        F.min(F.when(F.col("_anchor") & (F.col("_n") >= buffer), F.col(frame))).alias("first_steady"),
         F.max(F.when(F.col("_anchor"), F.col(frame))).alias("last_steady"),
     )
-    rows = rows.join(anchors, by)
-    inside = (F.col(frame) > F.col("first_steady")) & (F.col(frame) <= F.col("last_steady"))
-    every = Window.partitionBy(*by)
-    rows = rows.withColumn("_mean", F.avg(F.when(inside, F.col("interval"))).over(every))
-    drift = F.sum(F.when(inside, F.col("interval") - F.col("_mean")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_late", F.greatest(F.floor(F.try_divide(drift, F.col("_mean")) + 1e-9), F.lit(0)))
-    rows = rows.withColumn("_lost", F.greatest(F.col("_late") - F.coalesce(F.lag("_late").over(w), F.lit(0)), F.lit(0)))
-    return rows.groupBy(*by).agg(
-        F.first("typical").alias("typical"), F.first("_mean").alias("mean_interval"), F.first("first_steady").alias("first_steady"),
-        F.first("last_steady").alias("last_steady"), F.max("interval").alias("largest"), F.sum("_lost").cast("long").alias("lost"),
+    out = with_same(out, anchors, by)
+    inside = F.coalesce((F.col(frame) > F.col("first_steady")) & (F.col(frame) <= F.col("last_steady")), F.lit(False))
+    means = out.groupBy(*by).agg(F.avg(F.when(inside, F.col("interval"))).alias("mean_interval"))
+    out = with_same(out, means, by)
+    out = staged(out.withColumn("_more", F.when(inside, F.col("interval") - F.col("mean_interval")).otherwise(0.0)), "clock-drift")
+    out = running_sums(out, by, frame, {"_more": "drift"}, rows)
+    whole = lambda d: F.greatest(F.floor(F.try_divide(d, F.col("mean_interval")) + 1e-9), F.lit(0))
+    lost = F.greatest(whole(F.col("drift")) - whole(F.col("drift") - F.col("_more")), F.lit(0))
+    return out.withColumn("lost", F.coalesce(lost, F.lit(0)).cast("long")).drop("_more")
+
+
+def clock_report(clock: DataFrame, by: list[str], frame: str, elapsed: str, tolerance: float, buffer: int = 0, rows: int = CHUNK) -> DataFrame:
+    """Per key: typical and mean interval, first and last steady frame, rate, largest interval, lost frames."""
+    return lost_frames(clock, by, frame, elapsed, tolerance, buffer, rows).groupBy(*by).agg(
+        F.first("typical").alias("typical"), F.first("mean_interval").alias("mean_interval"), F.first("first_steady").alias("first_steady"),
+        F.first("last_steady").alias("last_steady"), F.max("interval").alias("largest"), F.sum("lost").alias("lost"),
     ).withColumn("rate", F.try_divide(F.lit(1000.0), F.col("mean_interval")))
 
 
 def merged_clock(samples: DataFrame, clock: DataFrame, by: list[str], frame: str) -> DataFrame:
     """Samples with their clock rows; frames rebased to 0 in each key."""
     both = samples.join(clock, [*by, frame])
-    return both.withColumn(frame, F.col(frame) - F.min(frame).over(Window.partitionBy(*by)))
+    first = both.groupBy(*by).agg(F.min(frame).alias("_first"))
+    return with_same(both, first, by).withColumn(frame, F.col(frame) - F.col("_first")).drop("_first")
 
 
 def frames_before(samples: DataFrame, by: list[str], frame: str, reference: str) -> DataFrame:

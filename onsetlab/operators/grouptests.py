@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onsetlab.functions.columns import stars, two_sided_p
-from onsetlab.staging import sums_before
+from onsetlab.staging import quantiles, sums_before, with_same
 
 
 def _z(u: Column, mean: Column, variance: Column) -> Column:
@@ -75,10 +75,10 @@ def with_stars(tests: DataFrame, p: str = "p_adj", out: str = "stars") -> DataFr
 
 def iqr_outliers(df: DataFrame, keys: list[str], value: str, factor: float = 1.5) -> DataFrame:
     """The rows outside the quartiles by more than ``factor`` interquartile ranges of their key."""
-    fences = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    fences = quantiles(df, keys, value, [0.25, 0.75], "_q", "iqr-outliers")
     lo, hi = F.element_at("_q", 1), F.element_at("_q", 2)
     reach = (hi - lo) * F.lit(factor)
-    joined = df.join(fences, keys)
+    joined = with_same(df, fences, keys)
     return joined.filter((F.col(value) < lo - reach) | (F.col(value) > hi + reach)).drop("_q")
 
 

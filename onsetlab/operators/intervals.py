@@ -1,8 +1,8 @@
 """Joins in time and runs in time.
 
 Bare inequality joins would be nested loops, so range joins meet on time buckets; as-of joins are a
-union and one window sort; runs are islands of a running sum. Interval sides are small next to
-samples, and only they are exploded.
+union and one window sort. Runs, unions and pairs are found inside chunks of a recording and stitched
+over their borders. Interval sides are small next to samples, and only they are exploded.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onsetlab.operators.chunks import CHUNK, closed_gaps, islands, neighbours, running_sums, united
+from onsetlab.staging import staged, with_same
+
 
 def _order(by: list[str], *order) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
@@ -98,8 +101,14 @@ def interpolate_at(points: DataFrame, samples: DataFrame, by: list[str], t: str,
     return both.withColumn(out, blend).drop("b_st", "b_sv", "f_st", "f_sv")
 
 
-def merged_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """The union of overlapping or touching intervals: ``by``, start, end."""
+def merged_intervals(df: DataFrame, by: list[str], start: str, end: str, bucket: float | None = None) -> DataFrame:
+    """The union of overlapping or touching intervals: ``by``, start, end.
+
+    With ``bucket`` (a length of time) a key's intervals are merged bucket by bucket and stitched, so a key
+    with very many intervals is no single task.
+    """
+    if bucket is not None:
+        return united(df, by, start, end, bucket)
     w = _order(by, start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", (F.col(start) > F.coalesce(reach, F.col(start) - 1)).cast("int"))
@@ -110,8 +119,8 @@ def merged_intervals(df: DataFrame, by: list[str], start: str, end: str) -> Data
 def near_events(samples: DataFrame, events: DataFrame, by: list[str], t: str, onset: str, lo: float, hi: float) -> DataFrame:
     """The samples within [onset + lo, onset + hi] of any event, each once."""
     spans = events.select(*by, (F.col(onset) + F.lit(lo)).alias("_a"), (F.col(onset) + F.lit(hi)).alias("_b"))
-    spans = merged_intervals(spans, by, "_a", "_b")
     width = max(hi - lo, 1)
+    spans = merged_intervals(spans, by, "_a", "_b", bucket=4096 * width)
     cell = lambda x: F.floor(x / F.lit(width))
     spans = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col("_a")), cell(F.col("_b"))))).alias("e")
     rows = samples.withColumn("_cell", cell(F.col(t))).alias("s")
@@ -119,48 +128,32 @@ def near_events(samples: DataFrame, events: DataFrame, by: list[str], t: str, on
     return rows.join(spans, [*on, F.col(f"s.{t}").between(F.col("e._a"), F.col("e._b"))], "left_semi").drop("_cell")
 
 
-def islands(df: DataFrame, by: list[str], order: str, on: Column, **aggregates: Column) -> DataFrame:
-    """Maximal runs of rows where ``on`` holds: start, end (of ``order``), n and further aggregates."""
-    w = _order(by, order)
-    flag = df.withColumn("_on", F.coalesce(on, F.lit(False)))
-    change = (F.col("_on") != F.coalesce(F.lag("_on").over(w), F.lit(False))).cast("int")
-    flag = flag.withColumn("_change", change)
-    flag = flag.withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    found = flag.filter("_on").groupBy(*by, "_run").agg(
-        F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"),
-        *[v.alias(k) for k, v in aggregates.items()],
-    )
-    return found.drop("_run")
-
-
 def bouts(
     df: DataFrame, by: list[str], frame: str, value: str, threshold: float, min_gap: int, min_duration: int,
-    min_peak: float | None = None, peak: str | None = None,
+    min_peak: float | None = None, peak: str | None = None, rows: int = CHUNK,
 ) -> DataFrame:
     """Runs with value >= threshold: gaps under ``min_gap`` closed, then short and weak runs dropped.
 
+    Runs are found in chunks of ``rows`` frames and stitched; a run may be longer than a chunk.
+
     ``frame`` counts rows. The first and last row of a key are taken as inactive. ``start`` is the first
     active frame and ``end`` the first inactive one after; a run must last ``min_duration`` frames, and
     its greatest ``peak`` (the value, unless named) after the start must reach ``min_peak``.
     """
-    w = Window.partitionBy(*by)
-    inner = (F.col(frame) > F.min(frame).over(w)) & (F.col(frame) < F.max(frame).over(w))
-    runs = islands(df.withColumn("_in", inner & (F.col(value) >= F.lit(threshold))), by, frame, F.col("_in"))
-    runs = runs.select(*by, "start", (F.col("end") + 1).alias("end"))
-    v = _order(by, "start")
-    far = F.col("start") - F.lag("end").over(v) >= min_gap
-    runs = runs.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int"))
-    runs = runs.withColumn("_bout", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy(*by, "_bout").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_bout")
+    extents = df.groupBy(*by).agg(F.min(frame).alias("_first"), F.max(frame).alias("_last"))
+    runs = with_same(islands(df, by, frame, F.col(value) >= F.lit(threshold), rows), extents, by)
+    runs = runs.withColumns({"start": F.greatest("start", F.col("_first") + 1), "end": F.least("end", F.col("_last") - 1)})
+    runs = runs.filter("start <= end").select(*by, "start", (F.col("end") + 1).alias("end"))
+    runs = closed_gaps(runs, by, max(min_gap, 1), rows)
     runs = runs.filter(F.col("end") - F.col("start") >= min_duration)
     if min_peak is not None:
         width = max(min_duration, 64)
         cells = runs.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-        rows = df.select(*by, frame, F.col(peak or value).alias("_v")).withColumn("_cell", F.floor(F.col(frame) / width))
+        tops = df.select(*by, frame, F.col(peak or value).alias("_v")).withColumn("_cell", F.floor(F.col(frame) / width))
         inside = (F.col(frame) > F.col("start")) & (F.col(frame) <= F.col("end"))
-        strong = rows.join(cells, [*by, "_cell"]).filter(inside).groupBy(*by, "start", "end").agg(F.max("_v").alias("_top"))
+        strong = with_same(tops, cells, [*by, "_cell"]).filter(inside).groupBy(*by, "start", "end").agg(F.max("_v").alias("_top"))
         runs = strong.filter(F.col("_top") >= min_peak).drop("_top")
-    return runs.withColumn("bout_no", F.row_number().over(v))
+    return running_sums(runs.withColumn("_one", F.lit(1)), by, "start", {"_one": "bout_no"}, rows).drop("_one")
 
 
 def mark_bouts(df: DataFrame, runs: DataFrame, by: list[str], frame: str, width: int = 256) -> DataFrame:
@@ -183,19 +176,30 @@ def mark_bouts(df: DataFrame, runs: DataFrame, by: list[str], frame: str, width:
     )
 
 
-def paired_events(marks: DataFrame, by: list[str], t: str, begins: Column, ends: Column) -> DataFrame:
-    """Pair begin and end marks in time; a begin without an end closes at the last row, an end without a begin opens at the first."""
-    w = Window.partitionBy(*by)
-    marks = marks.withColumn("_first", F.min(t).over(w)).withColumn("_last", F.max(t).over(w))
-    marks = marks.withColumn("_kind", F.when(begins, 1).when(ends, 0)).filter("_kind is not null")
-    order = _order(by, t)
-    marks = marks.withColumn("_next", F.lead(F.struct(F.col("_kind"), F.col(t).alias("t"))).over(order))
-    marks = marks.withColumn("_before", F.lag("_kind").over(order))
-    from_begin = F.when((F.col("_kind") == 1), F.struct(
-        F.col(t).alias("start"), F.when(F.col("_next._kind") == 0, F.col("_next.t")).otherwise(F.coalesce(F.col("_next.t"), F.col("_last"))).alias("end")
-    ))
-    lone_end = F.when((F.col("_kind") == 0) & F.col("_before").isNull(), F.struct(F.col("_first").alias("start"), F.col(t).alias("end")))
-    return marks.select(*by, F.coalesce(from_begin, lone_end).alias("e")).filter("e is not null").select(*by, "e.start", "e.end")
+def paired_events(marks: DataFrame, by: list[str], t: str, begins: Column, ends: Column, bucket: float = CHUNK) -> DataFrame:
+    """Pair begin and end marks in time; a begin without an end closes at the last row, an end without a begin opens at the first.
+
+    A begin that another begin follows closes there. Marks of one time are taken begins first; a null time is
+    no mark. Neighbouring marks are found bucket by bucket (a length of time), so a long key is no single task.
+    """
+    extents = marks.groupBy(*by).agg(F.min(t).alias("_first"), F.max(t).alias("_last"))
+    # One row per time: whether it begins and ends, so that the order does not tie.
+    told = marks.withColumn("_kind", F.when(begins, 1).when(ends, 0)).filter(F.col("_kind").isNotNull() & F.col(t).isNotNull())
+    kinds = told.groupBy(*by, t).agg(F.count_if(F.col("_kind") == 1).alias("_b"), F.count_if(F.col("_kind") == 0).alias("_e"))
+    here = F.struct((F.col("_b") > 0).alias("b"), F.col(t).alias("t"), (F.col("_e") > 0).alias("e"))
+    kinds = staged(kinds, "paired-marks")
+    near = neighbours(neighbours(kinds, by, t, here, "_next", bucket, ahead=True), by, t, here, "_before", bucket)
+    near = with_same(near, extents, by)
+    # Begins of one time but the last close at once; the last goes on to an end of the same time, or to the next mark.
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    at = F.col(t)
+    closing = F.when(F.col("_e") > 0, at).otherwise(F.coalesce(F.col("_next.t"), F.col("_last")))
+    at_once = F.when(F.col("_b") > 1, F.array_repeat(span(at, at), (F.col("_b") - 1).cast("int")))
+    lasting = F.when(F.col("_b") > 0, F.array(span(at, closing)))
+    lone = F.when((F.col("_b") == 0) & F.col("_before").isNull(), F.array(span(F.col("_first"), at)))
+    none = F.filter(F.array(span(at, at)), lambda _: F.lit(False))  # empty, of the right type
+    found = F.concat(*[F.coalesce(x, none) for x in (at_once, lasting, lone)])
+    return near.select(*by, F.inline(found))
 
 
 def mean_inside(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from onsetlab.functions.columns import chi2_quantile, normal_cdf
 from onsetlab.operators.binning import poisson_weight
 from onsetlab.operators.grouptests import mann_whitney
-from onsetlab.staging import staged, sums_before
+from onsetlab.staging import median, quantiles, staged, sums_before
 
 
 @dataclass
@@ -132,7 +132,7 @@ def calibrated_scores(
     # Written, so that the values counted below and those they are joined to are the same to the last bit.
     rows = staged(rows.withColumn("t_joint", quadratic_form(positive, np.linalg.inv(reference.shrunk))), "calibrated-rows")
     controls = rows.filter(c)
-    limit = controls.agg(F.percentile("t_joint", F.lit(1 - alpha)).alias("_limit"))
+    limit = quantiles(controls, [], "t_joint", [1 - alpha], "_q", "calibrated-limit").select(F.element_at("_q", 1).alias("_limit"))
     votes = sum((F.coalesce(F.col(x) > 0, F.lit(False)).cast("int") for x in z), F.lit(0))
     # How many controls have at least this t, by distinct values.
     counts = rows.filter("t_joint is not null").groupBy(F.lit(0).alias("_all"), "t_joint").agg(F.count_if(c).alias("_k"))
@@ -231,10 +231,9 @@ def confounds(subjects: DataFrame, learner: str, measures: list[str]) -> DataFra
     cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
     long = subjects.select(F.col(learner), F.inline(cells))
     tests = mann_whitney(long, ["measure"], F.col(learner), "value")
-    medians = long.groupBy("measure").agg(
-        F.median(F.when(~F.col(learner), F.col("value"))).alias("median_others"), F.median(F.when(F.col(learner), F.col("value"))).alias("median_learners")
-    )
-    return medians.join(tests, "measure")
+    for name, part in (("median_learners", F.col(learner)), ("median_others", ~F.col(learner))):
+        tests = median(long, ["measure"], F.when(part, F.col("value")), name, "confounds").join(tests, "measure")
+    return tests
 
 
 def epoch_points(features: DataFrame, subject: list[str], block: str, epochs: dict[str, list], value: str) -> DataFrame:

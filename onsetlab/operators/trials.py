@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from onsetlab import staging
 from onsetlab.functions.columns import clip
 from onsetlab.operators.intervals import range_join
+from onsetlab.staging import with_same
 
 
 def numbered_stimuli(events: DataFrame, by: list[str], order: list[str], number: str = "trial_no") -> DataFrame:
@@ -129,11 +131,12 @@ def baseline_scaled(
 ) -> DataFrame:
     """(value - q_lo) / (q_hi - q_lo), clipped to [0, 1], with the quantiles of the trial's rows at t < before."""
     base = F.when(F.col(t) < before, F.col(value))
-    q = F.array(*map(F.lit, quantiles))
-    q = F.percentile(base, q) if exact else F.percentile_approx(base, q)
-    ranges = samples.groupBy(*keys).agg(q.alias("_q"))
+    if exact:
+        ranges = staging.quantiles(samples, keys, base, list(quantiles), "_q", "baseline-scaled")
+    else:
+        ranges = samples.groupBy(*keys).agg(F.percentile_approx(base, F.array(*map(F.lit, quantiles))).alias("_q"))
     lo, hi = F.element_at("_q", 1), F.element_at("_q", 2)
-    return samples.join(ranges, keys).withColumn(out, clip(F.try_divide(F.col(value) - lo, hi - lo), 0.0, 1.0)).drop("_q")
+    return with_same(samples, ranges, keys).withColumn(out, clip(F.try_divide(F.col(value) - lo, hi - lo), 0.0, 1.0)).drop("_q")
 
 
 def baseline_subtracted(
@@ -142,9 +145,12 @@ def baseline_subtracted(
 ) -> DataFrame:
     """The value less its median (or mean) in the trial's baseline window, clipped where limits are given."""
     inside = F.when(window(t, *baseline), F.col(value))
-    level = samples.groupBy(*keys).agg((F.median(inside) if center == "median" else F.avg(inside)).alias("_level"))
+    if center == "median":
+        level = staging.median(samples, keys, inside, "_level", "baseline-subtracted")
+    else:
+        level = samples.groupBy(*keys).agg(F.avg(inside).alias("_level"))
     x = F.col(value) - F.col("_level")
-    return samples.join(level, keys).withColumn(out, clip(x, *limits) if limits else x).drop("_level")
+    return with_same(samples, level, keys).withColumn(out, clip(x, *limits) if limits else x).drop("_level")
 
 
 def without_early_us(samples: DataFrame, t: str, us_begin: str, value: str, keys: list[str] | None = None, drop_trial: bool = False) -> DataFrame:
@@ -163,7 +169,7 @@ def rebased_trials(trials: DataFrame, trial_no: str = "trial_no") -> DataFrame:
 
 
 def subject_block_medians(features: DataFrame, keys: list[str], value: str = "nv", out: str = "nv") -> DataFrame:
-    return features.groupBy(*keys).agg(F.median(value).alias(out))
+    return staging.median(features, keys, value, out, "block-medians")
 
 
 def on_all_blocks(table: DataFrame, conditions: DataFrame, blocks: DataFrame) -> DataFrame:

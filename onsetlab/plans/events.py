@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from onsetlab.functions import columns as C
 from onsetlab.operators import binning, clock, grouptests, intervals, quality, signal, trials
+from onsetlab.staging import median, positions, staged
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
@@ -41,8 +42,7 @@ def stimuli(ev: DataFrame, kind: str = "purchase") -> DataFrame:
 
 def numbered(ev: DataFrame) -> DataFrame:
     """The rows of each subject as frames 0, 1, ..."""
-    w = Window.partitionBy("subject").orderBy("us", "event_id")
-    return ev.withColumn("frame", F.row_number().over(w) - 1)
+    return positions(ev, ["subject"], ["us", "event_id"], "frame", "numbered-events")
 
 
 def trial_rows(spark: SparkSession, sf: str, lo: int = -DAY, hi: int = DAY) -> DataFrame:
@@ -84,14 +84,16 @@ def trial_response(spark, sf):
 
 
 @query("block_median", EV + """, sb AS (SELECT subject, condition, block, median(nv) AS nv FROM nvt GROUP BY ALL),
-grid AS (SELECT c.condition, b.block FROM (SELECT DISTINCT condition FROM sb) c, (SELECT unnest(range(1, 7))::INTEGER AS block) b)
+grid AS (SELECT c.condition, b.block FROM (SELECT DISTINCT condition FROM sb) c, (SELECT unnest(range(1, (SELECT max(block) FROM sb) + 1))::INTEGER AS block) b)
 SELECT g.condition, g.block, round(median(nv), 6) AS nv, count(nv) AS subjects FROM grid g LEFT JOIN sb USING (condition, block) GROUP BY ALL""")
 def block_median(spark, sf):
     per = trials.subject_block_medians(trial_features(spark, sf), ["subject", "condition", "block"])
-    table = per.groupBy("condition", "block").agg(F.round(F.median("nv"), 6).alias("nv"), F.count("nv").alias("subjects"))
-    blocks = spark.range(1, 7).select(F.col("id").cast("int").alias("block"))
+    keys = ["condition", "block"]
+    table = median(per, keys, "nv", "nv", "block-median").join(per.groupBy(*keys).agg(F.count("nv").alias("subjects")), keys)
+    last = per.agg(F.max("block").alias("last")).filter("last >= 1")  # one row
+    blocks = last.select(F.explode(F.sequence(F.lit(1), F.col("last"))).alias("block"))
     whole = trials.on_all_blocks(table, per.select("condition").distinct(), blocks)
-    return whole.select("condition", "block", "nv", F.coalesce("subjects", F.lit(0)).alias("subjects"))
+    return whole.select("condition", "block", F.round("nv", 6).alias("nv"), F.coalesce("subjects", F.lit(0)).alias("subjects"))
 
 
 @query("asof_markers", EV + """, s AS (SELECT subject, us AS beg, lead(us) OVER (PARTITION BY subject ORDER BY us, event_id) AS fin
@@ -138,11 +140,15 @@ st AS (SELECT i.*, t.typical, coalesce(abs(interval - typical) <= 30000000000, f
 an AS (SELECT *, steady AND coalesce(lag(steady) OVER w, false) AND coalesce(lead(steady) OVER w, false) AS anchor FROM st WINDOW w AS (PARTITION BY subject ORDER BY frame)),
 ab AS (SELECT subject, min(frame) FILTER (anchor) AS first_steady, max(frame) FILTER (anchor) AS last_steady FROM an GROUP BY subject),
 me AS (SELECT an.subject, avg(interval) FILTER (frame > first_steady AND frame <= last_steady) AS mean_interval FROM an JOIN ab USING (subject) GROUP BY an.subject)
-SELECT t.subject, round(t.typical, 3) AS typical, t.largest, first_steady, last_steady, round(mean_interval, 3) AS mean_interval
-FROM t JOIN ab USING (subject) JOIN me USING (subject)""")
+dr AS (SELECT an.subject, frame, mean_interval, CASE WHEN frame > first_steady AND frame <= last_steady THEN interval - mean_interval ELSE 0 END AS more
+ FROM an JOIN ab USING (subject) JOIN me USING (subject)),
+cu AS (SELECT *, sum(more) OVER (PARTITION BY subject ORDER BY frame) AS drift FROM dr),
+lo AS (SELECT subject, sum(greatest(greatest(floor(drift / mean_interval + 1e-9), 0) - greatest(floor((drift - more) / mean_interval + 1e-9), 0), 0))::BIGINT AS lost FROM cu GROUP BY subject)
+SELECT t.subject, round(t.typical, 3) AS typical, t.largest, first_steady, last_steady, round(mean_interval, 3) AS mean_interval, coalesce(lost, 0) AS lost
+FROM t JOIN ab USING (subject) JOIN me USING (subject) JOIN lo USING (subject)""")
 def frame_rate_check(spark, sf):
-    out = clock.clock_report(numbered(events(spark, sf)), ["subject"], "frame", "us", tolerance=30_000_000_000)
-    return out.select("subject", F.round("typical", 3).alias("typical"), "largest", "first_steady", "last_steady", F.round("mean_interval", 3).alias("mean_interval"))
+    out = clock.clock_report(numbered(events(spark, sf)), ["subject"], "frame", "us", tolerance=30_000_000_000, rows=4096)
+    return out.select("subject", F.round("typical", 3).alias("typical"), "largest", "first_steady", "last_steady", F.round("mean_interval", 3).alias("mean_interval"), "lost")
 
 
 @query("centered_mean", EV + """SELECT subject, frame, CASE WHEN count(value) OVER w = 4 THEN round(avg(value) OVER w, 6) END AS mean4 FROM nb
@@ -157,13 +163,15 @@ def centered_mean(spark, sf):
 THEN round(max(value) OVER a - min(value) OVER b, 6) END AS range_value FROM nb
 WINDOW a AS (PARTITION BY subject ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY subject ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING)""")
 def rolling_range(spark, sf):
-    out = signal.rolling_range(numbered(events(spark, sf)), ["subject"], "frame", "value", 4, 8, "range_value")
+    work = lambda df, keys: signal.rolling_range(df, keys, "frame", "value", 4, 8, "range_value")
+    out = signal.chunked(numbered(events(spark, sf)), ["subject"], "frame", 4096, 8, work)
     return out.select("subject", "frame", F.round("range_value", 6).alias("range_value"))
 
 
 @query("activity", EV + """SELECT subject, frame, round(coalesce(abs(value - lag(value) OVER (PARTITION BY subject ORDER BY frame)), 0) * 0.7, 6) AS activity FROM nb""")
 def activity(spark, sf):
-    out = signal.activity(numbered(events(spark, sf)), ["subject"], "frame", "value", 700.0, "activity")
+    work = lambda df, keys: signal.activity(df, keys, "frame", "value", 700.0, "activity")
+    out = signal.chunked(numbered(events(spark, sf)), ["subject"], "frame", 4096, 1, work)
     return out.select("subject", "frame", F.round("activity", 6).alias("activity"))
 
 
@@ -180,19 +188,19 @@ bt AS (SELECT r4.subject, s AS "start", e AS "end", row_number() OVER (PARTITION
 
 
 def bout_runs(rows):
-    return intervals.bouts(rows, ["subject"], "frame", "value", 60.0, min_gap=2, min_duration=2, min_peak=80.0)
+    return intervals.bouts(rows, ["subject"], "frame", "value", 60.0, min_gap=2, min_duration=2, min_peak=80.0, rows=4096)
 
 
 @query("bouts", BOUTS + 'SELECT subject, "start", "end", bout_no FROM bt')
 def bouts(spark, sf):
-    return bout_runs(numbered(events(spark, sf)))
+    return bout_runs(staged(numbered(events(spark, sf)), "bout-rows"))
 
 
 @query("bout_means", BOUTS + """SELECT nb.subject, nb.frame, bt.bout_no, CASE WHEN bt.bout_no IS NOT NULL
 THEN round(avg(value) OVER (PARTITION BY nb.subject, bt.bout_no), 6) END AS bout_mean, coalesce(nb.frame = bt."start", false) AS bout_beg
 FROM nb LEFT JOIN bt ON nb.subject = bt.subject AND nb.frame >= bt."start" AND nb.frame < bt."end" """)
 def bout_means(spark, sf):
-    rows = numbered(events(spark, sf))
+    rows = staged(numbered(events(spark, sf)), "bout-rows")
     marked = intervals.mark_bouts(rows, bout_runs(rows), ["subject"], "frame")
     out = intervals.mean_inside(marked, ["subject"], "value", "bout_mean")
     return out.select("subject", "frame", "bout_no", F.round("bout_mean", 6).alias("bout_mean"), "bout_beg")
@@ -201,7 +209,8 @@ def bout_means(spark, sf):
 @query("trailing_mean_downsample", EV + """SELECT subject, frame, round(m, 6) AS m10 FROM (SELECT subject, frame,
 avg(value) OVER (PARTITION BY subject ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM nb) WHERE frame % 10 = 0""")
 def trailing_mean_downsample(spark, sf):
-    out = signal.trailing_mean(numbered(events(spark, sf)), ["subject"], "frame", "value", 10, "m")
+    work = lambda df, keys: signal.trailing_mean(df, keys, "frame", "value", 10, "m")
+    out = signal.chunked(numbered(events(spark, sf)), ["subject"], "frame", 4096, 10, work)
     return signal.every_kth(out, ["subject"], "frame", 10).select("subject", "frame", F.round("m", 6).alias("m10"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from onsetlab.operators import mixed, profiles
 from onsetlab.plans import events as ev
 from onsetlab.plans.events import EV
+from onsetlab.staging import median
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -187,7 +188,9 @@ def subject_summary(spark, sf):
 SELECT condition, epoch, round(median(effect), 6) AS effect, round(median(se), 6) AS se FROM e GROUP BY ALL""")
 def effect_trajectory(spark, sf):
     rows = profiles.effect_trajectory(wide_features(spark, sf), ["subject", "condition"], [("f1", "se1"), ("f2", "se2")])
-    return rows.groupBy("condition", "epoch").agg(F.round(F.median("effect"), 6).alias("effect"), F.round(F.median("se"), 6).alias("se"))
+    keys = ["condition", "epoch"]
+    out = median(rows, keys, "effect", "effect").join(median(rows, keys, "se", "se"), keys)
+    return out.select(*keys, F.round("effect", 6).alias("effect"), F.round("se", 6).alias("se"))
 
 
 @query("feature_ranks", CHANGES + "SELECT subject, feature, row_number() OVER (PARTITION BY feature ORDER BY value) AS rank FROM (SELECT subject, 'f1' AS feature, f1 AS value FROM g UNION ALL SELECT subject, 'f2', f2 FROM g)")
