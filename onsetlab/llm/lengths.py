@@ -71,6 +71,12 @@ def whole_encoder(coder) -> Callable[[str], list[int]]:
     return encode
 
 
+def byte_names() -> dict[str, int]:
+    """The byte behind each visible character of a byte-level vocabulary: printable bytes are themselves, the others follow from 256 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 def byte_level(vocabulary: dict[str, int]) -> tuple[Callable[[str], list[int]], list[bytes]]:
     """An encoder for a byte-level vocabulary written in visible characters, and the bytes of every id.
 
@@ -78,8 +84,7 @@ def byte_level(vocabulary: dict[str, int]) -> tuple[Callable[[str], list[int]],
     """
     import tiktoken
 
-    shown = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    byte_of = byte_names()
     of = [b""] * (max(vocabulary.values()) + 1)
     for entry, k in vocabulary.items():
         of[k] = bytes(map(byte_of.__getitem__, entry))

@@ -16,8 +16,11 @@ packed each; an empty table gives no rows. Only ``doc_id`` and ``text`` are read
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from struct import pack as packed
 from typing import NamedTuple
 
 import numpy as np
@@ -26,14 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from onsetlab.llm.lengths import read_vocabulary
+from onsetlab.llm.lengths import byte_names, read_vocabulary
 from onsetlab.llm.text import per_text
 from onsetlab.staging import staged, with_position
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker remembers (twice as many at most), the longest such word, and code points of a text handled at once.
+#: Words whose ids a worker remembers, the longest such word, and code points of a text handled at once.
 REMEMBERED, LONGEST, SLICE = 1 << 18, 64, 1 << 20
+#: Words that NFC leaves as they are and whose lower case and classes are those of all Unicode versions, and their parts in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class Places(NamedTuple):
@@ -49,26 +55,45 @@ class Places(NamedTuple):
 # --- encoding ---
 
 
+def plain_words(model: dict) -> Callable[[str], list[int]] | None:
+    """The ids of a word of ``PLAIN`` letters, digits and signs, by the merges of a BPE with word ends; None if its ids do not rank the merges.
+
+    A word end is written as a byte that UTF-8 does not have, which the first merge of a part joins to its last character.
+    """
+    import tiktoken
+
+    vocabulary, end = model["vocab"], b"\xff"
+    merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    if None in merged or merged != sorted(merged) or model["end_of_word_suffix"] != "</w>":
+        return None
+    byte_of, ranks = byte_names(), {end: len(vocabulary) + 1}
+    for entry, k in vocabulary.items():
+        closed = entry.endswith("</w>") and entry != "</w>"
+        body = entry[:-4] if closed else entry
+        if all(c in byte_of for c in body) and end[0] not in (raw := bytes(byte_of[c] for c in body)):
+            ranks[raw + end * closed] = k
+    encode = tiktoken.Encoding("parts", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    return lambda word: [i for part in PARTS.findall(word.lower()) for i in encode(part.encode() + end)]
+
+
 def word_encoder(data: bytes) -> Callable[[str], bytes]:
     """From a text to its ids, as little-endian 32-bit numbers, for a vocabulary whose words end at white space.
 
     Its pattern drops white space and no match crosses it, so the parts between spaces and line feeds are
-    encoded apart. The ids of short ones are remembered for a while, those met again for longer.
+    encoded apart, and the ids of short ones are remembered. Plain words go to the merges directly; all
+    others (other scripts and signs, special tokens) to the library.
     """
     from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_buffer(data).encode_batch_fast
-    memory: list[dict[str, bytes]] = [{}, {}]
+    library, plain = Tokenizer.from_buffer(data), plain_words(json.loads(data)["model"])
+    memory: dict[str, bytes] = {}
 
-    def look_up(words: set[str]) -> dict[str, bytes]:
-        recent, older = memory
-        found = {w: b for w in words if (b := recent.get(w) or older.get(w)) is not None}
-        new = [w for w in words if w not in found]
-        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encode(new, add_special_tokens=False), strict=True))
-        if len(recent) > REMEMBERED:
-            memory[:] = [{}, recent]
-        memory[0].update((w, b) for w, b in found.items() if len(w) <= LONGEST)
-        return found
+    def encoded(word: str) -> bytes:
+        if plain and PLAIN.fullmatch(word) and "<|" not in word:
+            ids = plain(word)
+        else:
+            ids = library.encode(word, add_special_tokens=False).ids
+        return packed(f"<{len(ids)}I", *ids)
 
     def ids(text: str) -> bytes:
         out, at = [], 0
@@ -76,10 +101,13 @@ def word_encoder(data: bytes) -> Callable[[str], bytes]:
             end = len(text) if len(text) - at <= SLICE else text.find(" ", at + SLICE)
             end = len(text) if end < 0 else end
             words = text[at:end].replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(memory[0].__getitem__, words)))
-            except KeyError:
-                out.append(b"".join(map(look_up(set(words)).__getitem__, words)))
+            made = {w: encoded(w) for w in {w for w in words if w not in memory}}
+            if len(memory) + len(made) > REMEMBERED:
+                made.update((w, memory[w]) for w in words if w in memory)
+                memory.clear()
+            long = any(len(w) > LONGEST for w in made)
+            memory.update((w, b) for w, b in made.items() if len(w) <= LONGEST)
+            out.append(b"".join(map((lambda w: made.get(w) or memory[w]) if long else memory.__getitem__, words)))
             at = end + 1
         return b"".join(out)
 

@@ -129,6 +129,17 @@ def pieces_by_hand(rows, capacity):
     return out
 
 
+def test_words_are_encoded_as_the_library_does(docs):
+    data = lengths.read_vocabulary(packing.VOCABULARY)
+    encode, library, rng = packing.word_encoder(data), Tokenizer.from_file(packing.VOCABULARY), random.Random(8)
+    letters = "etaoinshrdlucmfwypvbgkjqxzETAOIéüñßÀÞÿ'.,!0123456789-_&<|>  \n\t"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    texts += ["a\x1cb", "İSTANBUL ΣΑΣ ﬁ Å e\u0301 ª² ×÷", "<|endoftext|>x <|startoftext|>y <|x", "x" * 3000 + " y " + "Z" * 3000, "", " ", "ÿ\xff \xffÿ"]
+    texts += [r.text or "" for r in docs.collect()]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("capacity", [4096, 64])
 def test_packing(both, monkeypatch, capacity):
     monkeypatch.setattr(packing, "SLICE", 50)
