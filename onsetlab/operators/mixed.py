@@ -1,8 +1,12 @@
 """Mixed-effects and keyed linear models from sufficient statistics.
 
 One aggregate over the rows gives each subject's sums of products; every later step is arithmetic on
-them. The statistics table (one row per subject and model) is written once, and each EM round is one
-more aggregate over it; the driver sees only p-by-p matrices and scalars.
+them. The statistics table (one row per subject and model) is written once, and each step of a fit is one
+more aggregate over it, in arrays of many subjects; the driver sees only small matrices and scalars.
+
+Variances are found by scoring: the gradient of the (restricted) likelihood against the average curvature,
+both from the same pass. A step that loses likelihood is halved, and where that does not help an EM step
+(from the same sums) is taken instead, so the likelihood only rises.
 """
 
 from __future__ import annotations
@@ -25,15 +29,32 @@ def _sums(columns: list[Column], y: Column) -> list[Column]:
     return [F.array(*pairs).alias("aa"), F.array(*[F.sum(c * y) for c in columns]).alias("ay"), F.sum(y * y).alias("yy"), F.count(y).alias("n")]
 
 
-def _square(flat: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros((k, k))
-    out[np.triu_indices(k)] = flat
-    return out + np.triu(out, 1).T
+#: Keys that ``mixed_by_key`` fits at most: the driver holds a state for each.
+MAX_KEYS = 10_000
+#: Relative change of the variances at which a fit has converged.
+TOLERANCE = 1e-8
+
+
+def _squares(flat: np.ndarray, k: int) -> np.ndarray:
+    """Symmetric k-by-k matrices from rows of their upper triangles."""
+    out = np.zeros((len(flat), k, k))
+    rows, columns = np.triu_indices(k)
+    out[:, rows, columns] = flat
+    out[:, columns, rows] = flat
+    return out
+
+
+def _stacked(frame: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of a frame's subjects as arrays: k-by-k products, products with y, y'y, n."""
+    if not len(frame):
+        return np.zeros((0, k, k)), np.zeros((0, k)), np.zeros(0), np.zeros(0)
+    aa, ay = np.stack(frame["aa"].to_list()).astype(float), np.stack(frame["ay"].to_list()).astype(float)
+    return _squares(aa, k), ay, frame["yy"].to_numpy(float), frame["n"].to_numpy(float)
 
 
 @dataclass
 class Fit:
-    """A fitted model; ``converged`` is false where the rounds ran out."""
+    """A fitted model; ``rounds`` are its passes over the subjects, ``converged`` is false where they ran out."""
 
     beta: np.ndarray
     covariance: np.ndarray
@@ -45,7 +66,7 @@ class Fit:
 
 
 class MixedModel:
-    """y = X b + Z u + e with u ~ N(0, G) by subject, fitted by EM (REML or ML).
+    """y = X b + Z u + e with u ~ N(0, G) by subject, fitted by scoring (REML or ML).
 
     ``x`` and ``z`` are numeric columns (literals for intercepts); rows with a null are left out.
     """
@@ -59,80 +80,30 @@ class MixedModel:
         stats = rows.groupBy(*subject).agg(*_sums([F.col(n) for n in names], F.col("_y")))
         self.stats = staged(stats, "mixed-stats")
 
-    def _reduce(self, each, size: int) -> np.ndarray:
-        """Sum ``each(parts)`` (an array) over all subjects, on the executors."""
-        parts = _Parts(self.p, self.q)
-
-        def run(frames):
-            total = np.zeros(size)
-            for frame in frames:
-                for x in parts(frame):
-                    total += each(*x)
-            yield pd.DataFrame({"i": np.arange(size), "v": total})
-
-        rows = self.stats.select("aa", "ay", "yy", "n").mapInPandas(run, "i long, v double")
-        got = {r["i"]: r["v"] for r in rows.groupBy("i").agg(F.sum("v").alias("v")).collect()}  # ``size`` numbers
-        return np.array([got.get(i, 0.0) for i in range(size)])
-
-    def fit(self, reml: bool = True, rounds: int = 200, tolerance: float = 1e-9) -> Fit:
-        p, q = self.p, self.q
-        total = self._reduce(lambda xx, xz, zz, xy, zy, yy, n: np.r_[xx.ravel(), xy, yy, n, 1.0], p * p + p + 3)
-        xx, xy, (yy, n, groups) = total[: p * p].reshape(p, p), total[p * p : p * p + p], total[-3:]
-        if not groups:
-            raise ValueError("no complete rows to fit")
-        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-        sigma2 = max((yy - beta @ xy) / max(n - p, 1), 1e-12) / 2
-        G = np.eye(q) * sigma2
-        for k in range(1, rounds + 1):
-            Gi = np.linalg.inv(G)
-
-            def first(xx, xz, zz, xy, zy, yy, n, Gi=Gi, s=sigma2):
-                M = np.linalg.inv(Gi + zz / s)
-                return np.r_[(xx / s - xz @ M @ xz.T / s**2).ravel(), xy / s - xz @ M @ zy / s**2]
-
-            got = self._reduce(first, p * p + p)
-            A = got[: p * p].reshape(p, p)
-            beta = np.linalg.solve(A, got[p * p :])
-            Ai = np.linalg.inv(A)
-
-            def second(xx, xz, zz, xy, zy, yy, n, Gi=Gi, s=sigma2, b=beta, Ai=Ai):
-                M = np.linalg.inv(Gi + zz / s)
-                u = M @ (zy - xz.T @ b) / s
-                D = M @ xz.T / s
-                V = M + D @ Ai @ D.T if reml else M
-                rest = yy - 2 * b @ xy - 2 * u @ zy + b @ xx @ b + 2 * b @ xz @ u + u @ zz @ u + np.trace(zz @ V)
-                if reml:
-                    rest += np.trace(xx @ Ai) - 2 * np.trace(xz.T @ Ai @ D.T)
-                return np.r_[(np.outer(u, u) + V).ravel(), rest]
-
-            got = self._reduce(second, q * q + 1)
-            new_G, new_s = got[: q * q].reshape(q, q) / groups, got[-1] / n
-            change = max(np.abs(new_G - G).max() / max(np.abs(G).max(), 1e-12), abs(new_s - sigma2) / sigma2)
-            G, sigma2 = (new_G + new_G.T) / 2 + np.eye(q) * 1e-12, max(new_s, 1e-12)
-            if change < tolerance:
-                return Fit(beta, Ai, G, sigma2, k, True, int(n))
-        return Fit(beta, Ai, G, sigma2, rounds, False, int(n))
+    def fit(self, reml: bool = True, rounds: int = 100, tolerance: float = TOLERANCE) -> Fit:
+        fits = _fit(self.stats, None, self.p, self.q, reml, rounds, tolerance)
+        if None not in fits:
+            raise ValueError("no complete rows to fit, or terms that depend on each other")
+        return fits[None]
 
     def blups(self, fit: Fit, effect: int = 0) -> DataFrame:
         """subject, fixed, random, blup, se and 95 % bounds of one effect (same place in x and z).
 
         se combines the fixed effect's variance with the conditional variance of the random one.
         """
-        Gi, s, b, parts = np.linalg.inv(fit.G), fit.sigma2, fit.beta, _Parts(self.p, self.q)
-        fixed_var = fit.covariance[effect, effect]
-        subject = self.subject
+        p, k, subject = self.p, self.p + self.q, self.subject
+        fixed, fixed_var = float(fit.beta[effect]), fit.covariance[effect, effect]
 
         def run(frames):
             for frame in frames:
-                u, v = [], []
-                for _, xz, zz, _, zy, _, _ in parts(frame):
-                    M = np.linalg.inv(Gi + zz / s)
-                    u.append(float((M @ (zy - xz.T @ b) / s)[effect]))
-                    v.append(float(M[effect, effect]))
-                se = np.sqrt(fixed_var + np.array(v))
+                products, with_y, _, _ = _stacked(frame, k)
+                zz, zx = products[:, p:, p:], products[:, p:, :p]
+                S = _conditional(zz, fit.G, fit.sigma2)
+                u = np.einsum("mab,mb->ma", S, with_y[:, p:] - zx @ fit.beta)[:, effect] / fit.sigma2
+                se = np.sqrt(fixed_var + np.maximum(S[:, effect, effect], 0.0))
                 out = frame[subject].copy()
-                out["fixed"], out["random"] = float(b[effect]), u
-                out["blup"], out["se"] = out["fixed"] + out["random"], se
+                out["fixed"], out["random"] = fixed, u
+                out["blup"], out["se"] = fixed + u, se
                 out["ci_lower"], out["ci_upper"] = out["blup"] - 1.96 * se, out["blup"] + 1.96 * se
                 yield out
 
@@ -142,17 +113,150 @@ class MixedModel:
         return self.stats.mapInPandas(run, f"{schema}, {numbers}")
 
 
-class _Parts:
-    """Splits rows of the statistics table into the blocks of X'X, X'Z, Z'Z, X'y, Z'y, y'y, n."""
+# --- one pass and one step of a fit ---
+
+
+def _conditional(zz: np.ndarray, G: np.ndarray, s: float) -> np.ndarray:
+    """The conditional variances of the random effects, also for a singular G."""
+    return G @ np.linalg.inv(np.eye(len(G)) + zz @ G / s)
+
 
-    def __init__(self, p: int, q: int) -> None:
-        self.p, self.k = p, p + q
+def _lengths(p: int, q: int) -> list[int]:
+    """Sizes of what a pass sums up, in the order of ``_contributions``."""
+    return [(q * (p + 1)) ** 2, q * q, q**4, (p + 1) ** 2, (p + 1) ** 2, q * q, 1, 1, 1, 1, 1]
 
-    def __call__(self, frame: pd.DataFrame):
-        p, k = self.p, self.k
-        for aa, ay, yy, n in zip(frame["aa"], frame["ay"], frame["yy"], frame["n"], strict=True):
-            a, b = _square(np.asarray(aa, float), k), np.asarray(ay, float)
-            yield a[:p, :p], a[:p, p:], a[p:, p:], b[:p], b[p:], float(yy), int(n)
+
+def _contributions(products: np.ndarray, with_y: np.ndarray, yy: np.ndarray, n: np.ndarray, p: int, G: np.ndarray, s: float) -> np.ndarray:
+    """Over all given subjects: the sums that the likelihood at (G, s), its gradient and its average curvature are made of.
+
+    With D = (X, y) and W the inverse variance of a subject: products of Z'WD, Z'WZ, its Kronecker square,
+    D'WD, D'WWD, Z'WWZ, tr W, tr WW, log|V|, n, subjects.
+    """
+    zz = products[:, p:, p:]
+    zd = np.concatenate([products[:, p:, :p], with_y[:, p:, None]], axis=2)
+    dd = np.concatenate([
+        np.concatenate([products[:, :p, :p], with_y[:, :p, None]], axis=2),
+        np.concatenate([with_y[:, None, :p], yy[:, None, None]], axis=2),
+    ], axis=1)
+    S = _conditional(zz, G, s)
+    S = (S + S.transpose(0, 2, 1)) / 2
+    dz = zd.transpose(0, 2, 1)
+    zwd, zwz = (zd - zz @ S @ zd / s) / s, (zz - zz @ S @ zz / s) / s
+    dwd = (dd - dz @ S @ zd / s) / s
+    dwwd = (dd - 2 * dz @ S @ zd / s + dz @ S @ zz @ S @ zd / s**2) / s**2
+    zwwz = (zz - 2 * zz @ S @ zz / s + zz @ S @ zz @ S @ zz / s**2) / s**2
+    sz = S @ zz
+    tr = lambda a: np.einsum("maa->", a)
+    logdet = (n * np.log(s)).sum() + np.linalg.slogdet(np.eye(len(G)) + zz @ G / s)[1].sum()
+    c = zwd.reshape(len(n), -1)
+    return np.concatenate([x.ravel() for x in (
+        c.T @ c, zwz.sum(0), np.einsum("mab,mcd->acbd", zwz, zwz), dwd.sum(0), dwwd.sum(0), zwwz.sum(0),
+        np.array([(n.sum() - tr(sz) / s) / s, (n.sum() - 2 * tr(sz) / s + tr(sz @ sz) / s**2) / s**2, logdet, n.sum(), float(len(n))]),
+    )])
+
+
+class _State:
+    """Where a fit stands: the variances, and what the last pass said about them."""
+
+    def __init__(self, p: int, q: int, G: np.ndarray, s: float, reml: bool) -> None:
+        self.p, self.q, self.G, self.s, self.reml = p, q, G, s, reml
+        self.best, self.halved, self.done, self.passes = None, 0, False, 0
+
+    def take(self, sums: np.ndarray, tolerance: float) -> None:
+        """Judge the pass at the present variances, and go on to the next ones or be done."""
+        self.passes += 1
+        p, q = self.p, self.q
+        T, B, K, M, MM, Z2, tr_w, tr_ww, logdet, n, groups = np.split(sums, np.cumsum(_lengths(p, q))[:-1])
+        M, MM, T = M.reshape(p + 1, p + 1), MM.reshape(p + 1, p + 1), T.reshape(q, p + 1, q, p + 1)
+        Ai = np.linalg.inv(M[:p, :p])
+        beta = Ai @ M[:p, p]
+        w = np.r_[-beta, 1.0]
+        level = -0.5 * (logdet[0] + w @ M @ w + (np.linalg.slogdet(M[:p, :p])[1] if self.reml else 0.0))
+        if self.best and level < self.best["level"] - 1e-10 * (1 + abs(level)):  # lost likelihood: go back half the way, or an EM step
+            self.halved += 1
+            if self.halved <= 3:
+                self.G, self.s = (self.G + self.best["G"]) / 2, (self.s + self.best["s"]) / 2
+            elif self.halved == 4:
+                self.G, self.s = self.best["em"]
+            else:  # not even that gains: at the top, up to rounding
+                self.G, self.s, self.done = self.best["G"], self.best["s"], True
+            return
+        moved = np.inf if not self.best else max(
+            np.abs(self.G - self.best["G"]).max() / max(np.abs(self.best["G"]).max(), 1e-3 * self.s), abs(self.s - self.best["s"]) / self.s
+        )
+        R = np.einsum("aibj,i,j->ab", T, w, w)
+        Q, lost = B.reshape(q, q).copy(), tr_w[0]
+        if self.reml:
+            Q -= np.einsum("aibj,ij->ab", T[:, :p, :, :p], Ai)
+            lost -= (Ai * MM[:p, :p]).sum()
+        gradient = (R - Q) / 2
+        slope = (w @ MM @ w - lost) / 2
+        em = (self.G + self.G @ (R - Q) @ self.G / groups[0], max(self.s + self.s**2 * 2 * slope / n[0], self.s / 10))
+        self.best = {"G": self.G, "s": self.s, "level": level, "em": em, "beta": beta, "Ai": Ai, "n": int(n[0])}
+        self.halved = 0
+        if moved < tolerance:
+            self.done = True
+            return
+        # Average curvature in the lower triangle of G and s, and the step against it.
+        cells = [(a, b) for a in range(q) for b in range(a + 1)]
+        E = [np.array([[float((i, j) in ((a, b), (b, a))) for j in range(q)] for i in range(q)]) for a, b in cells]
+        flat, K = [e.ravel() for e in E], K.reshape(q * q, q * q)
+        curve = np.zeros((len(E) + 1, len(E) + 1))
+        for i, e in enumerate(flat):
+            curve[i, :-1] = [e @ K @ f / 2 for f in flat]
+            curve[i, -1] = curve[-1, i] = (E[i] * Z2.reshape(q, q)).sum() / 2
+        curve[-1, -1] = tr_ww[0] / 2
+        step = np.linalg.lstsq(curve, np.r_[[(gradient * e).sum() for e in E], slope], rcond=None)[0]
+        G = self.G + sum(x * e for x, e in zip(step, E, strict=False))
+        values, vectors = np.linalg.eigh((G + G.T) / 2)
+        self.G, self.s = (vectors * np.maximum(values, 0.0)) @ vectors.T, max(self.s + step[-1], self.s / 10)
+
+
+def _pass(stats: DataFrame, key: str | None, p: int, q: int, at: dict) -> dict:
+    """For each key its sums at the variances ``at`` (key to (G, s)), made on the executors."""
+    size = sum(_lengths(p, q))
+
+    def run(frames):
+        total: dict = {}
+        for frame in frames:
+            groups = [(None, frame)] if key is None else frame.groupby(key, sort=False)
+            for k, rows in groups:
+                if k in at and len(rows):
+                    total[k] = total.get(k, 0.0) + _contributions(*_stacked(rows, p + q), p, *at[k])
+        rows = [(str(i), j, float(v)) for i, k in enumerate(at) if k in total for j, v in enumerate(total[k])]
+        yield pd.DataFrame(rows, columns=["k", "j", "v"]).astype({"j": "int64", "v": "float64"})
+
+    columns = ([] if key is None else [key]) + ["aa", "ay", "yy", "n"]
+    got = stats.select(*columns).mapInPandas(run, "k string, j long, v double").groupBy("k", "j").agg(F.sum("v").alias("v"))
+    names, out = list(at), {}
+    for r in got.collect():  # ``size`` numbers a key, and keys are bounded
+        out.setdefault(names[int(r["k"])], np.zeros(size))[r["j"]] = r["v"]
+    return out
+
+
+def _fit(stats: DataFrame, key: str | None, p: int, q: int, reml: bool, rounds: int, tolerance: float) -> dict:
+    """A fit for each value of ``key`` (or under None), all in the same passes. Keys with dependent terms are left out."""
+    keys = [None] if key is None else [r[0] for r in stats.select(key).distinct().limit(MAX_KEYS + 1).collect()]
+    if len(keys) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} values of {key}")
+    states = {}
+    nothing = np.zeros((q, q))
+    for k, sums in _pass(stats, key, p, q, {k: (nothing, 1.0) for k in keys}).items():
+        _, _, _, dd, _, _, _, _, _, n, groups = np.split(sums, np.cumsum(_lengths(p, q))[:-1])
+        dd, n = dd.reshape(p + 1, p + 1), n[0]
+        if groups[0] and n > p and np.linalg.matrix_rank(dd[:p, :p]) == p:
+            beta = np.linalg.solve(dd[:p, :p], dd[:p, p])
+            s = max((dd[p, p] - beta @ dd[:p, p]) / (n - p), 1e-12) / 2
+            states[k] = _State(p, q, np.eye(q) * s, s, reml)
+    for _ in range(rounds):
+        open_ = {k: t for k, t in states.items() if not t.done}
+        if not open_:
+            break
+        for k, sums in _pass(stats, key, p, q, {k: (t.G, t.s) for k, t in open_.items()}).items():
+            open_[k].take(sums, tolerance)
+    return {
+        k: Fit(t.best["beta"], t.best["Ai"], t.best["G"], t.best["s"], t.passes, t.done, t.best["n"]) for k, t in states.items() if t.best
+    }
 
 
 def keyed_ols(df: DataFrame, keys: list[str], y: Column, x: list[Column], names: list[str]) -> DataFrame:
@@ -169,8 +273,7 @@ def keyed_ols(df: DataFrame, keys: list[str], y: Column, x: list[Column], names:
     def solve(frames):
         for frame in frames:
             est, ses = [], []
-            for aa, ay, yy, n in zip(frame["aa"], frame["ay"], frame["yy"], frame["n"], strict=True):
-                a, b = _square(np.asarray(aa, float), k), np.asarray(ay, float)
+            for a, b, yy, n in zip(*_stacked(frame, k), strict=True):
                 if n < k or np.linalg.matrix_rank(a) < k:
                     est.append([None] * k)
                     ses.append([None] * k)
@@ -192,7 +295,7 @@ def keyed_ols(df: DataFrame, keys: list[str], y: Column, x: list[Column], names:
 
 
 def change_feature(
-    df: DataFrame, subject: list[str], y: str, epoch: str, control: str, covariates: list[str] | None = None, rounds: int = 200
+    df: DataFrame, subject: list[str], y: str, epoch: str, control: str, covariates: list[str] | None = None, rounds: int = 100
 ) -> tuple[DataFrame, Fit]:
     """Control-anchored change between two epochs (0 and 1) by subject.
 
@@ -241,75 +344,21 @@ def ancova(df: DataFrame, subject: list[str], y: str, covariate: str, condition:
 
 def mixed_by_key(
     df: DataFrame, key: str, subject: list[str], y: Column, x: list[Column], z: list[Column], names: list[str], rounds: int = 100,
-    tolerance: float = 1e-8,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """One REML fit for each value of ``key`` (blocks or trials, so few), all in the same passes.
 
-    Returns key, term, estimate, se, z, p, n, converged. Each round is one aggregate over the table of
-    sums by (key, subject); the driver holds p-by-p matrices by key. Keys with dependent terms are left out.
+    Returns key, term, estimate, se, z, p, n, converged. Each step is one aggregate over the table of sums by
+    (key, subject) for all keys that are not done. Keys with dependent terms are left out; more than
+    ``MAX_KEYS`` keys are an error.
     """
-    spark, p, q = df.sparkSession, len(x), len(z)
+    spark = df.sparkSession
     model = MixedModel(df.filter(F.col(key).isNotNull()), [key, *subject], y, x, z)
-    parts = _Parts(p, q)
-
-    def reduce(each, size: int, state: dict) -> dict:
-        def run(frames):
-            total: dict = {}
-            for frame in frames:
-                for k, v in zip(frame[key], parts(frame), strict=True):
-                    if not state or k in state:
-                        total[k] = total.get(k, 0.0) + each(state.get(k), *v)
-            rows = [(k, i, float(v)) for k, a in total.items() for i, v in enumerate(a)]
-            yield pd.DataFrame(rows, columns=[key, "i", "v"]).astype({"i": "int64", "v": "float64"})
-
-        kind = model.stats.schema[key].dataType.simpleString()
-        got = model.stats.select(key, "aa", "ay", "yy", "n").mapInPandas(run, f"`{key}` {kind}, i long, v double")
-        out: dict = {}
-        for r in got.groupBy(key, "i").agg(F.sum("v").alias("v")).collect():  # ``size`` numbers a key
-            out.setdefault(r[key], np.zeros(size))[r["i"]] = r["v"]
-        return out
-
-    begin = reduce(lambda _, xx, xz, zz, xy, zy, yy, n: np.r_[xx.ravel(), xy, yy, n, 1.0], p * p + p + 3, {})
-    state, done = {}, {}
-    for k, t in begin.items():
-        xx, xy, (yy, n, groups) = t[: p * p].reshape(p, p), t[p * p : p * p + p], t[-3:]
-        if n > p and np.linalg.matrix_rank(xx) == p:
-            s = max((yy - np.linalg.solve(xx, xy) @ xy) / (n - p), 1e-12) / 2
-            state[k] = {"G": np.eye(q) * s, "s": s, "n": n, "groups": groups}
-    for _ in range(rounds):
-        if not state:
-            break
-
-        def first(t, xx, xz, zz, xy, zy, yy, n):
-            M = np.linalg.inv(np.linalg.inv(t["G"]) + zz / t["s"])
-            return np.r_[(xx / t["s"] - xz @ M @ xz.T / t["s"] ** 2).ravel(), xy / t["s"] - xz @ M @ zy / t["s"] ** 2]
-
-        for k, a in reduce(first, p * p + p, state).items():
-            state[k]["Ai"] = np.linalg.inv(a[: p * p].reshape(p, p))
-            state[k]["b"] = state[k]["Ai"] @ a[p * p :]
-
-        def second(t, xx, xz, zz, xy, zy, yy, n):
-            s, b, Ai = t["s"], t["b"], t["Ai"]
-            M = np.linalg.inv(np.linalg.inv(t["G"]) + zz / s)
-            u, D = M @ (zy - xz.T @ b) / s, M @ xz.T / s
-            V = M + D @ Ai @ D.T
-            rest = yy - 2 * b @ xy - 2 * u @ zy + b @ xx @ b + 2 * b @ xz @ u + u @ zz @ u
-            rest += np.trace(zz @ V) + np.trace(xx @ Ai) - 2 * np.trace(xz.T @ Ai @ D.T)
-            return np.r_[(np.outer(u, u) + V).ravel(), rest]
-
-        for k, a in reduce(second, q * q + 1, state).items():
-            t = state[k]
-            G, s = a[: q * q].reshape(q, q) / t["groups"], max(a[-1] / t["n"], 1e-12)
-            change = max(np.abs(G - t["G"]).max() / max(np.abs(t["G"]).max(), 1e-12), abs(s - t["s"]) / t["s"])
-            t |= {"G": (G + G.T) / 2 + np.eye(q) * 1e-12, "s": s}
-            if change < tolerance:
-                done[k] = t | {"converged": True}
-        state = {k: t for k, t in state.items() if k not in done}
-    done |= {k: t | {"converged": False} for k, t in state.items()}
     kind = model.stats.schema[key].dataType.simpleString()
     rows = [
-        (k, n, float(b), float(s), int(t["n"]), t["converged"])
-        for k, t in done.items() for n, b, s in zip(names, t["b"], np.sqrt(np.diag(t["Ai"])), strict=True)
+        (k, n, float(b), float(s), t.n, t.converged)
+        for k, t in _fit(model.stats, key, len(x), len(z), True, rounds, tolerance).items()
+        for n, b, s in zip(names, t.beta, np.sqrt(np.diag(t.covariance)), strict=True)
     ]
     out = spark.createDataFrame(rows, f"`{key}` {kind}, term string, estimate double, se double, n long, converged boolean")
     return out.withColumn("z", F.try_divide("estimate", "se")).withColumn("p", two_sided_p("z"))

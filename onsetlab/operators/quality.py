@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from onsetlab.staging import with_same
 
-def rule_table(metrics: DataFrame, subject: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
-    """subject, reason: the first rule (name, fails) that fails, null if none does. A null test fails."""
-    failing = [F.when(F.coalesce(fails, F.lit(True)), F.lit(name)) for name, fails in rules]
+
+def rule_table(metrics: DataFrame, subject: list[str], rules: list[tuple[str | Column, Column]]) -> DataFrame:
+    """subject, reason: the first rule (reason, fails) that fails, null if none does. A null test fails."""
+    failing = [F.when(F.coalesce(fails, F.lit(True)), F.lit(name) if isinstance(name, str) else name) for name, fails in rules]
     return metrics.select(*subject, F.coalesce(*failing).alias("reason"))
 
 
@@ -20,40 +22,64 @@ def trial_activity(samples: DataFrame, keys: list[str], t: str, active: str, win
     )
 
 
-def us_metrics(samples: DataFrame, subject: list[str], trial_no: str, t: str, active: str, end_mark: str, block: str, window: tuple[float, float]) -> DataFrame:
-    """Per subject, for the rules on unconditioned stimuli: trials, the last one's end and response, silent trials by block.
+def us_metrics(
+    samples: DataFrame, subject: list[str], trial_no: str, t: str, active: str, end_mark: str, block: str, window: tuple[float, float],
+    parts: dict[str, str], subjects: DataFrame | None = None,
+) -> DataFrame:
+    """Per subject, for the rules on unconditioned stimuli: trials, the last one's end and response, silent trials.
 
     Columns: us_trials, last_end (time of the last trial's first end mark), last_active (any activity in
-    ``window`` of it), and a map ``silent`` from each block with rows in the window to its sorted silent trials.
+    ``window`` of it), and for each of ``parts`` (name to a part of block names) seen_<name>, whether a trial of
+    a block whose name contains the part has rows in the window, and silent_<name>, the sorted trials of them
+    that are silent there. Subjects of ``subjects`` without trials get a row of nulls.
     """
     inside = F.col(t).between(*map(F.lit, window))
     per = samples.groupBy(*subject, trial_no).agg(
         F.min(F.when(F.col(end_mark), F.col(t))).alias("_end"), F.count_if(inside).alias("_rows"),
         F.coalesce(F.bool_or(inside & F.col(active)), F.lit(False)).alias("_active"), F.min(block).alias("_block"),
     )
-    last = F.max_by(F.struct("_end", "_active"), trial_no)
-    whole = per.groupBy(*subject).agg(F.count("*").alias("us_trials"), last.alias("_last"))
-    silent = F.array_sort(F.collect_list(F.when(~F.col("_active"), F.col(trial_no))))
-    blocks = per.filter("_rows > 0 and _block is not null").groupBy(*subject, "_block").agg(silent.alias("_silent"))
-    blocks = blocks.groupBy(*subject).agg(F.map_from_entries(F.collect_list(F.struct("_block", "_silent"))).alias("silent"))
-    out = whole.join(blocks, subject, "left")
-    return out.select(*subject, "us_trials", F.col("_last._end").alias("last_end"), F.col("_last._active").alias("last_active"), "silent")
-
-
-def us_rules(train: str, retrain: str, least_end: float) -> list[tuple[str, Column]]:
-    """The rules on ``us_metrics``, in order: viability, the training block, the retraining block if there is one."""
-    silent = lambda b: F.coalesce(F.size(F.try_element_at("silent", F.lit(b))) > 0, F.lit(False))
+    aggregates = [F.count("*").alias("us_trials"), F.max_by(F.struct("_end", "_active"), trial_no).alias("_last")]
+    for name, part in parts.items():
+        own = F.coalesce((F.col("_rows") > 0) & F.contains("_block", F.lit(part)), F.lit(False))
+        aggregates.append(F.bool_or(own).alias(f"seen_{name}"))
+        aggregates.append(F.array_sort(F.collect_list(F.when(own & ~F.col("_active"), F.col(trial_no)))).alias(f"silent_{name}"))
+    out = per.groupBy(*subject).agg(*aggregates)
+    if subjects is not None:
+        out = with_same(subjects.select(*subject).distinct(), out, subject, "left")
+    seen = [c for name in parts for c in (f"seen_{name}", f"silent_{name}")]
+    return out.select(*subject, "us_trials", F.col("_last._end").alias("last_end"), F.col("_last._active").alias("last_active"), *seen)
+
+
+def us_rules(train: str, retrain: str, least_end: float, said: str | None = None) -> list[tuple[str | Column, Column]]:
+    """The rules on ``us_metrics`` (with the parts "train" and "retrain"), in order: viability, the training blocks,
+    the retraining blocks if there are any. ``said`` is the latter's name in the reason."""
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
+    # The texts of the reasons.
+    silent = lambda name, shown: (F.concat(F.lit(f"no bouts in {shown} for trial(s): "), listed(f"silent_{name}")), F.size(f"silent_{name}") > 0)
     return [
         ("no US trials found", F.coalesce(F.col("us_trials"), F.lit(0)) == 0),
         ("missing US end in last trial", F.col("last_end").isNull()),
         ("US end too short in last trial", F.col("last_end") < least_end),
         ("failed viability test", ~F.col("last_active")),
-        (f"no {train} block found", F.coalesce(F.array_size(F.try_element_at("silent", F.lit(train))), F.lit(-1)) < 0),
-        (f"no bouts in {train}", silent(train)),
-        (f"no bouts in {retrain}", silent(retrain)),
+        (f"no {train} block found", ~F.col("seen_train")),
+        silent("train", train),
+        silent("retrain", said or retrain),
     ]
 
 
+def block_activity(trials: DataFrame, subject: list[str], block: str, chosen: list[str], names: list[str]) -> DataFrame:
+    """Per subject: trials of each chosen block that are active in each named window, as <name>_<place of the block>; an absent block counts 0."""
+    return trials.groupBy(*subject).agg(
+        *[F.count_if((F.col(block) == b) & F.col(f"active_{n}")).alias(f"{n}_{k}") for n in names for k, b in enumerate(chosen)]
+    )
+
+
+def block_rules(chosen: list[str], name: str, minimum: int, period: str) -> list[tuple[str, Column]]:
+    """The rules on ``block_activity``: in each chosen block, in order, at least ``minimum`` active trials."""
+    # The texts of the reasons.
+    return [(f"less than {minimum} trials with bouts in {period} period in {b}", F.col(f"{name}_{k}") < minimum) for k, b in enumerate(chosen)]
+
+
 def covers_protocol(samples: DataFrame, protocol: DataFrame, by: list[str], t: str, onset: str) -> DataFrame:
     """by, covered: whether the samples reach the last onset of the protocol; a key without samples does not."""
     ends = samples.groupBy(*by).agg(F.max(t).alias("_reach"))

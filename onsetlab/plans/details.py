@@ -11,6 +11,7 @@ from onsetlab.plans import events as ev
 from onsetlab.plans.events import EV
 from onsetlab.plans.models import VOTES, vote_table, wide_features
 from onsetlab.sources import tables
+from onsetlab.staging import with_same
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -156,37 +157,69 @@ def least_p_term(spark, sf):
 @query("block_models")
 def block_models(spark, sf):
     """Per block: condition and centred slope of the log response with a random intercept, Holm over blocks."""
-    rows = ev.trial_features(spark, sf).filter("block <= 4")
-    rows = rows.withColumn("c", F.col("trial_no") - F.avg("trial_no").over(Window.partitionBy("block")))
+    rows = ev.trial_features(spark, sf)
+    rows = with_same(rows, rows.groupBy("block").agg(F.avg("trial_no").alias("centre")), ["block"]).withColumn("c", F.col("trial_no") - F.col("centre"))
     x = [F.lit(1.0), F.log1p("mean_baseline"), F.col("condition"), F.col("c"), F.col("c") * F.col("condition")]
     names = ["intercept", "baseline", "condition", "slope", "slope:condition"]
-    out = mixed.mixed_by_key(rows, "block", ["subject"], F.log1p("mean_response"), x, [F.lit(1.0)], names, rounds=25)
+    out = mixed.mixed_by_key(rows, "block", ["subject"], F.log1p("mean_response"), x, [F.lit(1.0)], names)
     return grouptests.adjusted(out, ["term"], "p", ["block"], "holm")
 
 
 @query("ancova")
 def ancova(spark, sf):
-    rows = ev.trial_features(spark, sf).filter("block <= 3").withColumns({"y": F.log1p("mean_response"), "base": F.log1p("mean_baseline")})
-    return mixed.ancova(rows, ["subject"], "y", "base", "condition", [0, 1], "block", [1, 2, 3], rounds=25)
+    """Blocks 1 to 3 and one of all later trials."""
+    rows = ev.trial_features(spark, sf).withColumns({"y": F.log1p("mean_response"), "base": F.log1p("mean_baseline"), "block": F.least("block", F.lit(4))})
+    return mixed.ancova(rows, ["subject"], "y", "base", "condition", [0, 1], "block", [1, 2, 3, 4])
 
 
 BASE = ["Pre", "Train", "Re-Train"]
 NAMES = trials.block_names(6, BASE)
 
 
-@query("discard_rules", EV + """, p AS (SELECT subject, trial_no, min(rel) FILTER (event_type = 'error' AND rel > 0) AS e, count_if(rel BETWEEN 0 AND 43200000000) AS n,
-count_if(rel BETWEEN 0 AND 43200000000 AND value >= 60) AS a, ['Pre', 'Train', 'Re-Train'][least(3, CAST(ceil(trial_no / 5.0) AS INTEGER))] AS b FROM trial GROUP BY ALL),
-m AS (SELECT subject, arg_max(coalesce(e, -1), trial_no) AS e, arg_max(a, trial_no) AS a, count_if(b = 'Train' AND n > 0) AS t, count_if(b = 'Train' AND n > 0 AND a = 0) AS ts,
-count_if(b = 'Re-Train' AND n > 0 AND a = 0) AS rs FROM p GROUP BY subject)
-SELECT subject, CASE WHEN e = -1 THEN 'missing US end in last trial' WHEN e < 3600000000 THEN 'US end too short in last trial' WHEN a = 0 THEN 'failed viability test'
-WHEN t = 0 THEN 'no Train block found' WHEN ts > 0 THEN 'no bouts in Train' WHEN rs > 0 THEN 'no bouts in Re-Train' END AS reason FROM m""")
+US_RULES = EV + """, p AS (SELECT subject, trial_no, min(rel) FILTER (event_type = 'error' AND rel > 0) AS e, count_if(rel BETWEEN 0 AND 43200000000) AS n,
+count_if(rel BETWEEN 0 AND 43200000000 AND value >= 60) AS a,
+['Early Pre', 'Late Pre', 'Early Train', 'Late Train', 'Early Re-Train', 'Late Re-Train'][CAST(ceil(trial_no / 5.0) AS INTEGER)] AS b FROM trial GROUP BY ALL),
+l AS (SELECT subject, arg_max(coalesce(e, -1), trial_no) AS e, arg_max(a, trial_no) AS a FROM p GROUP BY subject),
+t AS (SELECT subject, string_agg(trial_no::VARCHAR, ', ' ORDER BY trial_no) FILTER (a = 0) AS silent FROM p WHERE b LIKE '%Train%' AND n > 0 GROUP BY subject),
+r AS (SELECT subject, string_agg(trial_no::VARCHAR, ', ' ORDER BY trial_no) FILTER (a = 0) AS silent FROM p WHERE b LIKE '%Re-Train%' AND n > 0 GROUP BY subject)
+SELECT s.subject, CASE WHEN l.subject IS NULL THEN 'no US trials found' WHEN e = -1 THEN 'missing US end in last trial' WHEN e < 3600000000 THEN 'US end too short in last trial'
+WHEN a = 0 THEN 'failed viability test' WHEN t.subject IS NULL THEN 'no Train block found' WHEN t.silent IS NOT NULL THEN 'no bouts in Train for trial(s): [' || t.silent || ']'
+WHEN r.silent IS NOT NULL THEN 'no bouts in Retrain for trial(s): [' || r.silent || ']' END AS reason
+FROM (SELECT DISTINCT subject FROM ev) s LEFT JOIN l USING (subject) LEFT JOIN t USING (subject) LEFT JOIN r USING (subject)"""
+
+
+def block_name():
+    """The name of a trial's block, null beyond the last one."""
+    return F.get(F.array(*map(F.lit, NAMES)), trials.block_of("trial_no", 5) - 1)
+
+
+@query("discard_rules", US_RULES)
 def discard_rules(spark, sf):
     rows = ev.trial_rows(spark, sf).withColumns({
-        "active": F.col("value") >= 60, "ended": (F.col("event_type") == "error") & (F.col("rel") > 0),
-        "name": F.element_at(F.array(*map(F.lit, BASE)), F.least(F.lit(3), trials.block_of("trial_no", 5))),
+        "active": F.col("value") >= 60, "ended": (F.col("event_type") == "error") & (F.col("rel") > 0), "name": block_name(),
     })
-    metrics = quality.us_metrics(rows, ["subject"], "trial_no", "rel", "active", "ended", "name", (0, ev.DAY // 2))
-    return quality.rule_table(metrics, ["subject"], quality.us_rules("Train", "Re-Train", ev.HOUR))
+    metrics = quality.us_metrics(
+        rows, ["subject"], "trial_no", "rel", "active", "ended", "name", (0, ev.DAY // 2), {"train": "Train", "retrain": "Re-Train"}, ev.events(spark, sf)
+    )
+    return quality.rule_table(metrics, ["subject"], quality.us_rules("Train", "Re-Train", ev.HOUR, "Retrain"))
+
+
+@query("discard_blocks", EV + """, p AS (SELECT subject, CAST(ceil(trial_no / 5.0) AS INTEGER) AS k, coalesce(bool_or(rel BETWEEN -86400000000 AND 0 AND value >= 90), false) AS pre,
+ coalesce(bool_or(rel BETWEEN 0 AND 43200000000 AND value >= 80), false) AS cr FROM trial GROUP BY subject, trial_no),
+c AS (SELECT s.subject, b.k, ['Early Pre', 'Late Pre', 'Early Train', 'Late Train'][b.k] AS name, count_if(pre) AS pre, count_if(cr) AS cr
+ FROM (SELECT DISTINCT subject FROM p) s CROSS JOIN range(1, 5) b(k) LEFT JOIN p ON p.subject = s.subject AND p.k = b.k GROUP BY ALL),
+f AS (SELECT subject, k AS place, 'less than 3 trials with bouts in pre-CS period in ' || name AS reason FROM c WHERE pre < 3
+ UNION ALL SELECT subject, k + 10, 'less than 3 trials with bouts in CR period in ' || name FROM c WHERE cr < 3)
+SELECT s.subject, (SELECT arg_min(reason, place) FROM f WHERE f.subject = s.subject) AS reason FROM (SELECT DISTINCT subject FROM p) s""")
+def discard_blocks(spark, sf):
+    rows = ev.trial_rows(spark, sf).withColumns({"quiet": F.col("value") >= 90, "answer": F.col("value") >= 80})
+    keys = ["subject", "trial_no"]
+    per = quality.trial_activity(rows, keys, "rel", "quiet", {"pre": (-ev.DAY, 0)})
+    per = per.join(quality.trial_activity(rows, keys, "rel", "answer", {"cr": (0, ev.DAY // 2)}), keys).withColumn("name", block_name())
+    chosen = trials.chosen_blocks(["Pre", "Train"], NAMES, BASE)
+    counts = quality.block_activity(per, ["subject"], "name", chosen, ["pre", "cr"])
+    rules = quality.block_rules(chosen, "pre", 3, "pre-CS") + quality.block_rules(chosen, "cr", 3, "CR")
+    return quality.rule_table(counts, ["subject"], rules)
 
 
 @query("covers_protocol", "WITH s AS (SELECT user_id AS subject, max(ts) AS r FROM events WHERE event_type <> 'purchase' GROUP BY ALL), p AS (SELECT user_id AS subject, max(ts) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT subject, coalesce(r >= n, false) AS covered FROM p LEFT JOIN s USING (subject)")

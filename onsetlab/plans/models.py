@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onsetlab.operators import mixed, profiles
@@ -58,25 +58,32 @@ def ols_by_trial(spark, sf):
     return out.filter("n >= 20").select("trial_no", "n", "term", F.round("estimate", 5).alias("estimate"))
 
 
-BALANCED = EV + """, k AS (SELECT subject, value + 20 * (subject % 7) AS y FROM nb WHERE frame < 40 AND subject IN (SELECT subject FROM nb GROUP BY subject HAVING count(*) >= 40)),
-g AS (SELECT subject, avg(y) AS m, var_samp(y) AS v FROM k GROUP BY subject),
-a AS (SELECT avg(m) AS mu, avg(v) AS msw, 40 * var_samp(m) AS msb FROM g),
-l AS (SELECT *, (msb - msw) / 40 AS vu, ((msb - msw) / 40) / ((msb - msw) / 40 + msw / 40) AS shrink FROM a)
-"""
-
-
-@query("mixed_balanced", BALANCED + "SELECT subject, round(mu, 3) AS fixed, round(mu + shrink * (m - mu), 3) AS blup FROM g, l")
+@query("mixed_balanced", """WITH k AS (SELECT vec_id, unnest(embedding)::DOUBLE + 0.5::DOUBLE * (vec_id % 7) AS y FROM embeddings),
+g AS (SELECT vec_id, avg(y) AS m, var_samp(y) AS v FROM k GROUP BY vec_id), a AS (SELECT avg(m) AS mu, avg(v) AS msw, 64 * var_samp(m) AS msb FROM g),
+l AS (SELECT *, ((msb - msw) / 64) / ((msb - msw) / 64 + msw / 64) AS shrink FROM a) SELECT vec_id, round(mu, 4) AS fixed, round(mu + shrink * (m - mu), 4) AS blup FROM g, l""")
 def mixed_balanced(spark, sf):
-    rows = ev.numbered(ev.events(spark, sf))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("subject"))).filter("n >= 40 and frame < 40")
-    y = F.col("value") + 20 * (F.col("subject") % 7)
-    model = mixed.MixedModel(rows, ["subject"], y, [F.lit(1.0)], [F.lit(1.0)])
-    return model.blups(model.fit()).select("subject", F.round("fixed", 3).alias("fixed"), F.round("blup", 3).alias("blup"))
-
-
-@query("mixed_events")
+    """Every vector has as many values as any other, so the variances have a closed form."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.explode("embedding").alias("value"))
+    model = mixed.MixedModel(rows, ["vec_id"], F.col("value").cast("double") + 0.5 * (F.col("vec_id") % 7), [F.lit(1.0)], [F.lit(1.0)])
+    return model.blups(model.fit()).select("vec_id", F.round("fixed", 4).alias("fixed"), F.round("blup", 4).alias("blup"))
+
+
+# The ratio of the variances is where the derivative of the profiled restricted likelihood vanishes, found by halving.
+UNBALANCED = EV + """, g AS (SELECT subject, count(*)::DOUBLE AS n, avg(y) AS m, coalesce(var_samp(y), 0) * (count(*) - 1) AS ss FROM (SELECT subject, value + 20 * (subject % 7) AS y FROM ev) GROUP BY subject),
+arr AS (SELECT list({'n': n, 'm': m}) AS g, sum(ss) AS ss, sum(n) AS n FROM g),
+it AS (SELECT 0 AS k, -10.0::DOUBLE AS lo, 10.0::DOUBLE AS hi UNION ALL
+ SELECT k + 1, CASE WHEN d < 0 THEN mid ELSE lo END, CASE WHEN d < 0 THEN hi ELSE mid END FROM (
+  SELECT k, lo, hi, mid, sw - sww / sw - (n - 1) * q2 / (ss + q1) AS d FROM (
+   SELECT *, list_sum(list_transform(w, lambda x, i: x * pow(g[i].m - mu, 2))) AS q1, list_sum(list_transform(w, lambda x, i: x * x * pow(g[i].m - mu, 2))) AS q2 FROM (
+    SELECT *, list_sum(w) AS sw, list_sum(list_transform(w, lambda x: x * x)) AS sww, list_sum(list_transform(w, lambda x, i: x * g[i].m)) / list_sum(w) AS mu FROM (
+     SELECT k, lo, hi, (lo + hi) / 2 AS mid, arr.*, list_transform(g, lambda x: x.n / (1 + x.n * exp((lo + hi) / 2))) AS w FROM it, arr WHERE k < 60)))))
+, b AS (SELECT exp((lo + hi) / 2) AS r FROM it WHERE k = 60), f AS (SELECT r, sum(n / (1 + n * r) * m) / sum(n / (1 + n * r)) AS mu FROM g, b GROUP BY r)
+SELECT subject, round(mu, 3) AS fixed, round(mu + n * r / (1 + n * r) * (m - mu), 3) AS blup FROM g, f"""
+
+
+@query("mixed_events", UNBALANCED.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1))
 def mixed_events(spark, sf):
-    """All events of all subjects; groups of unequal size have no closed form, so there is no SQL."""
+    """All events of all subjects, groups of unequal size."""
     rows = ev.events(spark, sf)
     y = F.col("value") + 20 * (F.col("subject") % 7)
     model = mixed.MixedModel(rows, ["subject"], y, [F.lit(1.0)], [F.lit(1.0)])
@@ -88,7 +95,7 @@ def change_feature(spark, sf):
     rows = ev.trial_features(spark, sf).filter("block in (1, 2)").withColumns({
         "y": F.log1p("mean_response"), "epoch": (F.col("block") == 2).cast("double"), "control": F.col("condition") == 0, "base": F.log1p("mean_baseline"),
     })
-    out, _ = mixed.change_feature(rows, ["subject"], "y", "epoch", "control", ["base"], rounds=20)
+    out, _ = mixed.change_feature(rows, ["subject"], "y", "epoch", "control", ["base"])
     return out
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from onsetlab.functions import columns as C
 from onsetlab.operators import binning, clock, grouptests, intervals, mixed, profiles, quality, signal, trials
+from onsetlab.plans import events as ev
+from onsetlab.plans import registry
 from onsetlab.sources import tables
 from onsetlab.staging import sums_before, with_position
 
@@ -235,7 +237,8 @@ def test_random_slopes_are_recovered(spark):
         slope, base = rng.normal(1.0, 0.5), rng.normal(2.0, 0.3)
         rows += [(s, e, base + slope * e + rng.normal(0, 0.2)) for e in (0.0, 1.0) for _ in range(8)]
     df = spark.createDataFrame([(s, float(e), float(v), s < 40) for s, e, v in rows], "s int, e double, y double, c boolean")
-    out, fit = mixed.change_feature(df, ["s"], "y", "e", "c", rounds=60)
+    out, fit = mixed.change_feature(df, ["s"], "y", "e", "c")
+    assert fit.converged and fit.rounds <= 10
     assert fit.G[0, 0] == pytest.approx(0.25, rel=0.4) and fit.sigma2 == pytest.approx(0.04, rel=0.2)
     assert out.agg(F.avg("blup")).first()[0] == pytest.approx(1.0, abs=0.15)
 
@@ -346,9 +349,9 @@ def test_keyed_mixed_models_equal_single_ones(spark):
     rows = [(k, s, float(e), float(k + e * (k + 1) + b + rng.normal(0, 0.3))) for k in (1, 2) for s, b in enumerate(rng.normal(0, 1, 25)) for e in range(4)]
     df = spark.createDataFrame(rows, "k int, s int, e double, y double")
     x, names = [F.lit(1.0), F.col("e")], ["b", "e"]
-    got = {(r.k, r.term): r for r in mixed.mixed_by_key(df, "k", ["s"], F.col("y"), x, [F.lit(1.0)], names, rounds=60, tolerance=1e-9).collect()}
+    got = {(r.k, r.term): r for r in mixed.mixed_by_key(df, "k", ["s"], F.col("y"), x, [F.lit(1.0)], names).collect()}
     for k in (1, 2):
-        fit = mixed.MixedModel(df.filter(F.col("k") == k), ["s"], F.col("y"), x, [F.lit(1.0)]).fit(rounds=60)
+        fit = mixed.MixedModel(df.filter(F.col("k") == k), ["s"], F.col("y"), x, [F.lit(1.0)]).fit()
         assert [got[k, n].estimate for n in names] == pytest.approx(fit.beta.tolist(), abs=1e-6)
         assert [got[k, n].se for n in names] == pytest.approx(np.sqrt(np.diag(fit.covariance)).tolist(), abs=1e-6)
 
@@ -409,3 +412,78 @@ def test_calibrated_scores_keep_subjects_with_null_features(spark):
     assert sorted(got) == list(range(60))
     assert (got[7].t_joint, got[7].p_empirical, got[7].is_learner) == (None, None, False) and got[7].votes in (0, 1)
     assert all(r.p_empirical is not None for s, r in got.items() if s != 7)
+
+
+def test_discard_rules_see_split_blocks_and_subjects_without_trials(spark):
+    names = {"both": ["Early Train", "Late Train"], "again": ["Early Train", "Late Re-Train"], "none": ["Early Pre", None], "silent": ["Late Train", "Late Re-Train"]}
+    rows = []
+    for s, blocks in names.items():
+        for n, b in enumerate(blocks, 1):
+            active = s != "silent" or n == 2
+            rows += [(s, n, 0.5, active, False, b), (s, n, 2.0, False, True, b), (s, n, 9.0, True, False, b)]
+    rows += [("short", 1, 0.2, True, True, "Train"), ("endless", 1, 0.5, True, False, "Train")]
+    df = spark.createDataFrame(rows, "s string, n int, t double, active boolean, ended boolean, b string")
+    subjects = spark.createDataFrame([(s,) for s in (*names, "short", "endless", "absent", "absent", None)], "s string")
+    m = quality.us_metrics(df, ["s"], "n", "t", "active", "ended", "b", (0, 3), {"train": "Train", "retrain": "Re-Train"}, subjects)
+    got = {r.s: r.reason for r in quality.rule_table(m, ["s"], quality.us_rules("Train", "Re-Train", 0.4, "Retrain")).collect()}
+    assert got == {
+        "both": None, "again": None, "none": "no Train block found", "silent": "no bouts in Train for trial(s): [1]",
+        "short": "US end too short in last trial", "endless": "missing US end in last trial", "absent": "no US trials found", None: "no US trials found",
+    }
+
+
+def test_block_rules_count_absent_blocks_as_none(spark):
+    df = spark.createDataFrame([("a", "X", True), ("a", "X", True), ("a", "Y", True), ("b", "X", True), ("b", None, True)], "s string, b string, active_pre boolean")
+    counts = quality.block_activity(df, ["s"], "b", ["X", "Y"], ["pre"])
+    got = {r.s: r.reason for r in quality.rule_table(counts, ["s"], quality.block_rules(["X", "Y"], "pre", 1, "pre-CS")).collect()}
+    assert got == {"a": None, "b": "less than 1 trials with bouts in pre-CS period in Y"}
+
+
+def dense_likelihood(rows, beta_of, G, s, reml=True):
+    """The (restricted) log likelihood of (subject, x, z, y) rows from whole variance matrices."""
+    A, b, total = 0.0, 0.0, 0.0
+    parts = []
+    for subject in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == subject]
+        X, Z, y = np.array([r[1] for r in own]), np.array([r[2] for r in own]), np.array([r[3] for r in own])
+        V = Z @ G @ Z.T + s * np.eye(len(y))
+        W = np.linalg.inv(V)
+        A, b, total = A + X.T @ W @ X, b + X.T @ W @ y, total + np.linalg.slogdet(V)[1]
+        parts.append((X, y, W))
+    beta = np.linalg.solve(A, b)
+    quadratic = sum((y - X @ beta) @ W @ (y - X @ beta) for X, y, W in parts)
+    return -0.5 * (total + quadratic + (np.linalg.slogdet(A)[1] if reml else 0.0)), beta
+
+
+@pytest.mark.parametrize(("reml", "spread"), [(True, 0.6), (False, 0.6), (True, 0.0)])
+def test_scoring_ends_at_the_top_of_the_likelihood(spark, reml, spread):
+    rng = np.random.default_rng(21)
+    rows = []
+    for subject in range(40):
+        u = rng.multivariate_normal([0, 0], [[1.0, spread / 2], [spread / 2, spread]])
+        for k in range(int(rng.integers(1, 9))):
+            t, c = k / 4, float(rng.normal())
+            rows.append((subject, (1.0, t, c), (1.0, t), 2 + 0.5 * t - c + u[0] + u[1] * t + rng.normal(0, 0.5)))
+    df = spark.createDataFrame([(r[0], r[1][1], r[1][2], float(r[3])) for r in rows], "s int, t double, c double, y double")
+    fit = mixed.MixedModel(df, ["s"], F.col("y"), [F.lit(1.0), F.col("t"), F.col("c")], [F.lit(1.0), F.col("t")]).fit(reml)
+    assert fit.converged and (fit.rounds <= 10 or spread == 0)
+    best, beta = dense_likelihood(rows, None, fit.G, fit.sigma2, reml)
+    assert np.allclose(beta, fit.beta)
+    for step in (1e-2, 1e-3):
+        for E in (np.array([[1, 0], [0, 0]]), np.array([[0, 0], [0, 1]]), np.array([[0, 1], [1, 0]])):
+            for sign in (-1, 1):
+                G = fit.G + sign * step * E
+                if np.linalg.eigvalsh(G).min() >= 0:
+                    assert dense_likelihood(rows, None, G, fit.sigma2, reml)[0] <= best + 1e-7
+        for sign in (-1, 1):
+            assert dense_likelihood(rows, None, fit.G, fit.sigma2 + sign * step, reml)[0] <= best + 1e-7
+
+
+def test_registered_model_fits_converge(spark):
+    rows = registry.QUERIES["block_models"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.converged for r in rows)
+    features = ev.trial_features(spark, "/root/testdata/sf0.001").withColumns({"y": F.log1p("mean_response"), "base": F.log1p("mean_baseline")})
+    both = features.filter("block in (1, 2)").withColumns({"epoch": (F.col("block") == 2).cast("double"), "control": F.col("condition") == 0})
+    for part in (both, both.filter("control")):
+        fit = mixed.MixedModel(part, ["subject"], F.col("y"), [F.col("epoch"), F.lit(1.0), F.col("base")], [F.col("epoch"), F.lit(1.0)]).fit()
+        assert fit.converged, fit
