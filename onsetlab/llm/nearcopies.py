@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from onsetlab.llm.components import components
@@ -249,9 +249,9 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, component) of all nodes that are joined with another."""
     nodes = members.select("node", "fp", "size", "prefix").dropDuplicates(["node"])
     rows = nodes.select("node", "fp", "size", F.explode("prefix").alias("key"))
-    same = Window.partitionBy("key")
-    rows = rows.withColumns({"low": F.min("node").over(same), "high": F.max("node").over(same)})
-    shared = staged(rows.filter("low < high").drop("low", "high"), "near-shared")
+    # Keys of several nodes, by an aggregate with partial sums; the join behind it can be split at a frequent key.
+    several = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    shared = staged(rows.join(staged(several.select("key"), "near-keys"), "key"), "near-shared")
     n_rows = shared.count()
     edges, found, k = None, 0, 0
     state = shared.withColumn("c", F.col("node"))
