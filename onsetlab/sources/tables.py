@@ -1,11 +1,20 @@
-"""Sources and sinks: recordings as text, id lists, datasets, logs. Everything is read by Spark."""
+"""Sources and sinks: recordings as text, id lists, datasets, logs. Everything is read by Spark.
+
+Text files of one folder may differ in separator, decimal sign and order of columns: each file's first line
+tells its dialect, and all files are read in one scan, each line by its own file's dialect.
+
+Sinks can be rerun: a partition is replaced as a whole, so writing twice is writing once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from onsetlab.functions.columns import decimal_comma
+from onsetlab.staging import broadcast_if_small, positions, staged, with_same
 
 ALIASES = {"ID": "frame", "FrameID": "frame", "TotalTime": "elapsed_ms", "ElapsedTime": "elapsed_ms", "AbsoluteTime": "absolute_ms"}
 
@@ -20,34 +29,71 @@ def conform(df: DataFrame, wanted: dict[str, str], aliases: dict[str, str] | Non
     return df.select(*[cast(c, t).alias(c) for c, t in wanted.items()])
 
 
-def discover(spark: SparkSession, folder: str, suffix: str, tokens: list[str] | None = None) -> DataFrame:
-    """recording_id and path of the files named ``<recording><suffix>``, anywhere under the folder; ids by tokens where given."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    out = files.select(F.regexp_replace(F.url_decode(name), f"\\Q{suffix}\\E$", "").alias("recording_id"), "path")
+def discover(spark: SparkSession, folder: str, suffix: str, tokens: list[str] | None = None, siblings: dict[str, str] | None = None) -> DataFrame:
+    """recording_id and path of the files named ``<recording><suffix>``, anywhere under the folder; ids by tokens where given.
+
+    ``siblings`` names further suffixes: each adds a column with the path of the recording's file of that suffix, or null.
+    """
+
+    def named(ending: str, column: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").option("recursiveFileLookup", True).load(folder)
+        name = F.element_at(F.split("path", "/"), -1)
+        return files.select(F.regexp_replace(F.url_decode(name), f"\\Q{ending}\\E$", "").alias("recording_id"), F.col("path").alias(column))
+
+    out = named(suffix, "path")
     if tokens:
         out = out.filter(F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains("recording_id", t)))
+    for column, ending in (siblings or {}).items():
+        out = out.join(named(ending, column), "recording_id", "left")
     return out
 
 
-def _text(spark: SparkSession, path: str | list[str], sep: str, suffix: str) -> DataFrame:
-    rows = spark.read.option("sep", sep).option("header", True).option("ignoreLeadingWhiteSpace", True).csv(path)
-    name = F.url_decode(F.col("_metadata.file_name"))
-    return rows.select("*", F.regexp_replace(name, f"\\Q{suffix}\\E$", "").alias("recording_id"))
+def text_lines(spark: SparkSession, path: str | list[str], suffix: str, folder: str | None = None) -> DataFrame:
+    """recording_id, file, header and cells (arrays of strings) of every line but the first one of each text file.
+
+    The first line that is not blank names the columns and tells the separator: a tab, a semicolon or a comma
+    if it holds one, else runs of spaces. The recording is the file's name without ``suffix``, or, with
+    ``folder``, the value of the folder ``<folder>=<value>`` that the file lies in.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.filter(F.trim("value") != "")
+    # Lines of a file's first block come in order inside one partition, so the least running number is the first line.
+    first = lines.withColumn("line", F.monotonically_increasing_id()).filter("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("first"))
+    mark = F.when(F.contains("first", F.lit("\t")), "\t").when(F.contains("first", F.lit(";")), ";").when(F.contains("first", F.lit(",")), ",").otherwise(" ")
+    head = staged(first.withColumn("mark", mark), "text-headers")  # one row per file
+    cut = lambda line: F.transform(
+        F.when(F.col("mark") == " ", F.split(F.trim(line), r"\s+")).otherwise(F.split(line, F.col("mark"))), lambda x: F.trim(x)
+    )
+    rows = lines.drop("at").join(broadcast_if_small(head), "file").filter("value <> first")
+    if folder:
+        name = F.regexp_extract("file", f"/{folder}=([^/]*)/", 1)
+    else:
+        name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), f"{suffix.replace(' ', '(%20| )')}$", "")
+    return rows.select(F.url_decode(name).alias("recording_id"), "file", cut(F.col("first")).alias("header"), cut(F.col("value")).alias("cells"))
 
 
-def read_clock(spark: SparkSession, path, sep: str = " ", suffix: str = "cam.txt", skip: int = 0) -> DataFrame:
+def cell(*names: str, needed: bool = True) -> Column:
+    """The value of the first of these columns that the line's file has. A file without a needed one is an error."""
+    at = F.coalesce(*[F.nullif(F.array_position("header", F.lit(n)), F.lit(0)) for n in names])
+    value = F.get("cells", (at - 1).cast("int"))
+    if not needed:
+        return value
+    missing = F.raise_error(F.concat(F.lit(f"missing columns: {names[0]} in "), F.col("file"))).cast("string")
+    return F.when(at.isNull(), missing).otherwise(value)
+
+
+def read_clock(spark: SparkSession, path, suffix: str = "cam.txt", skip: int = 0, folder: str | None = None) -> DataFrame:
     """recording_id, frame, elapsed_ms, absolute_ms; the first ``skip`` frames of each recording are left out."""
-    rows = _text(spark, path, sep, suffix)
-    if "AbsoluteTime" not in rows.columns and "absolute_ms" not in rows.columns:
-        rows = rows.withColumn("absolute_ms", F.lit(None).cast("string"))
-    rows = rows.withColumnsRenamed({a: b for a, b in ALIASES.items() if a in rows.columns})
-    rows = rows.withColumns({"elapsed_ms": decimal_comma("elapsed_ms"), "absolute_ms": decimal_comma("absolute_ms")})
+    rows = text_lines(spark, path, suffix, folder)
+    name = lambda column: [column, *[a for a, b in ALIASES.items() if b == column]]
+    rows = rows.select(
+        "recording_id", cell(*name("frame")).alias("frame"), decimal_comma(cell(*name("elapsed_ms"))).alias("elapsed_ms"),
+        decimal_comma(cell(*name("absolute_ms"), needed=False)).alias("absolute_ms"),
+    )
     rows = conform(rows, {"recording_id": "string", "frame": "long", "elapsed_ms": "double", "absolute_ms": "long"})
     if not skip:
         return rows
-    w = Window.partitionBy("recording_id").orderBy("frame")
-    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") > skip).drop("_n")
+    return positions(rows, ["recording_id"], ["frame"], "_n", "clock-rows").filter(F.col("_n") >= skip).drop("_n")
 
 
 def angle_columns(columns: list[str], prefix: str = "angle") -> list[str]:
@@ -56,61 +102,114 @@ def angle_columns(columns: list[str], prefix: str = "angle") -> list[str]:
     return sorted(found, key=lambda c: int(c[len(prefix) :]))
 
 
-def read_samples(spark: SparkSession, path, sep: str = " ", suffix: str = "tail tracking.txt", degrees: bool = True) -> DataFrame:
-    """recording_id, frame, original_frame and angles (one array); the trailing summary row of each recording goes.
+def read_samples(spark: SparkSession, path, suffix: str = "tail tracking.txt", degrees: bool = True, folder: str | None = None, prefix: str = "angle") -> DataFrame:
+    """recording_id, frame, original_frame and angles (one array, by the numbers in the columns' names).
 
-    A summary row has no number as its frame, or else the highest one; only it is left out.
+    The trailing summary row of each recording goes: it has no number as its frame, or else the highest one.
     """
-    rows = _text(spark, path, sep, suffix)
-    names = angle_columns(rows.columns)
-    values = F.array(*[decimal_comma(c) for c in names])
-    out = rows.withColumnsRenamed({a: b for a, b in ALIASES.items() if a in rows.columns})
-    out = out.select("recording_id", F.expr("try_cast(frame AS bigint)").alias("frame"), values.alias("angles"))
-    own = Window.partitionBy("recording_id")
-    out = out.withColumns({"_last": F.max("frame").over(own), "_told": F.bool_or(F.col("frame").isNull()).over(own)})
-    out = out.filter("frame is not null and (_told or frame < _last)").drop("_last", "_told")
+    rows = text_lines(spark, path, suffix, folder)
+    number = lambda n: F.struct(F.substring(n, F.lit(len(prefix) + 1), F.length(n)).cast("int").alias("k"), F.array_position("header", n).cast("int").alias("at"))
+    own = F.array_sort(F.transform(F.filter("header", lambda n: F.regexp(n, F.lit(f"^{prefix}[0-9]+$"))), number))
+    out = rows.select(
+        "recording_id", cell("frame", *[a for a, b in ALIASES.items() if b == "frame"]).try_cast("bigint").alias("frame"),
+        F.transform(own, lambda n: decimal_comma(F.get("cells", n["at"] - 1))).alias("angles"),
+    )
+    ends = out.groupBy("recording_id").agg(F.max("frame").alias("_last"), F.bool_or(F.col("frame").isNull()).alias("_told"))
+    out = with_same(out, ends, ["recording_id"]).filter("frame is not null and (_told or frame < _last)")
     angles = F.transform("angles", F.degrees) if degrees else F.col("angles")
     return out.select("recording_id", "frame", F.col("frame").alias("original_frame"), angles.cast("array<float>").alias("angles"))
 
 
-def read_stimuli(spark: SparkSession, path, sep: str = " ", suffix: str = "stim control.txt") -> DataFrame:
+def read_stimuli(spark: SparkSession, path, suffix: str = "stim control.txt", folder: str | None = None) -> DataFrame:
     """recording_id, stim_type, beg_ms, end_ms, stim_no from the first three columns; recordings that begin at 0 or are empty go."""
-    rows = _text(spark, path, sep, suffix)
-    kind, begin, end = rows.columns[:3]
-    out = rows.select(
-        "recording_id", F.col(f"`{kind}`").alias("stim_type"), decimal_comma(f"`{begin}`").alias("beg_ms"), decimal_comma(f"`{end}`").alias("end_ms")
-    )
+    rows = text_lines(spark, path, suffix, folder)
+    at = lambda k: F.get("cells", F.lit(k))
+    out = rows.select("recording_id", at(0).alias("stim_type"), decimal_comma(at(1)).alias("beg_ms"), decimal_comma(at(2)).alias("end_ms"))
+    out = staged(out, "stimuli")
     good = out.groupBy("recording_id").agg(F.min("beg_ms").alias("_b")).filter("_b <> 0").select("recording_id")
-    w = Window.partitionBy("recording_id", "stim_type").orderBy("beg_ms")
-    return out.join(good, "recording_id", "left_semi").withColumn("stim_no", F.row_number().over(w))
+    out = out.join(good, "recording_id", "left_semi")
+    out = positions(out, ["recording_id", "stim_type"], ["beg_ms", "end_ms"], "stim_no", "stimuli-order")
+    return out.withColumn("stim_no", F.col("stim_no") + 1)
+
+
+def write_text_recordings(df: DataFrame, path: str, recording: str, order: list[str], line: Column, header: Column) -> None:
+    """One text file per recording, in folders ``<recording>=<value>``: its header, then the lines in order."""
+    lines = df.select(F.col(recording), F.lit(1).alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], line.alias("value"))
+    heads = df.groupBy(recording).agg(F.min(header).alias("value")).withColumn("_k", F.lit(0))
+    both = lines.unionByName(heads, allowMissingColumns=True).repartition(recording)
+    both = both.sortWithinPartitions(recording, "_k", *[f"_o{i}" for i in range(len(order))]).select(recording, "value")
+    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(recording).text(path)
 
 
 def read_sync(spark: SparkSession, path, sep: str = " ") -> DataFrame:
     return spark.read.option("sep", sep).option("header", True).option("inferSchema", True).csv(path)
 
 
-def read_ids(spark: SparkSession, path, headers: tuple[str, ...] = ("fish", "id", "ids", "subject")) -> DataFrame:
-    """Distinct ids of text files with comments (#), mixed separators, quotes and header words."""
+def read_ids(spark: SparkSession, path, headers: tuple[str, ...] = ("id", "ids", "subject")) -> DataFrame:
+    """Distinct ids of text files with comments (#), mixed separators, quotes and header words, with ``place``: where each comes first."""
     tokens = F.split(F.regexp_replace("value", "#.*$", ""), r"[,;\s]+")
-    ids = spark.read.text(path).select(F.explode(tokens).alias("id")).select(F.regexp_replace("id", r"[\"']", "").alias("id"))
-    return ids.filter((F.col("id") != "") & ~F.lower("id").isin(*headers)).dropDuplicates()
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
+    ids = lines.select("_line", F.posexplode(tokens).alias("_at", "id")).withColumn("id", F.regexp_replace("id", r"[\"']", ""))
+    ids = ids.filter((F.col("id") != "") & ~F.lower("id").isin(*headers))
+    return ids.groupBy("id").agg(F.min(F.struct("_line", "_at")).alias("place"))
+
+
+def flat_specs(spec) -> list:
+    """The values of nested lists, tuples, sets and dictionaries (their values), in order, each once; None is nothing."""
+    if spec is None:
+        return []
+    if isinstance(spec, dict):
+        spec = list(spec.values())
+    if isinstance(spec, (set, frozenset)):
+        spec = sorted(spec)
+    found = [v for part in spec for v in flat_specs(part)] if isinstance(spec, (list, tuple, range)) else [spec]
+    return list(dict.fromkeys(found))
 
 
 def resolve_ids(ids: DataFrame, recordings: DataFrame, id_col: str = "id", name: str = "recording_id") -> DataFrame:
-    """id and the first recording (by name) that begins with it; names meet ids by all their beginnings."""
-    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda n: F.left(F.col(name), n))
-    hits = recordings.select(name, F.explode(heads).alias(id_col)).join(ids, id_col)
+    """id and the first recording (by name) that begins with it. Names meet ids by their beginnings of the lengths that ids have."""
+    lengths = ids.filter(F.col(id_col).isNotNull()).agg(F.collect_set(F.length(id_col)).alias("_lengths"))  # one row, as long as the longest id
+    rows = recordings.select(name).join(F.broadcast(lengths), F.lit(True))
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length(name)), lambda n: F.left(F.col(name), n))
+    hits = rows.select(name, F.explode(heads).alias(id_col)).join(ids, id_col)
     return hits.groupBy(id_col).agg(F.min(name).alias(name))
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str], mode: str = "append") -> None:
-    """Parquet in folders by the given columns (condition, trial type, bin width)."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+def _replaced(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write whole partitions in place of those that are there; other partitions stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def write_table(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Parquet in folders by the given columns (condition, trial type, bin width); a partition is replaced as a whole."""
+    _replaced(df, path, partition_by)
+
+
+def write_recordings(df: DataFrame, path: str, recording: str = "recording_id", partition_by: list[str] | None = None) -> None:
+    """Write recordings, each a partition of its own, and then note them in the manifest ``<path>/_finished``.
+
+    Written twice they are there once. After a killed run some partitions may be there that the manifest does
+    not name; ``unfinished`` against ``finished`` gives them again, and writing them replaces what is left.
+    """
+    df = staged(df, "recordings")
+    _replaced(df, path, [*(partition_by or []), recording])
+    done = df.groupBy(recording).agg(F.count("*").alias("rows"))
+    _replaced(done, f"{path.rstrip('/')}/_finished", [recording])
+
+
+def finished(spark: SparkSession, path: str, recording: str = "recording_id") -> DataFrame:
+    """The recordings (as strings) and their numbers of rows that ``write_recordings`` has finished; none where nothing is written."""
+    folder = f"{path.rstrip('/')}/_finished"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"`{recording}` string, rows long")
+    return spark.read.schema(f"rows long, `{recording}` string").parquet(folder).select(recording, "rows")
 
 
 def write_dataset(df: DataFrame, path: str, variant: str, run_ts: Column) -> None:
-    """Append a run of a dataset with its variant and time, for ``latest_dataset``."""
-    df.withColumns({"variant": F.lit(variant), "run_ts": run_ts}).write.mode("append").partitionBy("variant").parquet(path)
+    """A run of a dataset with its variant and time, for ``latest_dataset``; the same run written again replaces itself."""
+    out = df.withColumns({"variant": F.lit(variant), "run_ts": run_ts})
+    _replaced(out.withColumn("run", F.col("run_ts").cast("string")), path, ["variant", "run"])
 
 
 def latest_dataset(spark: SparkSession, path: str, variant: str) -> DataFrame:
@@ -125,8 +224,39 @@ def write_text(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def append_log(reasons: DataFrame, path: str, rule_set: str, run_ts: Column) -> None:
-    """Append quality results (subject, reason) to the log table."""
-    reasons.filter("reason is not null").withColumns({"rule_set": F.lit(rule_set), "run_ts": run_ts}).write.mode("append").parquet(path)
+    """Quality results (subject, reason) of a run in the log table; the same run logged again replaces itself."""
+    out = reasons.filter("reason is not null").withColumns({"rule_set": F.lit(rule_set), "run_ts": run_ts})
+    _replaced(out.withColumn("run", F.col("run_ts").cast("string")), path, ["rule_set", "run"])
+
+
+class Counted:
+    """Counts rows and subjects of a table on the way, before and after a filter: no pass of their own.
+
+    Rows are exact; subjects are counted by a sketch that is off by about half a percent where they are many.
+    The counts are there once an action has run on ``after``'s result.
+    """
+
+    def __init__(self, subject: list[str]) -> None:
+        self.subject, self.seen = subject, {}
+
+    def _observed(self, df: DataFrame, side: str) -> DataFrame:
+        self.seen[side] = Observation(f"{side}-{id(self)}")
+        subjects = F.approx_count_distinct(F.struct(*self.subject), 0.005).alias("subjects")
+        return df.observe(self.seen[side], F.count(F.lit(1)).alias("rows"), subjects)
+
+    def filtered(self, df: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``work(df)``, counted on both sides."""
+        return self._observed(work(self._observed(df, "before")), "after")
+
+    def counts(self) -> dict[str, int]:
+        """rows_before, subjects_before, rows_after, subjects_after."""
+        return {f"{what}_{side}": seen.get[what] for side, seen in self.seen.items() for what in ("rows", "subjects")}
+
+    def log(self, spark: SparkSession, path: str, step: str, run_ts: Column) -> None:
+        """Note the counts of a step of a run; noted again they replace themselves."""
+        row = spark.createDataFrame([(step, *self.counts().values())], ", ".join(["step string", *[f"{c} long" for c in self.counts()]]))
+        row = row.withColumn("run_ts", run_ts).withColumn("run", F.col("run_ts").cast("string"))
+        _replaced(row, path, ["step", "run"])
 
 
 def unfinished(recordings: DataFrame, finished: DataFrame, key: str = "recording_id") -> DataFrame:

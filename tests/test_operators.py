@@ -322,17 +322,18 @@ def test_text_sources(spark, tmp_path):
     ]
     assert {r.recording_id for r in tables.discover(spark, str(rec), " stim control.txt").collect()} == {"r1", "r2"}
     assert tables.unfinished(tables.discover(spark, str(rec), " stim control.txt"), stim).first().recording_id == "r2"
-    (tmp_path / "ids.txt").write_text("Fish # header\n'a_1', \"a_2\"; a_1\n# none\nb_3\tc\n")
+    (tmp_path / "ids.txt").write_text("Subject # header\n'a_1', \"a_2\"; a_1\n# none\nb_3\tc\n")
     assert {r.id for r in tables.read_ids(spark, str(tmp_path / "ids.txt")).collect()} == {"a_1", "a_2", "b_3", "c"}
 
 
 def test_latest_dataset_and_log(spark, tmp_path):
     path = str(tmp_path / "d")
-    for k in (1, 2):
+    for k in (1, 2, 2):
         tables.write_dataset(spark.range(k), path, "CS", F.lit(k))
     assert tables.latest_dataset(spark, path, "CS").count() == 2
     reasons = spark.createDataFrame([("a", "few"), ("b", None)], "subject string, reason string")
-    tables.append_log(reasons, str(tmp_path / "log"), "rules", F.lit(1))
+    for _ in range(2):
+        tables.append_log(reasons, str(tmp_path / "log"), "rules", F.lit(1))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
     with pytest.raises(ValueError, match="missing columns: y, z"):
         tables.conform(spark.range(1), {"id": "long", "y": "long", "z": "long"})
