@@ -86,3 +86,19 @@ def protocol_summary(stimuli: DataFrame, by: list[str], kind: str, begin: str, e
         F.min(begin).alias("first_begin"), F.min("duration").alias("least_duration"), F.max("duration").alias("greatest_duration"),
         F.min("since_last").alias("least_interval"), F.max("since_last").alias("greatest_interval"),
     )
+
+
+def stimulus_timeline(stimuli: DataFrame, by: list[str], kind: str, marks: list[str], unit: float = 1.0) -> DataFrame:
+    """One row per mark of each stimulus, in protocol time: by, kind, mark, at, since_last.
+
+    ``marks`` are columns of times (onset, end and the like); null ones give no row. ``at`` counts from the
+    key's first mark in ``unit``s, ``since_last`` from the mark before, of any kind.
+    """
+    rows = stimuli.unpivot([*by, kind], marks, "mark", "_t").filter("_t is not null")
+    first = rows.groupBy(*by).agg(F.min("_t").alias("_first"))
+    # One row per time and key, so that what comes before is told without ties.
+    times = staged(rows.select(*by, "_t").distinct(), "timeline-times")
+    before = neighbours(times, by, "_t", F.col("_t"), "_before", CHUNK * unit)
+    rows = with_same(with_same(rows, first, by), before, [*by, "_t"])
+    out = rows.withColumns({"at": (F.col("_t") - F.col("_first")) / F.lit(unit), "since_last": (F.col("_t") - F.col("_before")) / F.lit(unit)})
+    return out.select(*by, kind, "mark", "at", "since_last")

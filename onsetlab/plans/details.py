@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from onsetlab.functions import columns as C
-from onsetlab.operators import binning, clock, grouptests, mixed, profiles, quality, signal, trials
+from onsetlab.operators import binning, clock, grouptests, intervals, mixed, profiles, quality, signal, trials
 from onsetlab.plans import events as ev
 from onsetlab.plans.events import EV
 from onsetlab.plans.models import VOTES, vote_table, wide_features
 from onsetlab.sources import tables
-from onsetlab.staging import with_same
+from onsetlab.staging import new_path, staged, with_same
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -297,3 +297,88 @@ def principal_components(spark, sf):
     signs = [1 if loadings[0, k] >= 0 else -1 for k in range(2)]
     cells = [(k + 1, round(float(shares[k]), 6), *[round(float(x) * signs[k], 6) for x in loadings[:, k]]) for k in range(2)]
     return spark.createDataFrame(cells, f"component int, share double, {names[0]} double, {names[1]} double")
+
+
+@query("paired_events", EV + """, m AS (SELECT subject, us, event_type = 'signup' AS b FROM ev WHERE event_type IN ('signup', 'purchase')),
+x AS (SELECT subject, min(us) AS first, max(us) AS last FROM ev GROUP BY subject),
+n AS (SELECT *, lead(us) OVER w AS next, lag(us) OVER w AS prev FROM m WINDOW w AS (PARTITION BY subject ORDER BY us))
+SELECT n.subject, CASE WHEN b THEN us ELSE first END AS "start", CASE WHEN b THEN coalesce(next, last) ELSE us END AS "end" FROM n JOIN x USING (subject) WHERE b OR prev IS NULL""")
+def paired_events(spark, sf):
+    """A signup opens, a purchase closes; borders are repaired."""
+    rows = ev.events(spark, sf)
+    return intervals.paired_events(rows, ["subject"], "us", F.col("event_type") == "signup", F.col("event_type") == "purchase", bucket=7 * ev.DAY)
+
+
+@query("stimulus_timeline", EV + """, t AS (SELECT subject, event_type AS kind, unnest(['onset', 'fin']) AS mark, unnest([us, CASE WHEN event_type = 'purchase' THEN us + 60000000 END]) AS t
+ FROM ev WHERE event_type IN ('signup', 'purchase', 'error')),
+d AS (SELECT subject, t, lag(t) OVER (PARTITION BY subject ORDER BY t) AS prev FROM (SELECT DISTINCT subject, t FROM t WHERE t IS NOT NULL))
+SELECT t.subject, kind, mark, round((t.t - min(t.t) OVER (PARTITION BY t.subject)) / 3600000000.0, 6) AS at, round((t.t - prev) / 3600000000.0, 6) AS since_last FROM t JOIN d ON d.subject = t.subject AND d.t = t.t""")
+def stimulus_timeline(spark, sf):
+    """Three kinds of stimuli with their marks, in hours of each subject's protocol; only purchases have an end."""
+    rows = ev.events(spark, sf).filter("event_type in ('signup', 'purchase', 'error')")
+    rows = rows.select("subject", F.col("event_type").alias("kind"), F.col("us").alias("onset"), F.when(F.col("event_type") == "purchase", F.col("us") + 60_000_000).alias("fin"))
+    out = clock.stimulus_timeline(rows, ["subject"], "kind", ["onset", "fin"], ev.HOUR)
+    return out.select("subject", "kind", "mark", F.round("at", 6).alias("at"), F.round("since_last", 6).alias("since_last"))
+
+
+@query("exact_rank_tests", """WITH RECURSIVE s AS (SELECT s_nationkey AS k, s_suppkey % 3 = 0 AS g, s_acctbal AS v, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) AS r FROM supplier),
+t AS (SELECT k, count_if(NOT g)::BIGINT AS n0, count_if(g)::BIGINT AS n1, coalesce(sum(r) FILTER (NOT g), 0)::BIGINT - count_if(NOT g) * (count_if(NOT g) + 1) // 2 AS u0, count(DISTINCT v) = count(*) AS untied FROM s GROUP BY k),
+w AS (SELECT *, greatest(u0, n0 * n1 - u0) AS u, least(n0, n1) AS small FROM t WHERE untied AND least(n0, n1) BETWEEN 1 AND 8 AND greatest(n0, n1) <= 50),
+d(i, taken, total, cases) AS (SELECT 0, 0, 0, 1.0::DOUBLE UNION ALL
+ SELECT i + 1, taken + x, total + x * (i + 1), sum(cases) FROM d, (VALUES (0), (1)) c(x) WHERE i < (SELECT max(n0 + n1) FROM w) AND taken + x <= 8 GROUP BY 1, 2, 3)
+SELECT w.k AS nation, n0, n1, u0::DOUBLE AS u0, round(least(1, 2 * sum(cases) FILTER (total - small * (small + 1) // 2 >= u) / sum(cases)), 6) AS p FROM w JOIN d ON d.i = n0 + n1 AND d.taken = small GROUP BY ALL""")
+def exact_rank_tests(spark, sf):
+    """Suppliers' balances by nation, every third one against the others: the tests of small groups."""
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
+    out = grouptests.mann_whitney(rows, ["nation"], F.col("s_suppkey") % 3 == 0, "s_acctbal")
+    return out.filter("exact").select("nation", "n0", "n1", F.col("u0").cast("double").alias("u0"), F.round("p", 6).alias("p"))
+
+
+@query("bootstrap_threshold", VOTES.split(", l AS (SELECT subject, condition, 'f1'")[0] + """, c AS (SELECT subject, sqrt(f1 * f1 + f2 * f2) AS d, unnest(range(0, 20)) AS replicate FROM g WHERE condition = 0),
+u AS (SELECT *, (((subject * 48271 + replicate * 69621 + 1013) % 2147483647) * 16807 % 2147483647) / 2147483647.0::DOUBLE AS x FROM c),
+w AS (SELECT replicate, d, sum((x > 0.36787944)::INT + (x > 0.73575888)::INT + (x > 0.91969860)::INT + (x > 0.98101184)::INT + (x > 0.99634015)::INT + (x > 0.99940582)::INT + (x > 0.99991676)::INT) AS w FROM u GROUP BY ALL),
+h AS (SELECT *, sum(w) OVER (PARTITION BY replicate ORDER BY d) AS c, sum(w) OVER (PARTITION BY replicate) AS t FROM w WHERE w > 0)
+SELECT round(avg(q), 6) AS threshold FROM (SELECT replicate, min(d) AS q FROM h WHERE c >= 0.95 * t GROUP BY replicate)""")
+def bootstrap_threshold(spark, sf):
+    """The 95 % threshold of the controls' distances from no change, over 20 Poisson replicates."""
+    controls = wide_features(spark, sf).filter("condition = 0").withColumn("distance", F.sqrt(F.col("f1") * F.col("f1") + F.col("f2") * F.col("f2")))
+    prime = 2147483647
+    mixed_ = (F.col("subject") * 48271 + F.col("replicate") * 69621 + 1013) % prime * 16807 % prime
+    out = profiles.bootstrap_threshold(controls, "distance", mixed_ / F.lit(float(prime)), 20)
+    return out.select(F.round("threshold", 6).alias("threshold"))
+
+
+@query("recordings_round_trip", EV + """, c AS (SELECT subject, count(*) AS frames, min(us) / 1000.0::DOUBLE AS first_ms, max(us) / 1000.0::DOUBLE AS last_ms, sum(frame * (us % 1000000)) AS checksum FROM nb GROUP BY subject),
+s AS (SELECT subject, count(*) AS stimuli, count_if(event_type = 'purchase') AS purchases, min(us) FILTER (event_type = 'purchase') / 1000.0::DOUBLE AS first_purchase FROM ev GROUP BY subject)
+SELECT subject::VARCHAR AS recording_id, frames, round(first_ms, 3) AS first_ms, round(last_ms, 3) AS last_ms, checksum::DOUBLE AS checksum, stimuli, purchases, round(first_purchase, 3) AS first_purchase FROM c JOIN s USING (subject)""")
+def recordings_round_trip(spark, sf):
+    """Each subject as a clock file and a stimulus file in one of four dialects, written and read again."""
+    rows = staged(ev.numbered(ev.events(spark, sf)), "round-trip").withColumn("recording_id", F.col("subject").cast("string"))
+    path, dialect = new_path(spark, "round-trip"), F.col("subject") % 4
+    mark = F.get(F.array(*map(F.lit, [" ", "\t", ";", ","])), dialect.cast("int"))
+
+    def joined(cells):  # the columns go round with the dialect
+        cells = F.array(*cells)
+        return F.array_join(F.concat(F.slice(cells, dialect.cast("int") % 3 + 1, F.lit(3)), F.slice(cells, 1, dialect.cast("int") % 3)), "\x00")
+
+    def line(text):
+        return F.replace(text, F.lit("\x00"), mark)
+
+    def number(us):
+        text = (us / 1000).cast("decimal(20,3)").cast("string")
+        return F.when(dialect.isin(1, 2), F.replace(text, F.lit("."), F.lit(","))).otherwise(text)
+
+    cells = [F.col("frame").cast("string"), number(F.col("us")), (F.col("us") % 1_000_000).cast("string")]
+    names = [F.lit(n) for n in ("FrameID", "TotalTime", "AbsoluteTime")]
+    tables.write_text_recordings(rows, f"{path}/cam", "recording_id", ["frame"], line(joined(cells)), line(joined(names)))
+    stim = F.array_join(F.array("event_type", number(F.col("us")), number(F.col("us") + 60_000_000)), "\x00")
+    tables.write_text_recordings(rows, f"{path}/stim", "recording_id", ["frame"], line(stim), line(F.lit("Type\x00beg\x00end")))
+    clock_rows = tables.read_clock(spark, f"{path}/cam", folder="recording_id").groupBy("recording_id").agg(
+        F.count("*").alias("frames"), F.round(F.min("elapsed_ms"), 3).alias("first_ms"), F.round(F.max("elapsed_ms"), 3).alias("last_ms"),
+        F.sum(F.col("frame") * F.col("absolute_ms")).cast("double").alias("checksum"),
+    )
+    kinds = tables.read_stimuli(spark, f"{path}/stim", folder="recording_id").groupBy("recording_id").agg(
+        F.count("*").alias("stimuli"), F.count_if(F.col("stim_type") == "purchase").alias("purchases"),
+        F.round(F.min(F.when((F.col("stim_type") == "purchase") & (F.col("stim_no") == 1), F.col("beg_ms"))), 3).alias("first_purchase"),
+    )
+    return clock_rows.join(kinds, "recording_id")

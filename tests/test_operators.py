@@ -488,3 +488,40 @@ def test_registered_model_fits_converge(spark):
     for part in (both, both.filter("control")):
         fit = mixed.MixedModel(part, ["subject"], F.col("y"), [F.col("epoch"), F.lit(1.0), F.col("base")], [F.col("epoch"), F.lit(1.0)]).fit()
         assert fit.converged, fit
+
+
+def test_exact_p_values_equal_full_enumeration(spark):
+    from itertools import combinations, product
+
+    rng, rows, pairs, want = np.random.default_rng(31), [], [], {}
+    for k, (n, m) in enumerate([(1, 1), (2, 5), (5, 5), (3, 7), (8, 8), (9, 9), (4, 60)]):
+        v = rng.permutation(200)[: n + m].astype(float)
+        rows += [(k, i >= n, float(x)) for i, x in enumerate(v)]
+        if n + m <= 16:
+            ranks = v.argsort().argsort()
+            u = lambda chosen, n=n: sum(chosen) - n * (n - 1) / 2
+            all_u = np.array([u(c) for c in combinations(range(n + m), n)])
+            mine = u(ranks[:n])
+            want[k] = min(1.0, 2 * (all_u >= max(mine, n * m - mine)).mean())
+    rows += [(9, g, 1.0) for g in (True, False)]
+    got = {r.k: r for r in grouptests.mann_whitney(spark.createDataFrame(rows, "k int, g boolean, v double"), ["k"], F.col("g"), "v").collect()}
+    assert {k: r.exact for k, r in got.items()} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 9: False}
+    for k, p in want.items():
+        assert got[k].p == pytest.approx(p)
+    for k, n in enumerate([1, 2, 6, 10, 51]):
+        pairs += [(k, 0.0, float(x)) for x in rng.permutation(np.arange(1, n + 1)) * rng.choice([-1, 1], n)] + [(k, 1.0, 1.0)]
+    pairs += [(9, 0.0, 1.0), (9, 0.0, -1.0)]
+    found = {r.k: r for r in grouptests.wilcoxon(spark.createDataFrame(pairs, "k int, x double, y double"), ["k"], "x", "y").collect()}
+    for k, n in enumerate([1, 2, 6, 10]):
+        sums = np.array([sum((i + 1) * s for i, s in enumerate(c)) for c in product((0, 1), repeat=n)])
+        w = found[k].w_plus
+        assert found[k].exact and found[k].p == pytest.approx(min(1.0, 2 * (sums >= max(w, n * (n + 1) / 2 - w)).mean()))
+    assert not found[4].exact and not found[9].exact
+
+
+def test_normal_tail_probabilities(spark):
+    from math import erfc, sqrt
+
+    z = [k / 10 for k in range(-80, 81)]
+    got = column(spark.createDataFrame([(x,) for x in z], "z double").withColumn("p", C.normal_cdf("z")), "p", "z")
+    assert np.allclose(got, [erfc(-x / sqrt(2)) / 2 for x in z], atol=2e-7)
