@@ -95,20 +95,24 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         away = np.where(common, 2 * np.abs(at - np.repeat(middle, n)) + (at < np.repeat(middle, n)), np.iinfo(np.int64).max)
         nearest = np.minimum.reduceat(away, begin)
         found = nearest < np.iinfo(np.int64).max
-        step = nearest[found]
-        at = middle[found] + np.where(step % 2, -(step // 2), step // 2)
-        cut[at] = True
-        again = ~found & ((left > low) | (right < high))  # look further; the others are leaves
-        low, high, reach = (
-            np.r_[low[found], at + 1, low[again]], np.r_[at, high[found], high[again]],
-            np.r_[np.ones(2 * len(at), dtype=np.int64), reach[again] * 4],
-        )
+        at = middle + np.where(found, np.where(nearest % 2, -(nearest // 2), nearest // 2), 0)
+        cut[at[found]] = True
+        # A cut interval gives its two halves, one that was not seen whole is looked at further, the others are
+        # leaves. They stay in order, so that the next ends are bisected in order too.
+        again = ~found & ((left > low) | (right < high))
+        k = np.repeat(np.arange(len(low)), np.where(found, 2, again))
+        half = np.r_[False, k[1:] == k[:-1]] if len(k) else np.zeros(0, dtype=bool)
+        reach = np.where(found[k], 1, reach[k] * 4)
+        low, high = np.where(half, at[k] + 1, low[k]), np.where(found[k] & ~half, at[k], high[k])
 
 
 def groups_of(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """The group, counted over the batch, of each token of both sides."""
     cut = shared_cuts(a.ends, b.ends, a.bounds)
-    return np.cumsum(cut) - cut, np.searchsorted(a.ends[cut], b.ends, side="left")
+    # The ends of b that are cuts are found by their places; between them its tokens are of the next cut's group.
+    own = np.zeros(len(b.ends), dtype=np.int64)
+    own[np.searchsorted(b.ends, a.ends[cut])] = 1
+    return np.cumsum(cut) - cut, np.cumsum(own) - own
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +121,11 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[begin], begin, np.diff(np.r_[begin, len(keys)])
 
 
+def _starts(groups: np.ndarray) -> np.ndarray:
+    """Where each group (of rising numbers from 0 on, none left out) begins, and the end."""
+    return np.r_[0, np.cumsum(np.bincount(groups))].astype(np.int64)
+
+
 def linked_pairs(a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, pairs (a << 16 | b) and times of the distinct links of each document, by document and pair."""
     sides = []
@@ -124,9 +133,9 @@ def linked_pairs(a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray)
         keys, _, times = _runs(np.sort(group << 16 | ids))
         sides.append((keys >> 16, keys & 0xFFFF, times))
     (in_a, id_a, n_a), (in_b, id_b, n_b) = sides
-    begin = np.searchsorted(in_b, in_a, side="left")
-    width = np.searchsorted(in_b, in_a, side="right") - begin
-    doc = np.searchsorted(a.bounds, np.searchsorted(group_a, in_a, side="left"), side="right") - 1
+    starts = _starts(in_b)
+    begin, width = starts[in_a], np.diff(starts)[in_a]
+    doc = np.repeat(np.arange(len(a.bounds) - 1), np.diff(a.bounds))[_starts(group_a)[in_a]]
     upto = np.cumsum(width)
     parts, k = [], 0
     while k < len(in_a):
@@ -181,8 +190,8 @@ class Aligner:
         last = [np.r_[g[1:] != g[:-1], True] if len(g) else np.zeros(0, dtype=bool) for g in (group_a, group_b)]
         order = np.empty(len(a.ids) + len(b.ids), dtype=np.int64)
         # A token of one side stands behind all tokens of the other side in earlier groups (a's own group first).
-        order[np.arange(len(a.ids)) + np.searchsorted(group_b, group_a, side="left")] = a.ids + self.base[last[0].astype(int)]
-        order[np.arange(len(b.ids)) + np.searchsorted(group_a, group_b, side="right")] = b.ids + self.base[2 + last[1].astype(int)]
+        order[np.arange(len(a.ids)) + _starts(group_b)[group_a]] = a.ids + self.base[last[0].astype(int)]
+        order[np.arange(len(b.ids)) + _starts(group_a)[group_b + 1]] = b.ids + self.base[2 + last[1].astype(int)]
         bounds, out = (a.bounds + b.bounds).tolist(), []
         for begin, end in zip(bounds, bounds[1:], strict=False):
             text = "".join(map(self.written.__getitem__, order[begin:end].tolist()))

@@ -12,6 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from onsetlab.llm import align, lengths, packing, variants
 
 SF = "/root/testdata/sf0.001"
@@ -265,3 +266,57 @@ def test_roots_follow_long_chains(spark):
     rows = [(f"w{k:03d}", f"w{k + 1:03d}" if k < 99 else None) for k in range(100)]
     got = variants.roots(spark.createDataFrame(rows, "word string, form string")).collect()
     assert {r.root for r in got} == {"w099"} and len(got) == 100
+
+
+# --- the pipeline on odd tables, and long texts through every operator ---
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, kind):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, text_key string, component string, ids string, score string"
+    same = "one two three four five six seven eight nine ten " * 30
+    texts = [None, "", " \t\n", "one", "one", same, same, same.upper(), same[:-10] + " tail", "x" * 5000, "a ▁ b\n\n c \U0001F600"]
+    rows = [(None if k == 4 else k, t, "en", None if k % 4 == 0 else f"s{k % 3}", 0, *["clash"] * 5) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([] if kind == "empty" else rows + rows[:2], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in (1, 2, 3, 99)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        left[name] = out.count()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    if kind == "empty":
+        assert set(left.values()) == {0} and got.count() == 0
+        return
+    assert left["toxicity"] == len(rows) + 2  # nothing is told to be toxic
+    assert left["exact_dedup"] == 7  # one each of: empty, one, the long text, its capitals, its other tail, x, signs
+    assert left["simhash_near_dedup"] < len(rows)
+    assert {r.doc_id for r in got.select("doc_id").collect()} <= {r[0] for r in rows}
+    assert set(docs.columns) <= set(got.columns)
+
+
+LONG = [" " * 3_000_000 + "x", "\n" * 2_000_000 + "y", "q" * 1_000_000, "long text with words " * 60_000, None]
+
+
+@pytest.mark.parametrize("name", ["lengths", "align", "packing", "variants", "mix", "shards", "simhash", "iblt", "exact", "pii", "substrings", "pieces"])
+def test_very_long_texts(spark, name):
+    from onsetlab.llm import exact, iblt, mixing, pieces, pii, sharding, simhash, substrings
+
+    run = {
+        "lengths": lengths.query, "align": align.query, "packing": packing.query, "variants": variants.query, "mix": mixing.query, "shards": sharding.query,
+        "simhash": simhash.query, "iblt": iblt.query, "exact": exact.query, "pii": pii.query, "substrings": substrings.query, "pieces": pieces.query,
+    }[name]
+    most = 150_000 if name == "substrings" else None  # every position of a repetition is one of its windows
+    rows = [(k, t and t[:most], "s") for k, t in enumerate(LONG)]
+    got = run(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    if name == "lengths":
+        assert sum(r.n_docs for r in got) == len(rows)
+    elif name == "variants":
+        assert {r.word for r in got} == {"words"}
+    elif name == "packing":
+        assert {r.doc_id for r in got} == {k for k, _, _ in rows}
+    else:
+        assert sorted(r.doc_id for r in got) == [k for k, _, _ in rows]
