@@ -139,7 +139,7 @@ t AS (SELECT subject, median(interval) AS typical, max(interval) AS largest FROM
 st AS (SELECT i.*, t.typical, coalesce(abs(interval - typical) <= 30000000000, false) AS steady FROM i JOIN t USING (subject)),
 an AS (SELECT *, steady AND coalesce(lag(steady) OVER w, false) AND coalesce(lead(steady) OVER w, false) AS anchor FROM st WINDOW w AS (PARTITION BY subject ORDER BY frame)),
 ab AS (SELECT subject, min(frame) FILTER (anchor) AS first_steady, max(frame) FILTER (anchor) AS last_steady FROM an GROUP BY subject),
-me AS (SELECT an.subject, avg(interval) FILTER (frame > first_steady AND frame <= last_steady) AS mean_interval FROM an JOIN ab USING (subject) GROUP BY an.subject)
+me AS (SELECT an.subject, avg(interval) FILTER (frame > first_steady AND frame <= last_steady) AS mean_interval FROM an JOIN ab USING (subject) GROUP BY an.subject),
 dr AS (SELECT an.subject, frame, mean_interval, CASE WHEN frame > first_steady AND frame <= last_steady THEN interval - mean_interval ELSE 0 END AS more
  FROM an JOIN ab USING (subject) JOIN me USING (subject)),
 cu AS (SELECT *, sum(more) OVER (PARTITION BY subject ORDER BY frame) AS drift FROM dr),
