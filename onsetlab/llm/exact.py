@@ -34,6 +34,9 @@ STATE_STORE = {
     # Many small stores: else each sets aside megabytes of disk before it holds anything.
     STATE + "rocksdb.allowFAllocate": "false",
     STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+    # One bound for the memory of all stores of an executor; beyond it they work from disk.
+    STATE + "rocksdb.boundedMemoryUsage": "true",
+    STATE + "rocksdb.maxMemoryUsageMB": "192",
 }
 #: Micro-batches that the keys are read in.
 BATCHES = 3

@@ -228,13 +228,17 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (u, v) of the rows of each task that are close by their bit planes, with the number of keys they meet on."""
     for part in map(_several, whole_tasks(frames)):
         size = part["size"].to_numpy(np.int64)
-        node, c, fp, task, key = (part[k].to_numpy() for k in ("node", "c", "fp", "task", "key"))
+        node, c, fp, task = (part[k].to_numpy() for k in ("node", "c", "fp", "task"))
         for i, j in close_pairs(task, fp.view(np.uint64), RADIUS):
             fits = (c[i] != c[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j])
             i, j = i[fits], j[fits]
             u, v = np.where(node[i] < node[j], (i, j), (j, i))
-            pairs = pd.DataFrame({"u": node[u], "v": node[v], "size_u": size[u], "size_v": size[v], "key": key[i]})
-            yield pairs.groupby(["u", "v", "size_u", "size_v"], as_index=False).agg(n=("key", "size"))
+            order = np.lexsort((node[v], node[u]))
+            u, v = u[order], v[order]
+            begins = np.flatnonzero(np.r_[True, (node[u][1:] != node[u][:-1]) | (node[v][1:] != node[v][:-1])]) if len(u) else u
+            n = np.diff(np.r_[begins, len(u)])  # the keys that they meet on
+            u, v = u[begins], v[begins]
+            yield pd.DataFrame({"u": node[u], "v": node[v], "size_u": size[u], "size_v": size[v], "n": n})
 
 
 def _worth(pairs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ PIECES = 6
 CHUNK = 1024
 #: Lanes that are compared at once, and links that are held before they are merged.
 LANES = 1 << 15
-HELD_LINKS = 1 << 20
+HELD_LINKS = 1 << 17
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
