@@ -90,11 +90,11 @@ def as_of(
     return out.select("_row.*", *[F.col("_hit")[v].alias(prefix + v) for v in values])
 
 
-def interpolate_at(points: DataFrame, samples: DataFrame, by: list[str], t: str, value: str, out: str = "value_at") -> DataFrame:
-    """The samples' value at the times ``t`` of ``points``, linear in time; null outside the samples."""
+def interpolate_at(points: DataFrame, samples: DataFrame, by: list[str], t: str, value: str, out: str = "value_at", bucket: float | None = None) -> DataFrame:
+    """The samples' value at the times ``t`` of ``points``, linear in time; null outside the samples. ``bucket`` as in ``as_of``."""
     s = samples.select(*by, F.col(t).alias("_st"), F.col(value).alias("_sv"))
-    before = as_of(points, s, by, t, "_st", ["_st", "_sv"], "backward", prefix="b")
-    both = as_of(before, s, by, t, "_st", ["_st", "_sv"], "forward", prefix="f")
+    before = as_of(points, s, by, t, "_st", ["_st", "_sv"], "backward", prefix="b", bucket=bucket)
+    both = as_of(before, s, by, t, "_st", ["_st", "_sv"], "forward", prefix="f", bucket=bucket)
     span = F.col("f_st") - F.col("b_st")
     share = (F.col(t) - F.col("b_st")) / span
     blend = F.when(span == 0, F.col("b_sv")).otherwise(F.col("b_sv") + (F.col("f_sv") - F.col("b_sv")) * share)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from onsetlab.functions.columns import chi2_quantile, normal_cdf
 from onsetlab.operators.binning import poisson_weight
 from onsetlab.operators.grouptests import mann_whitney
-from onsetlab.staging import median, quantiles, staged, sums_before
+from onsetlab.staging import median, positions, quantiles, staged, sums_before, with_same
 
 
 @dataclass
@@ -210,9 +210,24 @@ def status_rank(outlier: Column, point: Column, probabilistic: Column) -> Column
     return F.when(probabilistic, 3).when(point, 2).when(outlier, 1).otherwise(0)
 
 
-def ranked_subjects(long: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
-    w = Window.partitionBy(feature).orderBy(value)
-    return long.withColumn("rank", F.row_number().over(w))
+def ranked_subjects(long: DataFrame, feature: str = "feature", value: str = "value", status: str | None = None) -> DataFrame:
+    """Add ``rank``: the place (from 1) in each feature by value, or by ``status`` first (non-learners first) and then by value."""
+    order = [value] if status is None else [status, value]
+    return positions(long, [feature], order, "rank", "subject-ranks").withColumn("rank", F.col("rank") + 1)
+
+
+def status_trajectories(subjects: DataFrame, features: DataFrame, subject: list[str], status: str, keys: list[str], value: str = "nv") -> tuple[DataFrame, DataFrame]:
+    """For ranking tables: counts of each status by the first key, and the median over subjects of their medians by ``keys``."""
+    per = median(features, [*subject, *keys], value, value, "subject-medians")
+    return subjects.groupBy(keys[0], status).agg(F.count("*").alias("subjects")), median(per, keys, value, value, "condition-medians")
+
+
+def modelling_table(features: DataFrame, subject: list[str], trial_no: str, columns: dict[str, Column], least_rows: int = 1) -> DataFrame:
+    """Complete rows with the given columns computed, trials counted from the subject's first one kept; subjects with fewer rows go."""
+    rows = features.withColumns(columns).dropna(subset=[*columns])
+    extents = rows.groupBy(*subject).agg(F.min(trial_no).alias("_first"), F.count("*").alias("_n"))
+    rows = with_same(rows, extents, subject).filter(F.col("_n") >= least_rows)
+    return rows.withColumn("session_trial", F.col(trial_no) - F.col("_first")).drop("_first", "_n")
 
 
 def normalised_to_epoch(features: DataFrame, subject: list[str], value: str, reference: Column, out: str) -> DataFrame:

@@ -8,24 +8,12 @@ from pyspark.sql import functions as F
 from onsetlab.functions import columns as C
 from onsetlab.operators import binning, clock, grouptests, intervals, mixed, profiles, quality, signal, trials
 from onsetlab.plans import events as ev
+from onsetlab.plans.base import query
 from onsetlab.plans.events import EV
 from onsetlab.plans.models import VOTES, vote_table, wide_features
 from onsetlab.sources import tables
 from onsetlab.staging import new_path, staged, with_same
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
 
 @query("first_absolute", EV + "SELECT subject, min(us) AS first_absolute FROM nb GROUP BY subject")
 def first_absolute(spark, sf):
@@ -382,3 +370,41 @@ def recordings_round_trip(spark, sf):
         F.round(F.min(F.when((F.col("stim_type") == "purchase") & (F.col("stim_no") == 1), F.col("beg_ms"))), 3).alias("first_purchase"),
     )
     return clock_rows.join(kinds, "recording_id")
+
+
+@query("status_order", VOTES + """, st AS (SELECT g.subject, g.condition, f1 AS value, CASE WHEN vote_prob = 2 THEN 3 WHEN vote_point = 2 THEN 2 ELSE 0 END AS status FROM g JOIN vt USING (subject))
+SELECT subject, condition, status, row_number() OVER (PARTITION BY condition ORDER BY status, value) AS rank FROM st""")
+def status_order(spark, sf):
+    """Subjects of each condition by status, then by their first feature."""
+    rows = wide_features(spark, sf).join(vote_table(spark, sf), "subject")
+    rows = rows.withColumn("status", profiles.status_rank(F.lit(False), F.col("vote_point") == 2, F.col("vote_prob") == 2))
+    return profiles.ranked_subjects(rows, "condition", "f1", "status").select("subject", "condition", "status", "rank")
+
+
+@query("status_trajectories", EV + """, sm AS (SELECT subject, condition, block, median(nv) AS nv FROM nvt GROUP BY ALL)
+SELECT condition, block, round(median(nv), 6) AS nv FROM sm GROUP BY ALL""")
+def status_trajectories(spark, sf):
+    features = ev.trial_features(spark, sf)
+    subjects = features.select("subject", "condition").distinct().withColumn("status", F.lit(0))
+    _, medians = profiles.status_trajectories(subjects, features, ["subject"], "status", ["condition", "block"])
+    return medians.select("condition", "block", F.round("nv", 6).alias("nv"))
+
+
+@query("modelling_table", EV + """, r AS (SELECT subject, condition, trial_no, ln(1 + mean_response) AS y, ln(1 + mean_baseline) AS base FROM nvt WHERE mean_response IS NOT NULL AND mean_baseline IS NOT NULL),
+k AS (SELECT subject, min(trial_no) AS first, count(*) AS n FROM r GROUP BY subject)
+SELECT subject, condition, trial_no - first AS session_trial, round(y, 6) AS y, round(base, 6) AS base FROM r JOIN k USING (subject) WHERE n >= 5""")
+def modelling_table(spark, sf):
+    columns = {"y": C.transformed("mean_response", "log1p"), "base": C.transformed("mean_baseline", "log1p")}
+    out = profiles.modelling_table(ev.trial_features(spark, sf), ["subject"], "trial_no", columns, 5)
+    return out.select("subject", "condition", "session_trial", F.round("y", 6).alias("y"), F.round("base", 6).alias("base"))
+
+
+@query("counted_discard", """WITH b AS (SELECT 'before' AS side, count(*) AS n FROM customer UNION ALL SELECT 'after', count(*) FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM labels)) SELECT side, n FROM b""")
+def counted_discard(spark, sf):
+    """The rows on both sides of the discard filter, observed while its result is written."""
+    ids = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("c_custkey"))
+    counted = tables.Counted(["c_custkey"])
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name")
+    staged(counted.filtered(rows, lambda df: quality.without_subjects(df, ids, ["c_custkey"])), "discarded")
+    found = counted.counts()
+    return spark.createDataFrame([(s, found[f"rows_{s}"]) for s in ("before", "after")], "side string, n long")

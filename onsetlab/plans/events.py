@@ -12,22 +12,11 @@ from pyspark.sql import functions as F
 
 from onsetlab.functions import columns as C
 from onsetlab.operators import binning, clock, grouptests, intervals, quality, signal, trials
+from onsetlab.plans.base import query
 from onsetlab.staging import median, positions, staged
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +96,7 @@ def asof_markers(spark, sf):
     spans = ev.filter("event_type = 'signup'").select("subject", F.col("us").alias("beg"), F.lead("us").over(w).alias("fin")).filter("fin is not null")
     samples = ev.select("subject", "us")
     a = intervals.as_of(spans, samples, ["subject"], "beg", "us", ["us"], "forward", strict=True, prefix="first_", bucket=7 * DAY)
-    return intervals.as_of(a, samples, ["subject"], "fin", "us", ["us"], "backward", prefix="last_")
+    return intervals.as_of(a, samples, ["subject"], "fin", "us", ["us"], "backward", prefix="last_", bucket=7 * DAY)
 
 
 @query("asof_interpolate", EV + """, m AS (SELECT subject, unnest(range(min(us) // 86400000000 + 1, max(us) // 86400000000 + 1)) * 86400000000 AS midnight
@@ -121,7 +110,7 @@ def asof_interpolate(spark, sf):
     days = ev.groupBy("subject").agg(F.floor(F.min("us") / DAY).alias("a"), F.floor(F.max("us") / DAY).alias("b")).filter("b > a")
     points = days.select("subject", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("day"))
     points = points.select("subject", (F.col("day") * DAY).alias("us"))
-    out = intervals.interpolate_at(points, ev, ["subject"], "us", "value")
+    out = intervals.interpolate_at(points, ev, ["subject"], "us", "value", bucket=7 * DAY)
     return out.select("subject", F.col("us").alias("midnight"), F.round("value_at", 6).alias("value_at"))
 
 

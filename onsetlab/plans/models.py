@@ -7,22 +7,10 @@ from pyspark.sql import functions as F
 
 from onsetlab.operators import mixed, profiles
 from onsetlab.plans import events as ev
+from onsetlab.plans.base import query
 from onsetlab.plans.events import EV
 from onsetlab.staging import median
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
 
 CHANGES = EV + """, ch AS (SELECT subject, condition, trial_no, ln(1 + mean_response) - ln(1 + mean_baseline) AS d FROM nvt WHERE mean_response IS NOT NULL AND mean_baseline IS NOT NULL),
 f AS (SELECT subject, condition, avg(d) FILTER (trial_no <= 4) AS f1, stddev_samp(d) FILTER (trial_no <= 4) / sqrt(count(d) FILTER (trial_no <= 4)) AS se1,
