@@ -194,7 +194,7 @@ def discard_rules(spark, sf):
 
 @query("discard_blocks", EV + """, p AS (SELECT subject, CAST(ceil(trial_no / 5.0) AS INTEGER) AS k, coalesce(bool_or(rel BETWEEN -86400000000 AND 0 AND value >= 90), false) AS pre,
  coalesce(bool_or(rel BETWEEN 0 AND 43200000000 AND value >= 80), false) AS cr FROM trial GROUP BY subject, trial_no),
-c AS (SELECT s.subject, b.k, ['Early Pre', 'Late Pre', 'Early Train', 'Late Train'][b.k] AS name, count_if(pre) AS pre, count_if(cr) AS cr
+c AS (SELECT s.subject, b.k, ['Early Pre', 'Late Pre', 'Early Train', 'Late Train'][b.k] AS name, count(*) FILTER (pre) AS pre, count(*) FILTER (cr) AS cr
  FROM (SELECT DISTINCT subject FROM p) s CROSS JOIN range(1, 5) b(k) LEFT JOIN p ON p.subject = s.subject AND p.k = b.k GROUP BY ALL),
 f AS (SELECT subject, k AS place, 'less than 3 trials with bouts in pre-CS period in ' || name AS reason FROM c WHERE pre < 3
  UNION ALL SELECT subject, k + 10, 'less than 3 trials with bouts in CR period in ' || name FROM c WHERE cr < 3)
