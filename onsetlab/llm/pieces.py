@@ -251,6 +251,11 @@ class Pieces:
         text, value = self.text, self.value
         return b"".join([text[i] if i in text else bytes((value[i],)) for i in ids])[1:].decode()
 
+    def forget(self) -> None:
+        """Let go what is remembered of chunks."""
+        for memory in (self.known, self.recent, self.known_scores, self.recent_scores):
+            memory.clear()
+
 
 _models: dict[str, Pieces] = {}
 
@@ -268,7 +273,12 @@ def encode(docs: DataFrame, path: str = MODEL, keep: list | None = None, with_te
 
     def make():
         pieces = model(path, data.value)
-        return lambda texts: [[np.array(pieces.encode(t), np.int32) for t in texts]]
+
+        def work(texts: list) -> list:
+            return [[np.array(pieces.encode(t), np.int32) for t in texts]]
+
+        work.done = pieces.forget
+        return work
 
     return per_text(docs, keep or ["doc_id"], make, "ids array<int>", with_text=with_text)
 

@@ -97,7 +97,8 @@ def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Calla
     ``make`` is called once in each task and gives a function from a list of texts to one sequence per
     field of the DDL ``fields``. The kept columns never pass through Python objects, so null ids next
     to large ones stay exact. ``at_once`` bounds the texts of a call, and with them what Python holds.
-    ``with_text`` gives the text back as well, as ``__text``.
+    ``with_text`` gives the text back as well, as ``__text``. A ``done`` of the function is called when the
+    task ends, and Arrow's free memory goes back, as workers live on.
     """
     new = StructType.fromDDL(fields)
     rows = docs.select(*keep, F.col("text").alias("__text"))
@@ -112,6 +113,8 @@ def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Calla
             made = work(batch.column(batch.num_columns - 1).to_pylist())
             arrays = batch.columns[:kept] + [pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+        getattr(work, "done", lambda: None)()
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 

@@ -22,6 +22,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample_rows: int
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(size=frame["at"].map(len)).sort_values(["doc_id", "label", "size"], kind="stable")
         at, w = ftrl(list(frame["at"]), frame["label"].tolist(), bits, seed=seed)
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame({"bucket": at, "weight": w})
 
     model = (
