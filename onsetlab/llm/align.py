@@ -37,7 +37,7 @@ from onsetlab.staging import staged
 
 BYTES, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Documents of a chunk, and bytes of text beyond which it is closed.
-CHUNK, CHUNK_BYTES = 1024, 4 << 20
+CHUNK, CHUNK_BYTES = 1024, 2 << 20
 #: Pairs of one document or group that are made at a time.
 AT_ONCE = 1 << 22
 FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -215,6 +215,16 @@ class Aligner:
         ]
 
 
+_aligners: dict[tuple[str, ...], Aligner] = {}
+
+
+def _aligner(paths: tuple[str, ...], data: list) -> Aligner:
+    """The aligner of two vocabularies, made once in a worker."""
+    if paths not in _aligners:
+        _aligners[paths] = Aligner(*(d.value for d in data))
+    return _aligners[paths]
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
     k = 0
@@ -237,13 +247,14 @@ def aligned(docs: DataFrame, bytes_path: str = BYTES, pieces_path: str = PIECES)
     types = [to_arrow_type(f.dataType) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number = Aligner(*(d.value for d in data)), TaskContext.get().partitionId() << 32
+        aligner, number = _aligner((bytes_path, pieces_path), data), TaskContext.get().partitionId() << 32
         for part in (s for batch in batches for s in _slices(batch)):
             made = aligner.chunk(part.column(1).to_pylist())
             made.insert(5, [number] * part.num_rows)
             number += 1
             arrays = [part.column(0), *(pa.array(m, type=t) for m, t in zip(made, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
