@@ -114,13 +114,18 @@ def word_encoder(data: bytes) -> Callable[[str], bytes]:
     return ids
 
 
+_encoders: dict[str, Callable[[str], bytes]] = {}
+
+
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def make():
-        encode = word_encoder(data.value)
+        if vocabulary not in _encoders:  # made once in a worker
+            _encoders[vocabulary] = word_encoder(data.value)
+        encode = _encoders[vocabulary]
 
         def run(texts: list[str | None]) -> tuple[list[int], list[list[int]]]:
             sizes, sums = [], []
