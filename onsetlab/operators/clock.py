@@ -28,7 +28,8 @@ def lost_frames(clock: DataFrame, by: list[str], frame: str, elapsed: str, toler
     near = neighbours(out, by, frame, F.col("steady"), "_s", rows)
     near = neighbours(near, by, frame, F.col("steady"), "_t", rows, ahead=True)
     three = F.col("steady") & F.coalesce("_s", F.lit(False)) & F.coalesce("_t", F.lit(False))
-    near = positions(near.withColumn("_anchor", three).drop("_s", "_t"), by, [frame], "_n", "clock-anchors")
+    near = near.withColumn("_anchor", three).drop("_s", "_t")
+    near = positions(near, by, [frame], "_n", "clock-anchors") if buffer else near.withColumn("_n", F.lit(0))
     anchors = near.groupBy(*by).agg(
         F.min(F.when(F.col("_anchor") & (F.col("_n") >= buffer), F.col(frame))).alias("first_steady"),
         F.max(F.when(F.col("_anchor"), F.col(frame))).alias("last_steady"),
