@@ -9,9 +9,12 @@ pair and a check in full behind it:
   among the first ``n - ceil(0.8 n) + 1`` of each. Any order is exact; here shingles in buckets that
   many documents hit come last, so that a common line is in few prefixes. The hits are counted over all
   documents, in a table of fixed size.
-* The rows of a key are compared as bit planes. The keys on which a pair meets are counted: what its
-  prefixes share and the rest of the longer bound its similarity, and pairs that cannot reach it go.
-  What remains is compared by the whole sets (64-bit shingles).
+* The rows of a key are compared as bit planes, and then by odd sketches: bit b of a set's sketch is the parity
+  of its shingles that fall to b, so two sketches differ in no more bits than the sets in shingles. Sets that
+  differ in more than a ninth of their sizes' sum are below 0.8, so a pair whose sketches do goes, and no other:
+  texts of a large group that are alike, but below 0.8, make no pairs.
+* The keys on which a pair meets are counted: what its prefixes share and the rest of the longer bound its
+  similarity, and pairs that cannot reach it go. What remains is compared by the whole sets (64-bit shingles).
 
 Only components matter. Texts of equal shingles are one node. In a round the rows of a key meet in chunks,
 dealt anew each time, and every node tries its few nearest, which joins a large group of near copies with
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from onsetlab.llm.components import components
 from onsetlab.llm.simhash import close_pairs, first_of_each, majority, tasks, whole_tasks
-from onsetlab.llm.text import maybe_in, per_text, text_key
+from onsetlab.llm.text import give_back, maybe_in, per_text, text_key
 from onsetlab.staging import drop_staged, staged
 
 WORDS = 5
@@ -44,6 +47,8 @@ RADIUS, NEAR = 28, 12
 NEAREST = 8
 #: Buckets in which hits of shingles are counted, and how many of them go last.
 BUCKETS, LAST = 20, 1 << 16
+#: Bits of a set's odd sketch, and pairs of sketches that are compared at once.
+SKETCH, SKETCHES = 1024, 1 << 14
 #: Texts that Python holds the shingles of.
 AT_ONCE = 512
 #: Cross pairs, as a multiple of the rows, that are compared without another round first.
@@ -95,6 +100,24 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1 if n else 0
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Of each of ``SKETCH`` bits the parity of the shingles that fall to it."""
+    return np.packbits(np.bincount((shingles & np.uint64(SKETCH - 1)).view(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def maybe_similar(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of rows may have a similarity of 0.8 or more, by their sketches (rows of words) and sizes.
+
+    Two sets differ in at least as many shingles as their sketches in bits, and at 0.8 in at most a ninth of a + b.
+    """
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), SKETCHES):
+        a, b = i[at : at + SKETCHES], j[at : at + SKETCHES]
+        differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+        out[at : at + SKETCHES] = 9 * differ <= size[a] + size[b]
+    return out
+
+
 def _similar(both, a, b):
     """Whether sets of sizes a and b with ``both`` in common have a similarity of 0.8 or more."""
     return 9 * both >= 4 * (a + b)
@@ -149,7 +172,7 @@ def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, words: int = WORDS) -> DataFrame:
-    """doc_id, text_key, node (the hash of the set), fp, size and the prefix of every document."""
+    """doc_id, text_key, node (the hash of the set), fp, size, the odd sketch and the prefix of every document."""
     ranks = docs.sparkSession.sparkContext.broadcast(last)
 
     def make():
@@ -159,19 +182,20 @@ def prefixes(docs: DataFrame, last: np.ndarray, words: int = WORDS) -> DataFrame
         rank_of[ranks.value] = np.arange(1, len(ranks.value) + 1)
 
         def work(texts: list) -> list:
-            node, fp, size, prefix = [], [], [], []
+            node, fp, size, sketch, prefix = [], [], [], [], []
             for s in shingles(texts, words):
                 node.append(xxh64_intdigest(s.tobytes(), 7))
                 fp.append(majority(s))
                 size.append(len(s))
+                sketch.append(odd_sketch(s))
                 rank = rank_of[s >> np.uint64(64 - BUCKETS)]
                 prefix.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]].view(np.int64))
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            return [signed(node), signed(fp), size, prefix]
+            return [signed(node), signed(fp), size, sketch, prefix]
 
         return work
 
-    fields = "node long, fp long, size int, prefix array<long>"
+    fields = "node long, fp long, size int, sketch binary, prefix array<long>"
     return per_text(docs, ["doc_id", text_key("text").alias("text_key")], make, fields, AT_ONCE)
 
 
@@ -222,16 +246,20 @@ def _nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             place = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
             first = place < NEAREST
             yield pd.DataFrame({"a": node[i[first]], "o": node[j[first]], "far": far[first]})
+    give_back()
 
 
 def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (u, v) of the rows of each task that are close by their bit planes, with the number of keys they meet on."""
     for part in map(_several, whole_tasks(frames)):
         size = part["size"].to_numpy(np.int64)
+        sketch = np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(len(part), -1)
         node, c, fp, task = (part[k].to_numpy() for k in ("node", "c", "fp", "task"))
         for i, j in close_pairs(task, fp.view(np.uint64), RADIUS):
             fits = (c[i] != c[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j])
             i, j = i[fits], j[fits]
+            fits = maybe_similar(sketch, size, i, j)
+            i, j = i[fits], j[fits]
             u, v = np.where(node[i] < node[j], (i, j), (j, i))
             order = np.lexsort((node[v], node[u]))
             u, v = u[order], v[order]
@@ -239,6 +267,7 @@ def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = np.diff(np.r_[begins, len(u)])  # the keys that they meet on
             u, v = u[begins], v[begins]
             yield pd.DataFrame({"u": node[u], "v": node[v], "size_u": size[u], "size_v": size[v], "n": n})
+    give_back()
 
 
 def _worth(pairs: DataFrame) -> DataFrame:
@@ -249,9 +278,16 @@ def _worth(pairs: DataFrame) -> DataFrame:
     return pairs.filter(_similar(most, F.col("size_u"), F.col("size_v"))).select("u", "v")
 
 
+def _open_rows(state: DataFrame) -> DataFrame:
+    """The rows of those keys that have more than one component."""
+    several = state.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    return state.join(staged(several.select("key"), "near-open"), "key")
+
+
 def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, component) of all nodes that are joined with another."""
     nodes = members.select("node", "fp", "size", "prefix").dropDuplicates(["node"])
+    sketches = members.select("node", "sketch").dropDuplicates(["node"])
     rows = nodes.select("node", "fp", "size", F.explode("prefix").alias("key"))
     # Keys of several nodes, by an aggregate with partial sums; the join behind it can be split at a frequent key.
     several = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
@@ -278,7 +314,7 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
         if k > 1:
             drop_staged(state)
         state = now
-    compared = tasks(state.select("key", "node", "fp", "size", "c"), "node")
+    compared = tasks(_open_rows(state).select("key", "node", "fp", "size", "c"), "node", with_=sketches)
     pairs = compared.mapInPandas(_candidates, "u long, v long, size_u long, size_v long, n long")
     new = _verified(docs, members, _worth(pairs), words)
     return components(new if edges is None else edges.unionByName(new), "near-components")

@@ -239,12 +239,13 @@ def links(fps: DataFrame, radius: int = RADIUS, pieces: int = PIECES, chunk: int
     return tasks(rows, "fp", chunk).select("task", "fp").mapInPandas(_compare(radius), "u long, v long").distinct()
 
 
-def tasks(rows: DataFrame, own: str, chunk: int = CHUNK, seed: int | None = None) -> DataFrame:
+def tasks(rows: DataFrame, own: str, chunk: int = CHUNK, seed: int | None = None, with_: DataFrame | None = None) -> DataFrame:
     """Deal ``rows`` with a ``key`` into tasks (a column) that compare all pairs of a key's rows.
 
     The rows of a task are neighbours; a key of more than ``chunk`` rows is cut by the hash of the column
     ``own``, and its pairs of chunks are tasks. With a ``seed`` the chunks are cut by it, and only rows of
-    one chunk meet. Keys of one row go. Keys are counted by an aggregate.
+    one chunk meet. Keys of one row go. Keys are counted by an aggregate. ``with_`` has further columns by ``own``,
+    which only the last exchange carries.
     """
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(staged(counts, "simhash-keys"), "key")
@@ -257,7 +258,9 @@ def tasks(rows: DataFrame, own: str, chunk: int = CHUNK, seed: int | None = None
     task = F.when(parts == 1, F.col("key")).otherwise(
         F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
     )
-    return rows.withColumn("task", task).drop("n", "_own", "_other").repartition("task").sortWithinPartitions("task")
+    rows = rows.withColumn("task", task).drop("n", "_own", "_other")
+    rows = rows if with_ is None else rows.join(with_, own)
+    return rows.repartition("task").sortWithinPartitions("task")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:

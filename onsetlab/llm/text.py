@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -91,6 +92,14 @@ def kept_rows(docs: DataFrame, mixed: DataFrame, stay: DataFrame) -> DataFrame:
     return sure.unionByName(tagged.filter("d.was is null or s.stays").select("d.row.*"))
 
 
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system, as workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Callable], fields: str, at_once: int = 1024, with_text: bool = False) -> DataFrame:
     """The ``keep`` columns of every row and what Python makes of its text, batch by batch in Arrow.
 
@@ -98,7 +107,7 @@ def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Calla
     field of the DDL ``fields``. The kept columns never pass through Python objects, so null ids next
     to large ones stay exact. ``at_once`` bounds the texts of a call, and with them what Python holds.
     ``with_text`` gives the text back as well, as ``__text``. A ``done`` of the function is called when the
-    task ends, and Arrow's free memory goes back, as workers live on.
+    task ends, and free memory goes back.
     """
     new = StructType.fromDDL(fields)
     rows = docs.select(*keep, F.col("text").alias("__text"))
@@ -114,7 +123,7 @@ def per_text(docs: DataFrame, keep: list[Column | str], make: Callable[[], Calla
             arrays = batch.columns[:kept] + [pa.array(m, type=t) for m, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
         getattr(work, "done", lambda: None)()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -629,6 +630,38 @@ def test_near_stage_finds_all_of_similarity(spark, odd, monkeypatch, pairs_a_row
     assert len(want) < 0.7 * len(texts)
 
 
+def test_odd_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(9)
+    sets, sizes = [], (1, 9, 90, 900, 5000)
+    for n in sizes:
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        for share in (0, 0.05, 0.11, 0.2, 0.5, 1):
+            sets.append(np.unique(np.r_[base[round(n * share) :], rng.integers(0, 1 << 63, round(n * share), np.uint64)]))
+    i, j = np.triu_indices(len(sets), 1)
+    sketch = np.array([np.frombuffer(nearcopies.odd_sketch(s), np.uint64) for s in sets])
+    maybe = nearcopies.maybe_similar(sketch, np.array(list(map(len, sets))), i, j)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    similar = np.array([5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n) for n, a, b in zip(both, i, j, strict=True)])
+    assert maybe[similar].all() and similar.sum() > 15
+    small = np.array([max(len(sets[a]), len(sets[b])) <= 900 for a, b in zip(i, j, strict=True)])
+    assert not maybe[small & (both == 0)].any()
+
+
+def test_alike_texts_below_the_similarity_make_no_candidates():
+    """A group of texts of similarity about 0.7, under one key, made all its pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[:364], rng.integers(0, 1 << 63, 36, np.uint64)]) for _ in range(120)]
+    sets.append(sets[0][1:])  # one near copy
+    signed = lambda x: np.array(x, np.uint64).view(np.int64)
+    rows = pd.DataFrame({"key": 1, "node": np.arange(121), "fp": signed([simhash.majority(s) for s in sets]), "size": list(map(len, sets)), "c": np.arange(121), "task": 1})
+    rows["sketch"] = [nearcopies.odd_sketch(s) for s in sets]
+    i, _ = next(simhash.close_pairs(np.ones(121), rows["fp"].to_numpy().view(np.uint64), nearcopies.RADIUS))
+    assert len(i) > 3000
+    found = pd.concat(nearcopies._candidates(iter([rows])))
+    assert (0, 120) in set(zip(found["u"], found["v"], strict=True)) and len(found) < 30
+
+
 def test_near_stage_on_documents(spark, docs, texts):
     ids = sorted(texts)
     want = {ids[k] for k in brute_likeness([texts[i] for i in ids])}
