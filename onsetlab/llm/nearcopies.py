@@ -51,8 +51,8 @@ BUCKETS, LAST = 20, 1 << 16
 SKETCH, SKETCHES = 1024, 1 << 14
 #: Texts that Python holds the shingles of.
 AT_ONCE = 512
-#: Cross pairs, as a multiple of the rows, that are compared without another round first.
-PAIRS_A_ROW = 16
+#: Cross pairs, as a multiple of the rows, that are compared without a first round, and without another one.
+PAIRS_FIRST, PAIRS_A_ROW = 1, 16
 #: Hops that labels spread over the links of a round.
 HOPS = 3
 #: Another round follows one that links more than a row in so many.
@@ -301,7 +301,8 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
         parts = state.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
         parts = parts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
         open_pairs = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("q")).cast("double")) / 2).first()[0] or 0
-        if open_pairs <= PAIRS_A_ROW * n_rows or (k and found * WORTHWHILE <= n_rows):
+        enough = PAIRS_A_ROW if k else min(PAIRS_FIRST, PAIRS_A_ROW)
+        if open_pairs <= enough * n_rows or (k and found * WORTHWHILE <= n_rows):
             break
         met = tasks(state.select("key", "node", "fp", "c"), "node", seed=k + 1).mapInPandas(_nearest, "a long, o long, far int")
         met = met.distinct().groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "o"))), 1, NEAREST).alias("o"))
