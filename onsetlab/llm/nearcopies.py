@@ -9,17 +9,18 @@ pair and a check in full behind it:
   among the first ``n - ceil(0.8 n) + 1`` of each. Any order is exact; here shingles in buckets that
   many documents hit come last, so that a common line is in few prefixes. The hits are counted over all
   documents, in a table of fixed size.
+* Keys that the same nodes share make the same pairs: one of them stays (nodes are told by their number and 128 bits).
 * The rows of a key are compared as bit planes, and then by odd sketches: bit b of a set's sketch is the parity
   of its shingles that fall to b, so two sketches differ in no more bits than the sets in shingles. Sets that
   differ in more than a ninth of their sizes' sum are below 0.8, so a pair whose sketches do goes, and no other:
-  texts of a large group that are alike, but below 0.8, make no pairs.
-* The keys on which a pair meets are counted: what its prefixes share and the rest of the longer bound its
-  similarity, and pairs that cannot reach it go. What remains is compared by the whole sets (64-bit shingles).
+  texts of a large group that are alike, but below 0.8, make no pairs. Long sets have longer sketches.
+* What remains is compared by the whole sets (64-bit shingles).
 
 Only components matter. Texts of equal shingles are one node. In a round the rows of a key meet in chunks,
 dealt anew each time, and every node tries its few nearest, which joins a large group of near copies with
-a few rows for each copy; rounds go on while they join many, and then all pairs of a key that are
-still under different labels are compared. Labels spread a few hops; components are formed at the end.
+a few rows for each copy; rounds go on while they join many. Then all pairs of a key that are still in different
+components are compared, and no pair leaves its task: a first pass gives the rows that have a pair left, a second
+one gets their whole sets and gives only links that join two groups, fewer than its rows.
 
 Nulls, ties, odd rows: null and wordless texts have no shingle and are one node; a text of fewer words
 than a shingle is one shingle; rows that repeat, or have null ids, are rows of their own.
@@ -44,17 +45,17 @@ WORDS = 5
 #: Differing bits at which pairs are still checked in full, and those of pairs that the rounds try.
 RADIUS, NEAR = 28, 12
 #: Nearest nodes that a node tries in a round.
-NEAREST = 8
+NEAREST = 3
 #: Buckets in which hits of shingles are counted, and how many of them go last.
 BUCKETS, LAST = 20, 1 << 16
-#: Bits of a set's odd sketch, and pairs of sketches that are compared at once.
-SKETCH, SKETCHES = 1024, 1 << 14
+#: Bits of a set's odd sketch, the most that a long set has, and pairs of sketches that are compared at once.
+SKETCH, SKETCH_MOST, SKETCHES = 1024, 8192, 1 << 14
+#: Rows with whole sets that Python holds, but for a task of more.
+SETS = 1024
 #: Texts that Python holds the shingles of.
 AT_ONCE = 512
-#: Cross pairs, as a multiple of the rows, that are compared without a first round, and without another one.
-PAIRS_FIRST, PAIRS_A_ROW = 1, 16
-#: Hops that labels spread over the links of a round.
-HOPS = 3
+#: Cross pairs, as a multiple of the rows, that are compared without another round.
+PAIRS_A_ROW = 1
 #: Another round follows one that links more than a row in so many.
 WORTHWHILE = 500
 #: Bytes of texts that are hashed at once, more where a text is longer.
@@ -100,9 +101,14 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1 if n else 0
 
 
-def odd_sketch(shingles: np.ndarray) -> bytes:
-    """Of each of ``SKETCH`` bits the parity of the shingles that fall to it."""
-    return np.packbits(np.bincount((shingles & np.uint64(SKETCH - 1)).view(np.int64), minlength=SKETCH) & 1).tobytes()
+def odd_sketch(shingles: np.ndarray, bits: int = SKETCH) -> bytes:
+    """Of each of the bits (a power of two) the parity of the shingles that fall to it. Half the bits: the halves' xor."""
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).tobytes()
+
+
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n: twice to four times as many, within bounds."""
+    return min(max(SKETCH, 2 << max(n - 1, 0).bit_length()), SKETCH_MOST)
 
 
 def maybe_similar(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -118,6 +124,22 @@ def maybe_similar(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.nda
     return out
 
 
+def sketches_fit(sketch: list[bytes], size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``maybe_similar`` for sketches of any lengths, each pair at the lesser length of its two."""
+    length = np.array([len(x) for x in sketch])
+    least, out = np.minimum(length[i], length[j]), np.empty(len(i), bool)
+    for bytes_ in np.unique(least):
+        at = np.flatnonzero(least == bytes_)
+        own = np.unique(np.r_[i[at], j[at]])
+        folded = np.empty((len(own), bytes_ // 8), np.uint64)
+        for longer in np.unique(length[own]):
+            rows = np.flatnonzero(length[own] == longer)
+            words = np.frombuffer(b"".join([sketch[k] for k in own[rows]]), np.uint64)
+            folded[rows] = np.bitwise_xor.reduce(words.reshape(len(rows), longer // bytes_, -1), axis=1)
+        out[at] = maybe_similar(folded, size[own], np.searchsorted(own, i[at]), np.searchsorted(own, j[at]))
+    return out
+
+
 def _similar(both, a, b):
     """Whether sets of sizes a and b with ``both`` in common have a similarity of 0.8 or more."""
     return 9 * both >= 4 * (a + b)
@@ -187,7 +209,7 @@ def prefixes(docs: DataFrame, last: np.ndarray, words: int = WORDS) -> DataFrame
                 node.append(xxh64_intdigest(s.tobytes(), 7))
                 fp.append(majority(s))
                 size.append(len(s))
-                sketch.append(odd_sketch(s))
+                sketch.append(odd_sketch(s, sketch_bits(len(s))))
                 rank = rank_of[s >> np.uint64(64 - BUCKETS)]
                 prefix.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]].view(np.int64))
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
@@ -199,10 +221,8 @@ def prefixes(docs: DataFrame, last: np.ndarray, words: int = WORDS) -> DataFrame
     return per_text(docs, ["doc_id", text_key("text").alias("text_key")], make, fields, AT_ONCE)
 
 
-def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Of the pairs (u, v) of nodes those of similarity 0.8 or more, by their whole sets, as a written table."""
-    pairs = staged(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The whole sets (node, shingles) of the nodes that are ``wanted``, as a written table."""
     one = members.select("node", "text_key").join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
     one = staged(one, "near-wanted")
     texts = maybe_in(docs.select(text_key("text").alias("text_key"), "text"), F.col("text_key"), one.select("text_key"))
@@ -211,15 +231,22 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int)
     def sets(texts: list) -> list:
         return [[s.view(np.int64) for s in shingles(texts, words)]]
 
-    sets = per_text(texts, ["node"], lambda: sets, "shingles array<long>", AT_ONCE).dropDuplicates(["node"])
-    sets = staged(sets, "near-sets")
+    made = staged(per_text(texts, ["node"], lambda: sets, "shingles array<long>", AT_ONCE).dropDuplicates(["node"]), "near-sets")
+    drop_staged(one)
+    return made
+
+
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Of the pairs (u, v) of nodes those of similarity 0.8 or more, by their whole sets, as a written table."""
+    pairs = staged(pairs, "near-pairs")
+    sets = _sets(docs, members, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), words)
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     # Written between, so that each join is one of two plain shuffles and can be split at a frequent node.
     half = staged(pairs.join(left, "u"), "near-halves")
     both = F.size(F.array_intersect("a", "b"))
     found = staged(half.join(right, "v").filter(_similar(both, F.size("a"), F.size("b"))).select("u", "v"), "near-edges")
-    for table in (pairs, one, sets, half):
+    for table in (pairs, sets, half):
         drop_staged(table)
     return found
 
@@ -249,33 +276,64 @@ def _nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     give_back()
 
 
+def _left(part: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) of a task's rows in different components that planes, sizes and sketches leave, in parts."""
+    size, sketch = part["size"].to_numpy(np.int64), part["sketch"].tolist()
+    c, fp, task = (part[k].to_numpy() for k in ("c", "fp", "task"))
+    for i, j in close_pairs(task, fp.view(np.uint64), RADIUS):
+        fits = (c[i] != c[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j])
+        i, j = i[fits], j[fits]
+        fits = sketches_fit(sketch, size, i, j)
+        yield i[fits], j[fits]
+
+
 def _candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (u, v) of the rows of each task that are close by their bit planes, with the number of keys they meet on."""
+    """The pairs of every task that are left, by their nodes (u, v) and their rows (i, j) of the frame."""
+    for part in frames:
+        node = part["node"].to_numpy()
+        for i, j in _left(part):
+            u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield pd.DataFrame({"u": u, "v": v, "i": i, "j": j})
+
+
+def _marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each task that are in a pair which is left, once each."""
     for part in map(_several, whole_tasks(frames)):
-        size = part["size"].to_numpy(np.int64)
-        sketch = np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(len(part), -1)
-        node, c, fp, task = (part[k].to_numpy() for k in ("node", "c", "fp", "task"))
-        for i, j in close_pairs(task, fp.view(np.uint64), RADIUS):
-            fits = (c[i] != c[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j])
-            i, j = i[fits], j[fits]
-            fits = maybe_similar(sketch, size, i, j)
-            i, j = i[fits], j[fits]
-            u, v = np.where(node[i] < node[j], (i, j), (j, i))
-            order = np.lexsort((node[v], node[u]))
-            u, v = u[order], v[order]
-            begins = np.flatnonzero(np.r_[True, (node[u][1:] != node[u][:-1]) | (node[v][1:] != node[v][:-1])]) if len(u) else u
-            n = np.diff(np.r_[begins, len(u)])  # the keys that they meet on
-            u, v = u[begins], v[begins]
-            yield pd.DataFrame({"u": node[u], "v": node[v], "size_u": size[u], "size_v": size[v], "n": n})
+        mark = np.zeros(len(part), bool)
+        for pairs in _candidates(iter([part])):
+            mark[pairs["i"]] = mark[pairs["j"]] = True
+        yield part.loc[mark, ["task", "node", "fp", "size", "c"]]
     give_back()
 
 
-def _worth(pairs: DataFrame) -> DataFrame:
-    """The pairs whose prefixes share enough: what they share beyond is in the rest of one of them."""
-    pairs = pairs.groupBy("u", "v", "size_u", "size_v").agg(F.sum("n").alias("n"))
-    rest = lambda n: F.col(n) - (F.col(n) - F.ceil(0.8 * F.col(n)) + 1)
-    most = F.col("n") + F.greatest(rest("size_u"), rest("size_v"))
-    return pairs.filter(_similar(most, F.col("size_u"), F.col("size_v"))).select("u", "v")
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (u, v) of similarity 0.8 by whole sets, that join two groups of the rows at hand: fewer than these."""
+    for part in whole_tasks(frames, SETS):
+        sets = [s.view(np.uint64) for s in part["shingles"]]
+        part = part.drop(columns="shingles").reset_index(drop=True)
+        part["sketch"] = [odd_sketch(s, sketch_bits(len(s))) for s in sets]
+        node, size, fp = part["node"].to_numpy(), part["size"].to_numpy(np.int64), part["fp"].to_numpy()
+        own = np.unique(part["c"], return_inverse=True)[1].tolist()  # rows of a component are one group from the start
+        root, found = list(range(len(own))), []
+
+        def group(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for i, j in _left(part):
+            order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")  # the likely ones first
+            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                x, y = group(own[a]), group(own[b])
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if _similar(both, size[a], size[b]):
+                    root[x] = y
+                    found.append((a, b))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        yield pd.DataFrame({"u": node[at[:, 0]], "v": node[at[:, 1]]})
+    give_back()
 
 
 def _open_rows(state: DataFrame) -> DataFrame:
@@ -284,25 +342,42 @@ def _open_rows(state: DataFrame) -> DataFrame:
     return state.join(staged(several.select("key"), "near-open"), "key")
 
 
-def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, component) of all nodes that are joined with another."""
+def _shared(members: DataFrame) -> DataFrame:
+    """node, fp, size, key of the keys of several nodes; of keys with the same nodes one stays."""
     nodes = members.select("node", "fp", "size", "prefix").dropDuplicates(["node"])
-    sketches = members.select("node", "sketch").dropDuplicates(["node"])
     rows = nodes.select("node", "fp", "size", F.explode("prefix").alias("key"))
-    # Keys of several nodes, by an aggregate with partial sums; the join behind it can be split at a frequent key.
-    several = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    shared = staged(rows.join(staged(several.select("key"), "near-keys"), "key"), "near-shared")
+    # By aggregates with partial sums; the join behind them can be split at a frequent key.
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"s{seed}")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), mark(1), mark(2)).filter("n > 1")
+    keys = staged(keys.groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "near-keys")
+    return staged(rows.join(keys, "key"), "near-shared")
+
+
+def _last_links(docs: DataFrame, members: DataFrame, state: DataFrame, words: int) -> DataFrame:
+    """Links (u, v) that join all components of ``state`` which a pair of similarity 0.8 joins."""
+    sketches = members.select("node", "sketch").dropDuplicates(["node"])
+    compared = tasks(_open_rows(state).select("key", "node", "fp", "size", "c"), "node", with_=sketches)
+    marked = staged(compared.mapInPandas(_marked, "task long, node long, fp long, size int, c long"), "near-marked")
+    sets = _sets(docs, members, marked.select("node").distinct(), words)
+    rows = marked.join(sets, "node").repartition("task").sortWithinPartitions("task")
+    found = staged(rows.mapInPandas(_joined, "u long, v long").distinct(), "near-edges")
+    for table in (marked, sets):
+        drop_staged(table)
+    return found
+
+
+def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
+    """(node, component) of all nodes that are joined with another."""
+    shared = _shared(members)
     n_rows = shared.count()
     edges, found, k = None, 0, 0
     state = shared.withColumn("c", F.col("node"))
-    labels = shared.select("node").distinct().withColumn("c", F.col("node"))
     while True:
         # Pairs of a key in different components, counted from the keys' sums.
         parts = state.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
         parts = parts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
         open_pairs = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("q")).cast("double")) / 2).first()[0] or 0
-        enough = PAIRS_A_ROW if k else min(PAIRS_FIRST, PAIRS_A_ROW)
-        if open_pairs <= enough * n_rows or (k and found * WORTHWHILE <= n_rows):
+        if open_pairs <= PAIRS_A_ROW * n_rows or (k and found * WORTHWHILE <= n_rows):
             break
         met = tasks(state.select("key", "node", "fp", "c"), "node", seed=k + 1).mapInPandas(_nearest, "a long, o long, far int")
         met = met.distinct().groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "o"))), 1, NEAREST).alias("o"))
@@ -310,30 +385,15 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
         new = _verified(docs, members, tried.distinct(), words)
         found, k = new.count(), k + 1
         edges = new if edges is None else edges.unionByName(new)
-        labels = _spread(labels, edges)
-        now = staged(shared.join(labels, "node"), "near-state")
+        labels = components(edges, "near-labels").withColumnRenamed("component", "c")
+        now = staged(shared.join(labels, "node", "left").withColumn("c", F.coalesce("c", "node")), "near-state")
         if k > 1:
             drop_staged(state)
         state = now
-    compared = tasks(_open_rows(state).select("key", "node", "fp", "size", "c"), "node", with_=sketches)
-    pairs = compared.mapInPandas(_candidates, "u long, v long, size_u long, size_v long, n long")
-    new = _verified(docs, members, _worth(pairs), words)
+    new = _last_links(docs, members, state, words)
     return components(new if edges is None else edges.unionByName(new), "near-components")
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels (node, c) after some hops of taking the least label among neighbours: equal labels are connected.
-
-    Not all that are connected get one label; pairs of different labels are just compared once more.
-    """
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    for _ in range(HOPS):
-        heard = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("c").alias("m"))
-        labels = labels.join(heard, F.col("node") == F.col("u"), "left").select("node", F.least("c", "m").alias("c"))
-        labels = staged(labels, "near-labels")
-    return labels
-
-
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, text_key and component, which near copies share."""
     members = staged(prefixes(docs, frequent(docs, words), words), "near-prefixes")

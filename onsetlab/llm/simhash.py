@@ -208,12 +208,12 @@ def _compare(radius: int):
     return run
 
 
-def whole_tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of a partition again, in parts of about ``LANES`` that end with a task."""
+def whole_tasks(frames: Iterator[pd.DataFrame], lanes: int = LANES) -> Iterator[pd.DataFrame]:
+    """The rows of a partition again, in parts of about ``lanes`` that end with a task."""
     held: list[pd.DataFrame] = []
     for frame in frames:
         held.append(frame)
-        if sum(map(len, held)) >= LANES:
+        if sum(map(len, held)) >= lanes:
             rows = pd.concat(held, ignore_index=True)
             other = np.flatnonzero(rows["task"].to_numpy() != rows["task"].iat[-1])
             done = int(other[-1]) + 1 if len(other) else 0

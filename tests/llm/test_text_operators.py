@@ -662,6 +662,59 @@ def test_alike_texts_below_the_similarity_make_no_candidates():
     assert (0, 120) in set(zip(found["u"], found["v"], strict=True)) and len(found) < 30
 
 
+def task_rows(sets, c):
+    signed = lambda x: np.array(x, np.uint64).view(np.int64)
+    rows = pd.DataFrame({"key": 1, "node": np.arange(len(sets)), "fp": signed([simhash.majority(s) for s in sets]), "size": list(map(len, sets)), "c": c, "task": 1})
+    rows["sketch"] = [nearcopies.odd_sketch(s, nearcopies.sketch_bits(len(s))) for s in sets]
+    rows["shingles"] = [s.view(np.int64) for s in sets]
+    return rows
+
+
+def test_a_group_of_near_copies_makes_no_more_rows_than_it_has():
+    """A group of n texts of similarity 0.9 under one key made n * n / 2 candidates, and joins of as many pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[:390], rng.integers(0, 1 << 63, 10, np.uint64)]) for _ in range(120)]
+    sets += [rng.integers(0, 1 << 63, 400, np.uint64) for _ in range(5)]  # like none
+    rows = task_rows([np.unique(s) for s in sets], [0] * 3 + list(range(3, 125)))
+    assert sum(map(len, nearcopies._candidates(iter([rows])))) > 7000
+    marked = pd.concat(nearcopies._marked(iter([rows.drop(columns="shingles")])))
+    assert set(marked["node"]) == set(range(120)) and len(marked) == 120
+    found = pd.concat(nearcopies._joined(iter([marked.merge(rows[["node", "shingles"]], on="node")])))
+    assert len(found) == 117  # a tree over 118 components
+    root = np.array(rows["c"])
+    simhash._merge(root, found["u"].to_numpy(), found["v"].to_numpy())
+    assert (root[:120] == 0).all() and (root[120:] == np.arange(120, 125)).all()
+
+
+def test_sketches_of_long_sets():
+    """A sketch of 1,024 bits ruled out no pair of sets of some thousand shingles."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 4000, np.uint64)
+    sets = [np.unique(np.r_[base[: 4000 - 4 * k], rng.integers(0, 1 << 63, n, np.uint64)]) for k in (0, 60, 250) for n in (0, 160, 800)]
+    sets += [np.unique(base[:n]) for n in (513, 512, 415, 410, 2049, 2048)] + [rng.integers(0, 1 << 63, 0, np.uint64)]
+    i, j = np.triu_indices(len(sets), 1)
+    size = np.array(list(map(len, sets)))
+    sketch = [nearcopies.odd_sketch(s, nearcopies.sketch_bits(len(s))) for s in sets]
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    similar, below = 9 * both >= 4 * (size[i] + size[j]), both < 0.72 * (size[i] + size[j] - both)
+    below &= 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])  # others go by their sizes
+    fit = nearcopies.sketches_fit(sketch, size, i, j)
+    assert fit[similar].all() and similar.sum() > 10
+    assert not fit[below].any() and below.sum() > 5
+    short = np.array([np.frombuffer(nearcopies.odd_sketch(s), np.uint64) for s in sets])
+    assert nearcopies.maybe_similar(short, size, i, j)[below].any()
+    assert len({len(x) for x in sketch}) > 2
+
+
+def test_keys_of_the_same_nodes_are_one(spark):
+    prefix = {1: [10, 11, 12], 2: [10, 11, 12], 3: [12, 13], 4: [14]}
+    rows = [(n, 0, 9, p) for n, p in prefix.items()]
+    members = spark.createDataFrame(rows + rows[:1], "node long, fp long, size int, prefix array<long>")
+    found = nearcopies._shared(members).collect()
+    assert sorted((r.key, r.node) for r in found) == [(10, 1), (10, 2), (12, 1), (12, 2), (12, 3)]
+
+
 def test_near_stage_on_documents(spark, docs, texts):
     ids = sorted(texts)
     want = {ids[k] for k in brute_likeness([texts[i] for i in ids])}
